@@ -1,12 +1,18 @@
 """The queries of this subpackage and their SQL."""
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .packing import op7_packing
+from .piece_bpe import op6_sentencepiece
 from .quality import OP9_SQL, op9_quality
+from .repair_store import op2_token_file
 from .substring_dedup import OP5_SQL, op5_substring_dedup
 
 QUERIES = {
+    "op2_token_file": op2_token_file,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_packing": op7_packing,
     "op9_quality": op9_quality,
 }
 

@@ -41,21 +41,26 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, per_round: int =
         count = np.bincount(slot.astype(np.int64), minlength=1 << SLOTS)
         floor = max(least, int(np.partition(count, -per_round)[-per_round]))
         at = np.flatnonzero(count[slot] >= floor)  # no pair that is frequent enough lies in another slot
-        found, where, often = np.unique(pair[at], return_inverse=True, return_counts=True)
-        top = np.argsort(-often, kind="stable")[:per_round]
-        top = top[often[top] >= least]
+        where, here = slot[at].astype(np.int64), pair[at]
+        held = np.zeros(1 << SLOTS, np.uint64)
+        held[where[::-1]] = here[::-1]  # a slot stands for its first pair; others wait for a later round
+        same = held[where] == here
+        at, where = at[same], where[same]
+        often = np.bincount(where, minlength=1 << SLOTS)
+        top = np.flatnonzero(often >= floor)
+        top = top[np.argsort(-often[top], kind="stable")][:per_round]
         if not len(top):
             break
-        name = np.full(len(found), -1, np.int64)
+        name = np.full(1 << SLOTS, -1, np.int64)
         name[top] = np.arange(len(top)) + first + len(rules)
         hit = name[where] >= 0
-        at, new = at[hit], name[where][hit]
+        at, new = at[hit], name[where[hit]]
         # Of hits that overlap, every second one from the left is replaced.
         run = np.r_[True, at[1:] != at[:-1] + 1]
         begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - begin) % 2 == 0
         at, new = at[take], new[take]
-        rules += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in found[top]]
+        rules += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in held[top]]
         s[at] = new
         s = np.delete(s, at + 1)
     return s, np.array(rules, np.uint32).reshape(-1, 2)

@@ -1,4 +1,63 @@
-STAGES = []
+"""The corpus pipeline: language ID, exact dedup, near-duplicate dedup, line dedup, packing.
+
+Each stage takes what its predecessor kept; all but the last return the columns of documents.
+"""
+
+from pyspark.sql import functions as F
+
+from tessera.llm import byte_bpe, exact_dedup, language, near_dedup, packing, substring_dedup
+from tessera.llm.common import stored, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text of one short word may be a close call between languages; only texts in no language at all are rejected.
+LEAST_SCORE = 0.0
+
+
+def identify(spark, docs, sf_dir):
+    """Learns from the labelled documents; those without a language (`und`) go."""
+    model = language.train(docs, "doc_id", "text", "lang", language.remainder("doc_id") != 2)
+    judged = language.identify(docs.select(*COLUMNS), model)
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def drop_copies(spark, docs, sf_dir):
+    """Of equal texts the one that exact_dedup keeps stays."""
+    keep = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
+    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    keep = near_dedup.near_dedup(docs).where("doc_id = class_id").select("doc_id")
+    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+
+
+def drop_lines(spark, docs, sf_dir):
+    """Repeated lines go; every document stays, with the text that is left and its length."""
+    out = substring_dedup.substring_dedup(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def pack(spark, docs, sf_dir):
+    """One row per piece of a document in a sequence, as in op7."""
+    pieces = packing.pack(docs, byte_bpe.default_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", identify),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_lines),
+    ("packing", pack),
+]
+
+#: Learned models, sampling and a tokenizer can't be expressed in SQL; tests hold the result against brute force.
 ORACLE_SQL = None
+
+
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,7 +11,9 @@ import re
 import numpy as np
 
 #: Chunks remembered by one Python worker; then it starts anew. About 150 bytes each.
-MEMORY = 500_000
+MEMORY = 700_000
+#: New chunks are encoded in one go up to so many characters.
+GO = 1 << 16
 GAP = re.compile(r" (?=\S)")
 _loaded: dict[str, "ByteBpe"] = {}
 
@@ -24,11 +26,29 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.added = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self.after_space: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes chunks that follow a space, joined; a byte-level token has a character for each byte it stands for."""
+        at = 0
+        while at < len(chunks):
+            group, held = [], 0
+            while at < len(chunks) and held < GO:
+                group.append(" " + chunks[at])
+                held += len(group[-1])
+                at += 1
+            raw = self._ids(["".join(group)])[0]
+            ends = np.cumsum(self.bytes_of[np.frombuffer(raw, "<u4")])
+            stops = np.searchsorted(ends, np.cumsum([len(g.encode()) for g in group]), "left") + 1
+            begin = 0
+            for g, stop in zip(group, (4 * stops).tolist()):
+                self.after_space[g[1:]] = raw[begin:stop]
+                begin = stop
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text: its ids as little-endian unsigned 32-bit integers."""
         if len(self.after_space) > MEMORY:
@@ -42,8 +62,7 @@ class ByteBpe:
                 head, *rest = GAP.split(t)
                 parts.append(rest)
                 heads.append(head)
-        new = list(set().union(*parts) - known.keys())
-        known.update(zip(new, self._ids([" " + x for x in new])))
+        self._learn([x for x in set().union(*parts) if x not in known])
         return [h + b"".join(map(known.__getitem__, p)) for h, p in zip(self._ids(heads), parts)]
 
 

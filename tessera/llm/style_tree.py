@@ -239,7 +239,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
 
     def judge(tree: pd.DataFrame) -> pd.DataFrame:
         low = low_branches(tree.sort_values("path"))
-        return pd.DataFrame({"host": [tree["host"].iloc[0]], "low": [low]}) if low else pd.DataFrame({"host": [], "low": []})
+        return pd.DataFrame({"host": pd.Series([tree["host"].iloc[0]] * bool(low), dtype=object), "low": pd.Series([low] * bool(low), dtype=object)})
 
     # A group is one site's distinct style paths seen on LEAST_PAGES pages or more, however many pages it has.
     return known.groupBy("host").applyInPandas(judge, "host string, low array<bigint>")

@@ -9,6 +9,7 @@ from .quality import OP9_SQL, op9_quality
 from .repair_store import op2_token_file
 from .style_tree import op10_html_text
 from .substring_dedup import OP5_SQL, op5_substring_dedup
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_packing": op7_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
 }

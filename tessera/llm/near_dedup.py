@@ -186,7 +186,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """(node, token): the shared shingles of each node's prefix. Two nodes that reach the threshold have one in common.
+    """(node, token, all, common): the shared shingles of each node's prefix, its weight, and that of all its shared
+    shingles. Two nodes that reach the threshold have a token in common.
 
     Shingles are taken from the rarest on, until those not taken weigh less than the threshold's share of the node.
     """
@@ -202,7 +203,9 @@ def prefixes(nodes: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     ranked = tokens.join(often, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     order = W.partitionBy("node").orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("weight").over(order), F.lit(0.0))
-    return ranked.withColumn("before", before).withColumn("all", F.sum("weight").over(W.partitionBy("node"))).where((F.col("before") <= (1 - threshold + 1e-6) * F.col("all")) & (F.col("df") > 1)).select("node", "token")
+    whole = W.partitionBy("node")
+    ranked = ranked.withColumn("before", before).withColumn("all", F.sum("weight").over(whole)).withColumn("common", F.sum(F.when(F.col("df") > 1, F.col("weight")).otherwise(0.0)).over(whole))
+    return ranked.where((F.col("before") <= (1 - threshold + 1e-6) * F.col("all")) & (F.col("df") > 1)).select("node", "token", "all", "common")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -241,9 +244,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     there = there.join(many, "key", "left_semi").select("key", "hub", "node", "mine", "hubs")
     if not there.isEmpty():
         prefix = stored(prefixes(there.select("node").distinct(), texts, idf, threshold), "prefixes")
-        tagged = stored(there.join(prefix, "node").select("key", "node", "hub", "mine", (F.col("mine") != F.col("hubs")).alias("open"), "token"), "tagged")
-        side = lambda n: tagged.select("key", "token", F.col("node").alias(n), F.col("mine").alias(f"{n}_class"), F.col("open").alias(f"{n}_open"), F.col("hub").alias(f"{n}_hub"))
-        shared = side("x").join(side("y"), ["key", "token"]).where("x < y and x_class <> y_class and (x_open or y_open) and x <> x_hub and y <> x_hub")
+        of_node = there.groupBy("node").agg(F.any_value("mine").alias("mine"), F.bool_or(F.col("mine") != F.col("hubs")).alias("open"))
+        tagged = stored(of_node.join(prefix, "node"), "tagged")
+        side = lambda n: tagged.select("token", F.col("node").alias(n), F.col("mine").alias(f"{n}_class"), F.col("open").alias(f"{n}_open"), F.col("all").alias(f"{n}_all"), F.col("common").alias(f"{n}_common"))
+        # What two nodes share is at most what either shares with any: copies with edits of their own go no further.
+        most = F.least("x_common", "y_common")
+        reach = most >= (threshold - 1e-6) * (F.col("x_all") + F.col("y_all") - most)
+        shared = side("x").join(side("y"), "token").where(F.expr("x < y and x_class <> y_class and (x_open or y_open)") & reach)
         pairs = stored(shared.select(F.col("x").alias("hub"), F.col("y").alias("node")).distinct(), "pairs")
         more = verified(pairs, texts, idf, threshold)
         label = components(links.union(more))

@@ -167,13 +167,15 @@ def counts(page: str | None):
 
 
 def low_branches(tree: pd.DataFrame) -> list[int]:
-    """The topmost paths of one host's tree whose importance, composed of their own and their children's, is low."""
+    """The topmost paths of one host's tree that are of low importance, composed of their own and their children's, as
+    are all paths below them."""
     children: dict[int, list[int]] = {}
     info = {}
     for r in tree.itertuples(index=False):
         info[r.path] = r
         children.setdefault(r.parent, []).append(r.path)
     importance: dict[int, float] = {}
+    best: dict[int, float] = {}
     order, todo = [], [p for p in info if info[p].parent not in info]
     while todo:
         p = todo.pop()
@@ -187,10 +189,11 @@ def low_branches(tree: pd.DataFrame) -> list[int]:
         inner = sum(v * n for v, n in parts) / sum(n for _, n in parts) if parts else 0.0
         share = GAMMA ** max(1, r.shapes)
         importance[p] = (1 - share) * r.presentation + share * inner if below else inner
+        best[p] = max([importance[p], *(best[c] for c in below)])
     out, todo = [], [p for p in info if info[p].parent not in info]
     while todo:
         p = todo.pop()
-        if importance[p] < LEAST_IMPORTANCE:
+        if best[p] < LEAST_IMPORTANCE:
             out.append(p)
         else:
             todo += children.get(p, [])

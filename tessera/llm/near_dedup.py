@@ -245,13 +245,16 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     if not there.isEmpty():
         prefix = stored(prefixes(there.select("node").distinct(), texts, idf, threshold), "prefixes")
         of_node = there.groupBy("node").agg(F.any_value("mine").alias("mine"), F.bool_or(F.col("mine") != F.col("hubs")).alias("open"))
-        tagged = stored(of_node.join(prefix, "node"), "tagged")
-        side = lambda n: tagged.select("token", F.col("node").alias(n), F.col("mine").alias(f"{n}_class"), F.col("open").alias(f"{n}_open"), F.col("all").alias(f"{n}_all"), F.col("common").alias(f"{n}_common"))
+        listed = prefix.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+        tagged = stored(of_node.join(listed, "node").join(prefix, "node"), "tagged")
+        side = lambda n: tagged.select("token", F.col("node").alias(n), F.col("mine").alias(f"{n}_class"), F.col("open").alias(f"{n}_open"), F.col("all").alias(f"{n}_all"), F.col("common").alias(f"{n}_common"), F.col("tokens").alias(f"{n}_tokens"))
         # What two nodes share is at most what either shares with any: copies with edits of their own go no further.
         most = F.least("x_common", "y_common")
         reach = most >= (threshold - 1e-6) * (F.col("x_all") + F.col("y_all") - most)
-        shared = side("x").join(side("y"), "token").where(F.expr("x < y and x_class <> y_class and (x_open or y_open)") & reach)
-        pairs = stored(shared.select(F.col("x").alias("hub"), F.col("y").alias("node")).distinct(), "pairs")
+        # Of the tokens that two nodes share, the least one makes their row.
+        once = F.array_min(F.array_intersect("x_tokens", "y_tokens")) == F.col("token")
+        shared = side("x").join(side("y"), "token").where(F.expr("x < y and x_class <> y_class and (x_open or y_open)") & reach & once)
+        pairs = stored(shared.select(F.col("x").alias("hub"), F.col("y").alias("node")), "pairs")
         more = verified(pairs, texts, idf, threshold)
         label = components(links.union(more))
     classes = nodes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("class_id", "node").alias("class_id"))

@@ -80,12 +80,24 @@ def suffix_ranks(s: np.ndarray, covers: int = 1) -> np.ndarray:
     rank[sample] = name
     a = lambda i: pad[i] << np.uint64(32) | rank[i + 1]
     b = lambda i: pad[i] << np.uint64(43) | pad[i + 1] << np.uint64(22) | rank[i + 2]
-    a0, b0, all12 = a(zero), b(zero), np.sort(name)
-    sa0, sb0 = np.sort(a0), np.sort(b0)
+    # Both sides of each count are sorted: searching for sorted values stays in the cache.
+    a0, a1, b0, b2 = a(zero), a(one), b(zero), b(two)
+    oa, ob, o1, o2 = (np.argsort(x) for x in (a0, b0, a1, b2))
+    sa0, sb0, sa1, sb2 = a0[oa], b0[ob], a1[o1], b2[o2]
+    rank0 = np.empty(len(zero), np.int64)
+    rank0[oa] = np.searchsorted(sa0, sa0) + np.searchsorted(sa1, sa0)
+    add = np.empty(len(zero), np.int64)
+    add[ob] = np.searchsorted(sb2, sb0)
+    # How many names lie below each is a running sum.
+    below = np.cumsum(np.bincount(name + 1))
     smaller = np.empty(n, np.int64)
-    smaller[zero] = np.searchsorted(sa0, a0) + np.searchsorted(np.sort(a(one)), a0) + np.searchsorted(np.sort(b(two)), b0)
-    smaller[one] = np.searchsorted(all12, name[: len(one)]) + np.searchsorted(sa0, a(one))
-    smaller[two] = np.searchsorted(all12, name[len(one) :]) + np.searchsorted(sb0, b(two))
+    smaller[zero] = rank0 + add
+    before = np.empty(len(one), np.int64)
+    before[o1] = np.searchsorted(sa0, sa1)
+    smaller[one] = below[name[: len(one)]] + before
+    before = np.empty(len(two), np.int64)
+    before[o2] = np.searchsorted(sb0, sb2)
+    smaller[two] = below[name[len(one) :]] + before
     return smaller + 1
 
 
@@ -136,10 +148,12 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def find(batches):
         for b in batches:
-            for i, p, raw in zip(b["id"].to_pylist(), b["print"].to_pylist(), b["text"]):
-                h, first, last, at = windows(raw.as_py())
-                if len(h):
-                    yield pa.record_batch({"id": pa.array(np.full(len(h), i)), "print": pa.array(np.full(len(h), p)), "gram": pa.array(h), "first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32)), "at": pa.array(at.astype(np.int32))})
+            out = [windows(raw.as_py()) for raw in b["text"]]
+            often = [len(x[0]) for x in out]
+            if sum(often):
+                h, first, last, at = (np.concatenate(x) for x in zip(*out))
+                ids, prints = (np.repeat(b[c].to_numpy(), often) for c in ("id", "print"))
+                yield pa.record_batch({"id": ids, "print": prints, "gram": h, "first": first.astype(np.int32), "last": last.astype(np.int32), "at": at.astype(np.int32)})
 
     grams = stored(docs.where("id is not null").mapInArrow(find, "id bigint, print bigint, gram bigint, first int, last int, at int"), "grams")
     often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
@@ -147,13 +161,15 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def cut(batches):
         for b in batches:
-            out = {k: [] for k in ("id", "print", "gram", "first", "lead", "text")}
-            for i, p, raw, places in zip(b["id"].to_pylist(), b["print"].to_pylist(), b["text"].to_pylist(), b["places"].to_pylist()):
-                for x in places:
-                    for k, v in zip(out, (i, p, x["gram"], x["first"], x["at"] - x["first"], raw[x["first"] : x["last"] + SPAN])):
-                        out[k].append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+            listed = b["places"].flatten()
+            often = b["places"].value_lengths().to_numpy()
+            gram, first, last, at = (listed.field(c).to_numpy() for c in ("gram", "first", "last", "at"))
+            ids, prints = (np.repeat(b[c].to_numpy(), often) for c in ("id", "print"))
+            ends, cuts = np.cumsum(often), []
+            for raw, lo, hi in zip(b["text"], ends - often, ends):
+                raw = raw.as_py()
+                cuts += [raw[x : y + SPAN] for x, y in zip(first[lo:hi].tolist(), last[lo:hi].tolist())]
+            yield pa.record_batch({"id": ids, "print": prints, "gram": gram, "first": first, "lead": at - first, "text": pa.array(cuts, pa.binary())})
 
     found = docs.join(places, ["id", "print"]).select("id", "print", "text", "places").mapInArrow(cut, "id bigint, print bigint, gram bigint, first int, lead int, text binary")
     found = stored(found.withColumn("window", F.unhex(F.md5("text"))), "windows")

@@ -27,6 +27,18 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 _loaded: dict[str, "PieceBpe"] = {}
 
 
+class Chunks(dict):
+    """Ids, as little-endian 32-bit integers, of chunks seen before; bytes, unlike lists, cost the collector nothing."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = np.array(self.make(chunk), "<i4").tobytes()
+        return ids
+
+
 class PieceBpe:
     def __init__(self, path: str):
         import ahocorasick
@@ -54,7 +66,11 @@ class PieceBpe:
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.compatible = lru_cache(PAIRS)(lambda a, b: self.merged(a + b) == [a, b])
-        self.chunks: dict[str, list[int]] = {}
+        self.chunks = Chunks(self.encode_chunk)
+        texts = [b"" if i in self.control else (self.unknown_text if i == self.unknown else p.replace(MARK, " ")).encode() for i, p in enumerate(self.pieces)]
+        for i, byte in self.id_byte.items():
+            texts[i] = bytes([byte])
+        self.raw_text = texts.__getitem__
 
     def merged(self, text: str) -> list[str]:
         """The encoding by definition: merge the pair with the best score, leftmost first. For short texts."""
@@ -95,21 +111,31 @@ class PieceBpe:
                 out += [self.byte_id[b] for b in t.encode()]
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode_raw(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
         if not text:
-            return []
+            return b""
         if len(self.chunks) > MEMORY:
             self.chunks.clear()
-        known, out = self.chunks, []
-        for c in CHUNK.findall(MARK * self.dummy_prefix + text.replace(" ", MARK)):
-            ids = known.get(c)
-            if ids is None:
-                ids = known[c] = self.encode_chunk(c)
-            out += ids
-        return out
+        return b"".join(map(self.chunks.__getitem__, CHUNK.findall(MARK * self.dummy_prefix + text.replace(" ", MARK))))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_raw(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """As the library does: bytes in a row form characters, each byte of no character becomes U+FFFD."""
+        # Pieces are whole characters, so if all bytes together form characters, so does each run of byte tokens.
+        if not ids or ids[0] in self.control:
+            return self.decode_broken(ids)
+        try:
+            text = b"".join(map(self.raw_text, ids)).decode()
+        except UnicodeDecodeError:
+            return self.decode_broken(ids)
+        spaced = self.dummy_prefix and ids[0] != self.unknown and ids[0] not in self.id_byte and text[:1] == " "
+        return text[1:] if spaced else text
+
+    def decode_broken(self, ids: list[int]) -> str:
+        """For ids that may hold bytes of no character, or control tokens in front."""
         pieces, out, pending = self.pieces, [], bytearray()
         first = True
         for i in ids:
@@ -173,9 +199,9 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         coder = piece_bpe(model)
         for b in batches:
-            ids = [coder.encode(t) for t in b["text"].to_pylist()]
-            ends = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1]))
+            ids = [coder.encode_raw(t.as_py()) for t in b["text"]]
+            ends = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
+            flat = np.frombuffer(b"".join(ids), "<i4")
             yield pa.record_batch({"doc_id": b["id"], "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -189,7 +215,7 @@ def decode(df: DataFrame, model: str) -> DataFrame:
     def run(batches):
         coder = piece_bpe(model)
         for b in batches:
-            yield pa.record_batch({"doc_id": b["doc_id"], "ids": b["ids"], "text": pa.array([coder.decode(x or []) for x in b["ids"].to_pylist()], pa.string())})
+            yield pa.record_batch({"doc_id": b["doc_id"], "ids": b["ids"], "text": pa.array([coder.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in b["ids"]], pa.string())})
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
 

@@ -157,13 +157,16 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     grams = stored(docs.where("id is not null").mapInArrow(find, "id bigint, print bigint, gram bigint, first int, last int, at int"), "grams")
     often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    places = grams.join(often, "gram").groupBy("id", "print").agg(F.array_distinct(F.collect_list(F.struct("gram", "first", "last", "at"))).alias("places"))
+    places = grams.join(often, "gram").groupBy("id", "print").agg(F.collect_list(F.struct("gram", "first", "last", "at")).alias("places"))
 
     def cut(batches):
         for b in batches:
-            listed = b["places"].flatten()
-            often = b["places"].value_lengths().to_numpy()
-            gram, first, last, at = (listed.field(c).to_numpy() for c in ("gram", "first", "last", "at"))
+            listed, often = b["places"].flatten(), b["places"].value_lengths().to_numpy()
+            # Repeated rows list each place more than once; a text's places differ in their first start.
+            key = np.repeat(np.arange(len(often)), often) << 32 | listed.field("first").to_numpy()
+            pick = np.unique(key, return_index=True)[1]
+            often = np.bincount(key[pick] >> 32, minlength=len(often))
+            gram, first, last, at = (listed.field(c).to_numpy()[pick] for c in ("gram", "first", "last", "at"))
             ids, prints = (np.repeat(b[c].to_numpy(), often) for c in ("id", "print"))
             ends, cuts = np.cumsum(often), []
             for raw, lo, hi in zip(b["text"], ends - often, ends):

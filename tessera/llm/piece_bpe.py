@@ -53,6 +53,7 @@ class PieceBpe:
         self.dummy_prefix = norm.add_dummy_prefix
         self.pieces = [p.piece for p in model.pieces]
         self.score = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type == 1}
+        self.id_of = {p: i for p, (_, i) in self.score.items()}
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.id_byte = {i: b for b, i in self.byte_id.items()}
         self.control = {i for i, p in enumerate(model.pieces) if p.type == 3}
@@ -83,32 +84,26 @@ class PieceBpe:
 
     def last_tokens(self, chunk: str) -> list[str]:
         """Of every prefix of chunk: the last token of its encoding."""
-        ends: list[list[str]] = [[] for _ in chunk]
-        for end, piece in self.automaton.iter(chunk):
-            ends[end].append(piece)
-        last: list[str] = []
-        for i, found in enumerate(ends):
-            found.sort(key=len, reverse=True)
-            for piece in found:
-                begin = i + 1 - len(piece)
+        last, done = list(chunk), -1
+        for end, piece in self.automaton.iter(chunk):  # in order of their ends, the longest first
+            if end != done:
+                begin = end + 1 - len(piece)
                 if not begin or self.compatible(last[begin - 1], piece):
-                    last.append(piece)
-                    break
-            else:
-                last.append(chunk[i])
+                    last[end] = piece
+                    done = end
         return last
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        last, at, tokens = self.last_tokens(chunk), len(chunk), []
+        last, at, out = self.last_tokens(chunk), len(chunk), []
         while at:
-            tokens.append(last[at - 1])
-            at -= len(last[at - 1])
-        out: list[int] = []
-        for t in reversed(tokens):
-            if t in self.score:
-                out.append(self.score[t][1])
+            token = last[at - 1]
+            at -= len(token)
+            i = self.id_of.get(token)
+            if i is None:
+                out += [self.byte_id[b] for b in reversed(token.encode())]
             else:
-                out += [self.byte_id[b] for b in t.encode()]
+                out.append(i)
+        out.reverse()
         return out
 
     def encode_raw(self, text: str) -> bytes:

@@ -153,33 +153,40 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if sum(often):
                 h, first, last, at = (np.concatenate(x) for x in zip(*out))
                 ids, prints = (np.repeat(b[c].to_numpy(), often) for c in ("id", "print"))
-                yield pa.record_batch({"id": ids, "print": prints, "gram": h, "first": first.astype(np.int32), "last": last.astype(np.int32), "at": at.astype(np.int32)})
+                yield pa.record_batch({"id": ids, "print": prints, "gram": h, "first": first.astype(np.int32), "more": (last - first).astype(np.int32), "lead": (at - first).astype(np.int32)})
 
-    grams = stored(docs.where("id is not null").mapInArrow(find, "id bigint, print bigint, gram bigint, first int, last int, at int"), "grams")
-    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    places = grams.join(often, "gram").groupBy("id", "print").agg(F.collect_list(F.struct("gram", "first", "last", "at")).alias("places"))
+    grams = stored(docs.where("id is not null").mapInArrow(find, "id bigint, print bigint, gram bigint, first int, more int, lead int"), "grams")
+    # Stored, as a join with an aggregation of its own key is never split; a passage in many texts makes a hot gram.
+    often = stored(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
+    # A window's first start, how many starts follow it, and where its gram lies: three short columns in a file (they
+    # have few values), but one number in a shuffled row.
+    place = F.expr("shiftleft(cast(first as bigint), 16) | shiftleft(more, 8) | lead").alias("place")
+    places = grams.select("id", "print", "gram", place).join(often.hint("merge"), "gram").groupBy("id", "print").agg(F.collect_list(F.struct("gram", "place")).alias("places"))
 
     def cut(batches):
         for b in batches:
             listed, often = b["places"].flatten(), b["places"].value_lengths().to_numpy()
+            gram, place = (listed.field(c).to_numpy() for c in ("gram", "place"))
             # Repeated rows list each place more than once; a text's places differ in their first start.
-            key = np.repeat(np.arange(len(often)), often) << 32 | listed.field("first").to_numpy()
+            key = np.repeat(np.arange(len(often)), often) << 32 | place >> 16
             pick = np.unique(key, return_index=True)[1]
             often = np.bincount(key[pick] >> 32, minlength=len(often))
-            gram, first, last, at = (listed.field(c).to_numpy()[pick] for c in ("gram", "first", "last", "at"))
+            gram, place = gram[pick], place[pick]
+            first, lead = (place >> 16).astype(np.int32), (place & 0xFF).astype(np.int32)
+            last = first + (place >> 8 & 0xFF)
             ids, prints = (np.repeat(b[c].to_numpy(), often) for c in ("id", "print"))
             ends, cuts = np.cumsum(often), []
             for raw, lo, hi in zip(b["text"], ends - often, ends):
                 raw = raw.as_py()
                 cuts += [raw[x : y + SPAN] for x, y in zip(first[lo:hi].tolist(), last[lo:hi].tolist())]
-            yield pa.record_batch({"id": ids, "print": prints, "gram": gram, "first": first, "lead": at - first, "text": pa.array(cuts, pa.binary())})
+            yield pa.record_batch({"id": ids, "print": prints, "gram": gram, "first": first, "lead": lead, "text": pa.array(cuts, pa.binary())})
 
     found = docs.join(places, ["id", "print"]).select("id", "print", "text", "places").mapInArrow(cut, "id bigint, print bigint, gram bigint, first int, lead int, text binary")
     found = stored(found.withColumn("window", F.unhex(F.md5("text"))), "windows")
     alike = found.groupBy("gram", "window", "lead").agg(F.count("*").alias("n"), F.any_value("text").alias("text"))
     alike = stored(alike, "distinct-windows")
-    groups = alike.groupBy("gram").agg(F.count("*").alias("windows")).where("windows > 1")
-    todo = alike.join(groups, "gram")
+    groups = stored(alike.groupBy("gram").agg(F.count("*").alias("windows")).where("windows > 1"), "gram-windows")
+    todo = alike.join(groups.hint("merge"), "gram")
 
     schema = "gram bigint, window binary, lead int, runs array<int>"
 

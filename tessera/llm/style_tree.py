@@ -131,24 +131,27 @@ def collapse(text: str) -> str:
 
 
 def main_text(page: str | None, low: set[int]) -> str:
-    """The page's text without low branches and elements that are never main text."""
+    """The page's text without low branches and elements that are never main text.
+
+    With an article or main only what is in it counts. Low branches go there too, but an inline element is part of its
+    sentence and goes only with its block, and a page that would lose all its main text to them keeps it.
+    """
     nodes, runs = parse(page or "")
-    mains = [n for n in nodes if n.main and not n.noise]
+    mains = [n for n in nodes if n.tag in MAIN and not n.noise]
     guarded = set()
     for n in mains:
         while n is not None and n not in guarded:
             guarded.add(n)
             n = n.parent
-    gone: dict[Node, bool] = {}
-    for n in nodes:  # parents come first
-        gone[n] = n.noise or n.parent is not None and gone[n.parent] or n.path in low and n not in guarded or bool(mains) and n not in guarded and not n.main
-    parts = []
-    for n, text in runs:
-        if text is None:
-            parts.append(" ")
-        elif not gone[n]:
-            parts.append(entities.unescape(text))
-    return collapse("".join(parts))
+
+    def left(low: set[int]) -> str:
+        gone: dict[Node, bool] = {}
+        for n in nodes:  # parents come first
+            judged = n not in guarded and not (n.main and n.tag in INLINE)
+            gone[n] = n.noise or n.parent is not None and gone[n.parent] or judged and n.path in low or bool(mains) and n not in guarded and not n.main
+        return collapse("".join(" " if text is None else "" if gone[n] else entities.unescape(text) for n, text in runs))
+
+    return left(low) or (left(set()) if mains and low else "")
 
 
 def counts(page: str | None):
@@ -189,7 +192,8 @@ def low_branches(tree: pd.DataFrame) -> list[int]:
         inner = sum(v * n for v, n in parts) / sum(n for _, n in parts) if parts else 0.0
         share = GAMMA ** max(1, r.shapes)
         importance[p] = (1 - share) * r.presentation + share * inner if below else inner
-        best[p] = max([importance[p], *(best[c] for c in below)])
+        # A node's own text is a leaf: one that differs from page to page keeps its node, whatever children it has.
+        best[p] = max([importance[p], *(best[c] for c in below), *([r.content] if r.content == r.content else [])])
     out, todo = [], [p for p in info if info[p].parent not in info]
     while todo:
         p = todo.pop()

@@ -159,3 +159,13 @@ def test_style_tree_finds_what_repeats(spark):
     out = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert "same words" not in out[3] and len(out[3].split()) == 30
     assert (out[100], out[None], out[101]) == ("", "t", "alone")
+
+
+def test_low_branches_go_inside_the_article(spark):
+    rng = random.Random(2)
+    page = "<body><main><article><div class=box><ul><li>Send to friends</li></ul></div><p>{} <em>same</em> end</p></article></main></body>"
+    rows = [Row(page_id=i, url=f"http://h.example/{i}", html=page.format(sentence(rng, 30))) for i in range(20)]
+    rows += [Row(page_id=100 + i, url=f"http://g.example/{i}", html="<article><p>one text</p></article>") for i in range(10)]
+    out = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all("friends" not in out[i] and out[i].endswith(" same end") and len(out[i].split()) == 32 for i in range(20))
+    assert all(out[100 + i] == "one text" for i in range(10))

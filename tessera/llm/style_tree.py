@@ -50,10 +50,10 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "main", "children", "text")
+    __slots__ = ("tag", "path", "parent", "noise", "named", "main", "children", "text")
 
-    def __init__(self, tag, path, parent, noise, main):
-        self.tag, self.path, self.parent, self.noise, self.main = tag, path, parent, noise, main
+    def __init__(self, tag, path, parent, noise, named, main):
+        self.tag, self.path, self.parent, self.noise, self.named, self.main = tag, path, parent, noise, named, main
         self.children: list[str] = []
         self.text: list[str] = []
 
@@ -64,9 +64,9 @@ def path_of(parent: int, signature: str) -> int:
 
 def parse(page: str):
     """(nodes, runs): the element nodes, and the page's text as (node, text) with (node, None) at block boundaries."""
-    root = Node("", 0, None, False, False)
+    root = Node("", 0, None, False, False, False)
     stack, nodes, runs, at = [root], [root], [], 0
-    signatures: dict[str, tuple[str, bool]] = {}
+    signatures: dict[str, tuple[str, bool, bool, bool, bool]] = {}
 
     def add(text: str) -> None:
         if text:
@@ -100,14 +100,13 @@ def parse(page: str):
         if key not in signatures:
             found = {a.lower(): (x or y or z).lower() for a, x, y, z in NAMED.findall(attrs)} if attrs else {}
             words = {w for v in found.values() for w in SPLIT.split(v)}
-            noise = tag in NEVER or bool(words & NOISE_WORDS) and tag not in ("html", "body", *MAIN)
-            outer = tag in OUTER_NOISE or bool(words & OUTER_NOISE)
-            signatures[key] = tag + "." + re.sub(r"\d+", "0", found.get("class", "") + "#" + found.get("id", "")), noise, outer
-        signature, noise, outer = signatures[key]
+            plain = tag not in ("html", "body", *MAIN)
+            signatures[key] = tag + "." + re.sub(r"\d+", "0", found.get("class", "") + "#" + found.get("id", "")), tag in NEVER, plain and bool(words & NOISE_WORDS), tag in OUTER_NOISE, bool(words & OUTER_NOISE)
+        signature, noise, named, outer, outer_named = signatures[key]
         parent = stack[-1]
         parent.children.append(signature)
         main = parent.main or tag in MAIN
-        node = Node(tag, path_of(parent.path, signature), parent, parent.noise or noise or (outer and not main), main)
+        node = Node(tag, path_of(parent.path, signature), parent, parent.noise or noise or (outer and not main), named or (outer_named and not main), main)
         nodes.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in INLINE | CLOSES_P:
             continue
@@ -123,9 +122,40 @@ def parse(page: str):
             continue
         stack.append(node)
     add(page[at:])
+    settle_names(nodes)
     return nodes, runs
 
 
+def settle_names(nodes: list[Node]) -> None:
+    """Adds to noise what class, id and role words say: an element that they name goes with all below, unless it holds
+    the page's article.
+
+    That is the outermost article, or a main without one; of several, those below the fewest named elements, so that
+    comments or teasers marked up as articles don't count beside it.
+    """
+    holds, inside = set(), set()  # nodes above an article, articles and nodes below one
+    for n in nodes:
+        if n.tag == "article" or n.parent in inside:
+            inside.add(n)
+        if n.tag == "article" and not n.noise:
+            up = n.parent
+            while up is not None and up not in holds:
+                holds.add(up)
+                up = up.parent
+    depth: dict[Node, int] = {}
+    for n in nodes:
+        depth[n] = (depth[n.parent] if n.parent is not None else 0) + n.named
+    found = [n for n in nodes if n.tag in MAIN and not n.noise and n.parent not in inside and (n.tag == "article" or n not in holds)]
+    least = min((depth[n] for n in found), default=0)
+    for n in found:
+        if depth[n] == least:
+            while n is not None and depth[n]:
+                n.named = False
+                n = n.parent
+    for n in nodes:  # parents come first
+        n.noise = n.noise or n.named or n.parent is not None and n.parent.noise
+
+
 def collapse(text: str) -> str:
     return " ".join(text.split())
 

@@ -169,3 +169,19 @@ def test_low_branches_go_inside_the_article(spark):
     out = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert all("friends" not in out[i] and out[i].endswith(" same end") and len(out[i].split()) == 32 for i in range(20))
     assert all(out[100 + i] == "one text" for i in range(10))
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ('<div class="content no-sidebar"><article><p>x</p></article></div>', "x"),
+        ('<div id="page" class="has-sidebar"><main><section class="post with-comments"><article>x</article></section></main></div><p>y', "x"),
+        ('<div class="page-header"><main>x</main></div>', "x"),
+        ('<div class="with-sidebar"><article>x<div class="comments"><article>c</article></div></article><div class="comments"><article>c</article></div></div>', "x"),
+        ('<main><article>x</article><div class="related"><article>c</article></div></main>', "x"),
+        ('<div class="sidebar"><p>c</p></div><p>x', "x"),
+        ('<aside><article>c</article></aside><p>x', "x"),
+    ],
+)
+def test_class_words_spare_what_holds_the_article(body, text):
+    assert style_tree.main_text(PAGE.replace("{}", body), set()) == text

@@ -34,6 +34,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 80
 
 
+@pytest.mark.parametrize(("name", "key", "table", "id"), [("tfidf_topk_all", "item_id", "benchmark", "item_id"), ("memory_block_all", "item_id", "benchmark", "item_id"), ("dense_topk_all", "query", "embeddings", "vec_id"), ("hit_label_all", "query", "embeddings", "vec_id"), ("label_counts_all", "query", "embeddings", "vec_id")])
+def test_all_rows_are_searched_for(spark, name, key, table, id):
+    asked = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(id).collect()}
+    assert {r[0] for r in QUERIES[name](spark, SF).select(key).collect()} == asked
+
+
 def test_rank_is_limited_before_the_shuffle(spark):
     plan = QUERIES["tfidf_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan and "Cartesian" not in plan

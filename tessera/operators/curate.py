@@ -251,12 +251,22 @@ def safe_int(t):
     return t.events.select("event_id", X.safe_int(F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type"))).alias("n"))
 
 
+def _overlap(docs: DataFrame) -> DataFrame:
+    c = docs.select("doc_id", F.explode(F.split(F.trim("text"), r"\s+")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    r = c.where("doc_id = 0").select("w", F.col("n").alias("m"))
+    return c.join(r, "w", "left").groupBy("doc_id").agg(F.round(F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n"), 6).alias("p"))
+
+
 @query("ngram_overlap", r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\s+')) AS w FROM documents WHERE doc_id < 40), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT w, n FROM c WHERE doc_id = 0) SELECT c.doc_id, round(sum(least(c.n, coalesce(r.n, 0)))::DOUBLE / sum(c.n), 6) AS p FROM c LEFT JOIN r USING (w) GROUP BY 1")
 def ngram_overlap(t):
     """Clipped unigram precision of the first documents against document 0."""
-    c = t.documents.where("doc_id < 40").select("doc_id", F.explode(F.split(F.trim("text"), r"\s+")).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    r = c.where("doc_id = 0").select("w", F.col("n").alias("m"))
-    return c.join(r, "w", "left").groupBy("doc_id").agg(F.round(F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n"), 6).alias("p"))
+    return _overlap(t.documents.where("doc_id < 40"))
+
+
+@query("ngram_overlap_all", r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\s+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT w, n FROM c WHERE doc_id = 0) SELECT c.doc_id, round(sum(least(c.n, coalesce(r.n, 0)))::DOUBLE / sum(c.n), 6) AS p FROM c LEFT JOIN r USING (w) GROUP BY 1")
+def ngram_overlap_all(t):
+    """Clipped unigram precision of all documents against document 0."""
+    return _overlap(t.documents)
 
 
 @query("mask_labels", """WITH p AS (SELECT conv_id, min(text) FILTER (turn = 0) AS u, min(text) FILTER (turn = 1) AS a FROM conversations GROUP BY 1),

@@ -66,6 +66,11 @@ def multi_run(t):
     return _steps(t).join(F.broadcast(runs), "event_type", "left_semi").select(F.col("event_type").alias("run"), "step", F.round(rolling(F.col("value"), ["event_type"], ["step"], 5), 6).alias("loss"))
 
 
+@query("multi_run_all", _STEPS + " SELECT event_type AS run, step::INT AS step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 4 PRECEDING), 6) AS loss FROM s")
+def multi_run_all(t):
+    return _steps(t).select(F.col("event_type").alias("run"), "step", F.round(rolling(F.col("value"), ["event_type"], ["step"], 5), 6).alias("loss"))
+
+
 @query("tumbling_steps", _STEPS + " SELECT event_type, ((step - 1) // 100)::INT AS bucket, round(avg(value), 6) AS mean_value, count(*) AS n FROM s GROUP BY 1, 2")
 def tumbling_steps(t):
     return _steps(t).groupBy("event_type", F.floor((F.col("step") - 1) / 100).cast("int").alias("bucket")).agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))

@@ -40,6 +40,12 @@ def test_all_rows_are_searched_for(spark, name, key, table, id):
     assert {r[0] for r in QUERIES[name](spark, SF).select(key).collect()} == asked
 
 
+def test_all_documents_and_runs_have_rows(spark):
+    n = lambda table, id: spark.read.parquet(f"{SF}/{table}.parquet").select(id).distinct().count()
+    assert QUERIES["ngram_overlap_all"](spark, SF).count() == n("documents", "doc_id")
+    assert QUERIES["multi_run_all"](spark, SF).select("run").distinct().count() == n("events", "event_type") > 2
+
+
 def test_rank_is_limited_before_the_shuffle(spark):
     plan = QUERIES["tfidf_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan and "Cartesian" not in plan

@@ -20,16 +20,25 @@ def identify(spark, docs, sf_dir):
     return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def numbered(docs):
+    """docs with a number of its own for each row, as doc_id may be null or repeated; stored, so that it stays the same."""
+    return stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_copies(spark, docs, sf_dir):
-    """Of equal texts the one that exact_dedup keeps stays."""
-    keep = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+    """Of equal texts the one row that exact_dedup keeps stays, whether its doc_id is null or repeated."""
+    docs = numbered(docs)
+    keep = exact_dedup.exact_dedup(docs, row_col="_row").where("kept").select("_row")
+    return docs.join(keep, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each class of near-duplicates the document with the smallest doc_id stays."""
-    keep = near_dedup.near_dedup(docs).where("doc_id = class_id").select("doc_id")
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+    """Of each class of near-duplicates the row with the smallest doc_id stays; a null doc_id comes after all others."""
+    docs = numbered(docs)
+    classes = near_dedup.near_dedup(docs, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    keep = classes.join(docs.select("_row", "doc_id"), "_row").groupBy("class_id").agg(first.alias("x")).select(F.col("x._row").alias("_row"))
+    return docs.join(keep, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_lines(spark, docs, sf_dir):

@@ -104,13 +104,13 @@ def winners(digests: DataFrame, fan_in: int) -> DataFrame:
     return runs.groupBy("node").applyInArrow(last, "digest binary, keep_id bigint, keep_row bigint, group_size bigint")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8, row_col: str | None = None) -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their normalised forms are; the row with most code points stays, then the smallest id.
     A null text counts as empty, so empty and null texts form one group. A null id sorts after all others. Of
     repeated rows (same id and text) exactly one is kept. Other columns of df are ignored, an empty df gives no
-    rows. Ids must be integers.
+    rows. Ids must be integers. If df numbers its rows in row_col, with no number twice, the result has it too.
     """
     small_batches(df.sparkSession, 20_000)
     digests = stored(
@@ -118,7 +118,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             F.col(id_col).cast("bigint").alias("id"),
             F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("length"),
             F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("digest"),
-            F.monotonically_increasing_id().alias("row"),
+            (F.col(row_col).cast("bigint") if row_col else F.monotonically_increasing_id()).alias("row"),
         ),
         "digests",
     )
@@ -131,6 +131,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 

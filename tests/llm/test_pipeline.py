@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -54,3 +55,25 @@ def test_every_stage_takes_effect(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    alone, twice, other = own_words(rng, 60), own_words(rng, 60), own_words(rng, 60)
+    near = own_words(rng, 120).split()
+    changed = " ".join([*near[:60], "changed", *near[61:]])
+    rows = [(None, alone), (1, twice), (1, twice), (2, other), (2, own_words(rng, 60)), (None, " ".join(near)), (3, changed)]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    by = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    unique = corpus_pipeline.drop_copies(spark, docs, None)
+    assert by(unique) == sorted(set(rows), key=repr)
+    left = corpus_pipeline.drop_near_copies(spark, unique, None)
+    assert by(left) == sorted({(i, t) for i, t in rows if t != " ".join(near)}, key=repr)
+    tokenizer, want, got = Tokenizer.from_file(byte_bpe.default_path()), Counter(), Counter()
+    for i, text in by(left):
+        want[i] += len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+    for p in corpus_pipeline.pack(spark, left, None).collect():
+        got[p.doc_id] += p.length
+    assert got == want

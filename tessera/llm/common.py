@@ -38,6 +38,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value computed once: a higher-order function would compute it again for every element."""
     return F.transform(F.array(value), use)[0]

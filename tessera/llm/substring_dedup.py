@@ -1,71 +1,112 @@
-"""Substring deduplication by hashing lines.
-
-A unit is one line of a text. Units are normalised (lower case, white space runs become one space, ends trimmed) and
-digested; equal digests form a group over all documents. Its earliest unit by (document id, line number) stays, all
-others go. What is left of a text keeps the offsets that its lines had.
+"""Substring deduplication by hashing lines, cut at sentence ends.
+
+A unit is a line of a text, or a part of one that ends where a sentence does: at a full stop, question or exclamation
+mark that white space follows. A passage that was pasted into a line is thus found by all its sentences but the one
+that runs on from the words before it. Units are normalised (lower case, white space runs become one space, ends
+trimmed) and digested; equal digests form a group over all documents. Its earliest unit by (document id, place) stays.
+The others are repeats. A run of neighbouring repeats goes if it holds LEAST_RUN words or more: so a passage goes whose
+sentences are short, and a short stock line that many documents share stays. What is left of a text is unchanged, and
+the offsets of what went are kept.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import fresh_name, let, stored, table
 
 #: Units of fewer words repeat by chance ("Yes.") and stay.
 LEAST_WORDS = 5
+#: Words of a run of neighbouring repeats that goes. Measured on 51,282 documents: see the README.
+LEAST_RUN = 20
 GAP = r"[\x20\x09-\x0D]+"
+#: A unit with the white space that ends it; units joined are the text.
+PIECE = r"(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n|\z)"
+#: What of a unit lies between it and the next.
+END = r"([.!?])[\x20\x09-\x0D]+\z|\n\z"
+GONE = "array<int>"
+
+
+def pieces(text: Column) -> Column:
+    return F.filter(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: x != "")
 
 
 def normal_unit(unit: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(unit), GAP, " "))
+    return F.trim(F.regexp_replace(unit, GAP, " "))
+
+
+def units_of(rows: DataFrame, least_words: int) -> DataFrame:
+    """(row, id, pos, words, digest) of each unit with least_words words or more; rows has row, id and text."""
+    units = F.transform(pieces(F.lower("text")), lambda x, i: F.struct(i.alias("pos"), normal_unit(x).alias("unit")))
+    sized = F.transform(units, lambda u: F.struct(u["pos"].alias("pos"), F.size(F.split(u["unit"], " ")).alias("words"), u["unit"].alias("unit")))
+    long_ones = F.filter(sized, lambda u: u["words"] >= least_words)
+    unit = F.explode(F.transform(long_ones, lambda u: F.struct(u["pos"].alias("pos"), u["words"].alias("words"), F.unhex(F.md5(u["unit"].cast("binary"))).alias("digest"))))
+    return rows.select("row", "id", unit.alias("u")).select("row", "id", "u.pos", "u.words", "u.digest")
 
 
-def units_of(df: DataFrame, least_words: int) -> DataFrame:
-    """(row_key, id, pos, digest) of each unit with least_words words or more."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), normal_unit(x).alias("unit")))
-    long_ones = F.filter(lines, lambda u: F.size(F.split(u["unit"], " ")) >= least_words)
-    unit = F.explode(F.transform(long_ones, lambda u: F.struct(u["pos"].alias("pos"), F.unhex(F.md5(u["unit"].cast("binary"))).alias("digest"))))
-    return df.select("id", unit.alias("u")).select("id", "u.pos", "u.digest")
+def long_runs(repeats: Column, least_run: int) -> Column:
+    """Places of the repeats (pos, words), in order, that lie in runs of neighbours with least_run words or more."""
+    none = F.lit(None).cast(GONE)
+    empty = F.expr(f"cast(array() as {GONE})")
 
+    def closed(acc: Column) -> Column:
+        return F.when(acc["words"] >= least_run, F.concat(acc["out"], acc["run"])).otherwise(acc["out"])
 
-def spans_of(text: Column, gone: Column) -> Column:
-    """Kept lines as (start, end, text) with code point offsets in the original text; gone: line numbers to remove."""
-    lines = F.split(text, "\n")
-    start = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.expr("cast(array() as array<struct<i:int,start:int,end:int>>)").alias("out")),
+    def step(acc: Column, u: Column) -> Column:
+        goes_on = u["pos"] == acc["last"] + 1
+        return F.struct(
+            u["pos"].alias("last"),
+            F.when(goes_on, acc["words"] + u["words"]).otherwise(u["words"]).alias("words"),
+            F.when(goes_on, F.concat(acc["run"], F.array(u["pos"]))).otherwise(F.array(u["pos"])).alias("run"),
+            F.when(goes_on, acc["out"]).otherwise(closed(acc)).alias("out"),
+        )
+
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("words"), empty.alias("run"), empty.alias("out"))
+    gone = F.aggregate(F.array_sort(repeats), start, step, closed)
+    return F.when(F.size(gone) > 0, gone).otherwise(none)
+
+
+def spans_of(parts: Column, gone: Column) -> Column:
+    """(start, end) of each unit in gone, in code points of the text, without the white space that ends it."""
+    ends = F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out")),
         lambda acc, x: F.struct(
-            (acc["at"] + F.length(x) + 1).alias("at"),
-            (acc["i"] + 1).alias("i"),
-            F.concat(acc["out"], F.array(F.struct(acc["i"].alias("i"), acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end")))).alias("out"),
+            (acc["at"] + F.length(x)).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(F.regexp_replace(x, END, "$1"))).alias("end")))).alias("out"),
         ),
         lambda acc: acc["out"],
     )
-    return F.filter(start, lambda s: F.array_contains(gone, s["i"]))
+    return let(ends, lambda e: F.transform(gone, lambda i: F.get(e, i)))
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Rows of df with text replaced, and n_removed (lines) and removed (start, end of each removed line in the
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
+    """Rows of df with text replaced, and n_removed (units) and removed (start, end of each removed unit in the
     original text, in code points) added.
 
-    The earliest unit is the one with the smallest id, then line number. A null or empty text stays as it is. Of
-    repeated rows with one id, all keep the lines that the id keeps. Rows with a null id never lose lines, nor make
-    others lose them. Columns of df named like those added are replaced; an empty df gives no rows.
+    The earliest unit is the one with the smallest id, then row, then place; a null id comes after all others. A null
+    or empty text stays as it is. Each row loses what repeats in itself, whatever other rows have its id; of repeated
+    rows the first keeps its text. Columns of df named like those added are replaced; an empty df gives no rows.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    units = units_of(rows, least_words)
-    rank = F.struct("id", "pos")
-    repeated = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # One row a digest on the right, so a hot line's rows on the left can be split by the adaptive skew join.
-    lost = units.join(repeated, "digest").where(F.struct("id", "pos") != F.col("first"))
-    gone = lost.groupBy("id").agg(F.collect_set("pos").alias("_gone"))
-    out = df.drop("n_removed", "removed").join(gone.withColumnRenamed("id", "_gone_id"), F.col(id_col) == F.col("_gone_id"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    mine = fresh_name(df, "row"), fresh_name(df, "gone")
+    numbered = stored(df.drop("n_removed", "removed").withColumn(mine[0], F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(mine[0]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    units = stored(units_of(rows, least_words), "units")
+    rank = F.struct(F.col("id").isNull(), "id", "row", "pos")
+    # Stored, as a join with an aggregation of its own key is never split; a stock line makes a hot digest.
+    repeated = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = stored(repeated.select("digest", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "repeated-units")
+    lost = units.select("row", "pos", "words", "digest").join(repeated, "digest").where("row <> first_row or pos <> first_pos")
+    gone = lost.groupBy("row").agg(long_runs(F.collect_list(F.struct("pos", "words")), least_run).alias("gone")).where("gone is not null")
+    gone = stored(gone.select(F.col("row").alias(mine[0]), F.col("gone").alias(mine[1])), "gone-units")
+    out = numbered.join(gone, mine[0], "left")
+    text, places = F.col(text_col), F.col(mine[1])
+    kept = F.array_join(F.filter(pieces(text), lambda x, i: ~F.array_contains(places, i)), "")
     nothing = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     return out.withColumns({
-        "removed": F.when(F.col("_gone").isNull(), nothing).otherwise(F.transform(spans_of(F.col(text_col), F.col("_gone")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
-        text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept),
-    }).drop("_gone", "_gone_id")
+        "removed": F.when(places.isNull(), nothing).otherwise(spans_of(pieces(text), places)),
+        "n_removed": F.coalesce(F.size(places), F.lit(0)).cast("bigint"),
+        text_col: F.when(places.isNull(), text).otherwise(kept),
+    }).drop(*mine)
 
 
 def op5_substring_dedup(spark, sf_dir):
@@ -76,12 +117,16 @@ def op5_substring_dedup(spark, sf_dir):
 
 
 _UNITS = rf"""
-lines AS (SELECT doc_id, pos, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS start
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
-        FROM documents WHERE text IS NOT NULL)),
-units AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM lines),
-judged AS (SELECT *, len(string_split(unit, ' ')) >= {LEAST_WORDS} AND doc_id IS NOT NULL
-  AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS gone FROM units)"""
+cut AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{PIECE}'), lambda x: x <> '') AS pieces FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) - 1 AS pos FROM cut),
+placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  trim(regexp_replace(lower(piece), '{GAP}', ' ', 'g')) AS unit FROM pieces),
+sized AS (SELECT *, len(string_split(unit, ' ')) AS words FROM placed),
+judged AS (SELECT *, words >= {LEAST_WORDS} AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, pos) > 1 AS repeat FROM sized),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, repeat ORDER BY pos) AS island FROM judged),
+final AS (SELECT *, repeat AND sum(words) OVER (PARTITION BY doc_id, repeat, island) >= {LEAST_RUN} AS gone FROM islands)"""
+
+_LENGTH = r"CASE WHEN regexp_matches(piece, '[.!?][\x20\x09-\x0D]+\z') THEN length(rtrim(piece, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) WHEN suffix(piece, chr(10)) THEN length(piece) - 1 ELSE length(piece) END"
 
 OP5_SQL = rf"""
 WITH {_UNITS}
@@ -89,7 +134,7 @@ SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_s
   CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
 FROM documents d LEFT JOIN (
   SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-    string_agg(start::BIGINT || '-' || (start + length(line))::BIGINT, ',' ORDER BY pos) FILTER (gone) AS removed_spans,
-    string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept
-  FROM judged GROUP BY doc_id) USING (doc_id)
+    string_agg(start::BIGINT || '-' || (start + length(regexp_replace(piece, '{END}', '')))::BIGINT, ',' ORDER BY pos) FILTER (gone) AS removed_spans,
+    string_agg(piece, '' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM final GROUP BY doc_id) USING (doc_id)
 """

@@ -72,7 +72,7 @@ def test_quality_odd(spark):
 def test_substring_odd(spark):
     line = "this line has more than five words"
     rows = [(1, None), (2, ""), (3, f"{line}\nown words of the third text"), (4, f"x\n  THIS line has\tmore than five words \ny"), (4, f"x\n  THIS line has\tmore than five words \ny"), (None, line)]
-    out = {r.doc_id: r for r in substring_dedup.substring_dedup(documents(spark, rows)).collect() if r.doc_id}
+    out = {r.doc_id: r for r in substring_dedup.substring_dedup(documents(spark, rows), least_run=5).collect() if r.doc_id}
     assert out[1].text is None and out[2].text == "" and out[3].n_removed == 0
     assert out[4].text == "x\ny" and [(s.start, s.end) for s in out[4].removed] == [(2, 39)]
 

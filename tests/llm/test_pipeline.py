@@ -9,7 +9,7 @@ import numpy as np
 import corpus_pipeline
 from tessera.llm import byte_bpe
 
-LINE = "this line is shared and has more than five words"
+LINE = "this line is shared and, as shorter ones stay however often they stand in other texts, has more than twenty words of its own"
 
 
 def own_words(rng, n):

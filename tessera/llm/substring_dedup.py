@@ -92,13 +92,14 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = numbered.select(F.col(mine[0]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     units = stored(units_of(rows, least_words), "units")
     rank = F.struct(F.col("id").isNull(), "id", "row", "pos")
-    # Stored, as a join with an aggregation of its own key is never split; a stock line makes a hot digest.
+    # Stored, as a join with an aggregation of its own key is never split; a stock line makes a hot digest. Both joins
+    # are merge joins at every size, so that a small run shows what a large one shuffles.
     repeated = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = stored(repeated.select("digest", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "repeated-units")
-    lost = units.select("row", "pos", "words", "digest").join(repeated, "digest").where("row <> first_row or pos <> first_pos")
+    lost = units.select("row", "pos", "words", "digest").join(repeated.hint("merge"), "digest").where("row <> first_row or pos <> first_pos")
     gone = lost.groupBy("row").agg(long_runs(F.collect_list(F.struct("pos", "words")), least_run).alias("gone")).where("gone is not null")
     gone = stored(gone.select(F.col("row").alias(mine[0]), F.col("gone").alias(mine[1])), "gone-units")
-    out = numbered.join(gone, mine[0], "left")
+    out = numbered.join(gone.hint("merge"), mine[0], "left")
     text, places = F.col(text_col), F.col(mine[1])
     kept = F.array_join(F.filter(pieces(text), lambda x, i: ~F.array_contains(places, i)), "")
     nothing = F.expr("cast(array() as array<struct<start:int,end:int>>)")

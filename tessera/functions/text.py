@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WHITE = " \t\n\r\x0b\x0c"
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -33,12 +34,12 @@ def content_hash(task: Column, call: Column) -> Column:
 
 def normalize_code(code: Column) -> Column:
     """Lines trimmed and lower-cased, blank ones dropped."""
-    return F.array_join(F.filter(F.transform(F.split(code, "\n"), lambda x: F.lower(F.trim(x))), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(code, "\n"), lambda x: F.lower(F.trim(x, F.lit(WHITE)))), lambda x: x != ""), "\n")
 
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed; null if there is none."""
-    return F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(WHITE))), lambda x: x != ""), F.lit(0))
 
 
 def contains_any(text: Column, markers: list[str]) -> Column:

@@ -139,22 +139,6 @@ def query_text(t):
     return t.documents.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"), F.lit(" "), X.first_words(F.col("text"), 20)).alias("query_text"))
 
 
-@query("normalize_code", "SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(trim(x))), lambda x: x <> ''), chr(10))) AS h FROM documents")
-def normalize_code(t):
-    return t.documents.select("doc_id", F.md5(X.normalize_code(F.col("text")).cast("binary")).alias("h"))
-
-
-@query("final_answer", "SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS line FROM documents")
-def final_answer(t):
-    return t.documents.select("doc_id", X.first_line(F.col("text")).alias("line"))
-
-
-@query("first_line_type", "SELECT doc_id, CASE WHEN starts_with(line, 'The') THEN 'the' WHEN line IS NULL THEN 'empty' ELSE 'other' END AS kind FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1] AS line FROM documents)")
-def first_line_type(t):
-    line = X.first_line(F.col("text"))
-    return t.documents.select("doc_id", F.when(line.isNull(), "empty").when(F.startswith(line, F.lit("The")), "the").otherwise("other").alias("kind"))
-
-
 @query("truncate_flag", "SELECT doc_id, md5(left(text, 3000)) AS head, length(text) > 3000 AS truncated FROM documents")
 def truncate_flag(t):
     return t.documents.select("doc_id", F.md5(F.left("text", F.lit(3000)).cast("binary")).alias("head"), (F.length("text") > 3000).alias("truncated"))
@@ -190,11 +174,6 @@ def target_tasks(t):
     return t.documents.select("doc_id").join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("banned_markers", "SELECT page_id, contains(html, '<script') OR contains(html, 'onclick') AS banned FROM pages")
-def banned_markers(t):
-    return t.pages.select("page_id", X.contains_any(F.col("html"), ["<script", "onclick"]).alias("banned"))
-
-
 @query("command_policy", "SELECT page_id, starts_with(url, 'https://') AND NOT regexp_matches(url, 'utm_|#') AS allowed FROM pages")
 def command_policy(t):
     return t.pages.select("page_id", (F.startswith("url", F.lit("https://")) & ~F.col("url").rlike("utm_|#")).alias("allowed"))
@@ -240,12 +219,6 @@ def dup_calls(t):
     return t.events.groupBy("user_id").agg((F.count("*") - F.count_distinct("event_type")).alias("dup"))
 
 
-@query("default_check", "SELECT user_id, bool_or(event_type = 'purchase' AND value < 100) AS ok FROM events GROUP BY 1")
-def default_check(t):
-    obs = F.collect_list(F.struct("event_type", "value"))
-    return t.events.groupBy("user_id").agg(F.exists(obs, lambda o: (o["event_type"] == "purchase") & (o["value"] < 100)).alias("ok"))
-
-
 @query("safe_int", "SELECT event_id, coalesce(try_cast(CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR ELSE event_type END AS INT), 0) AS n FROM events")
 def safe_int(t):
     return t.events.select("event_id", X.safe_int(F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type"))).alias("n"))

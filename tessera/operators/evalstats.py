@@ -134,11 +134,6 @@ def critique_lift(t):
     return _judged(t).agg(F.round(rate(F.col("b")) - rate(~F.col("b")), 6).alias("lift"))
 
 
-@query("run_summary", f"{_J} SELECT count(*) AS n, count(*) FILTER (a) AS passed, round(avg(a::INT), 6) AS pass_share, round(avg(b::INT), 6) AS clean_share, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM j")
-def run_summary(t):
-    return _judged(t).agg(F.count("*").alias("n"), F.count_if("a").alias("passed"), F.round(F.avg(F.col("a").cast("int")), 6).alias("pass_share"), F.round(F.avg(F.col("b").cast("int")), 6).alias("clean_share"), F.count_distinct("source").alias("sources"), F.count_distinct("lang").alias("langs"))
-
-
 @query("corrected_audit", f"{_J} SELECT count(*) FILTER (a) AS raw_p, count(*) AS raw_n, count(*) FILTER (a AND doc_id % 10 <> 0) AS p, count(*) FILTER (doc_id % 10 <> 0) AS n FROM j")
 def corrected_audit(t):
     fine = F.col("doc_id") % 10 != 0
@@ -151,16 +146,6 @@ def promotion_verdict(t):
     return s.select("source", verdict(F.col("p"), F.col("c"), F.col("c") + 1, F.col("n")).alias("verdict"))
 
 
-_FAIL = "CASE WHEN event_type = 'error' AND value > 150 THEN 'wrong_tool' WHEN event_type = 'error' THEN 'format' WHEN value > 150 THEN 'generation' WHEN value < 10 THEN 'incomplete' ELSE 'misunderstanding' END"
-
-
-@query("classify_failure", f"SELECT {_FAIL} AS class, count(*) AS n FROM events GROUP BY 1")
-def classify_failure(t):
-    e, v = F.col("event_type") == "error", F.col("value")
-    c = F.when(e & (v > 150), "wrong_tool").when(e, "format").when(v > 150, "generation").when(v < 10, "incomplete").otherwise("misunderstanding")
-    return t.events.groupBy(c.alias("class")).agg(F.count("*").alias("n"))
-
-
 @query("diagnose", "WITH x AS (SELECT user_id, 100.0 * count(*) FILTER (event_type = 'purchase') / count(*) AS p FROM events GROUP BY 1) SELECT user_id, CASE WHEN p >= 75 THEN 'preserved' WHEN p <= 5 THEN 'collapsed' WHEN p >= 10 THEN 'partial' ELSE 'weak' END AS diagnosis FROM x")
 def diagnose(t):
     p = 100.0 * F.count_if(F.col("event_type") == "purchase") / F.count("*")

@@ -1,74 +1,151 @@
 """Ordered operators: moving statistics, buckets, samples, state machines, packing, monitoring of training logs."""
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import char_tokens, duration, equal_width_bin
 from ..plans.registry import query
+from ..plans.storage import stored
 
 
-def global_index(df: DataFrame, key: str, name: str) -> DataFrame:
+#: Bits of a partition-wise row number that number the rows of a partition.
+_BITS = 33
+
+
+def _dealt(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df stored in the order of its columns `order`, with _m: a number for each row whose upper bits are its partition's."""
+    # Stored, as a second evaluation may cut the ranges elsewhere: bounds are sampled, and small partitions merged.
+    return stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), name)
+
+
+def global_index(df: DataFrame, key: str | list, name: str) -> DataFrame:
     """df with name = the row's place, from 0, in the order of key, without one task that sees all rows.
 
-    Rows are range-partitioned; each partition numbers its own and adds the sizes of those before it.
+    Rows are range-partitioned, sorted and stored once; each partition numbers its own and adds the sizes of those
+    before it. Rows with equal keys are placed one after another in any order.
+    """
+    dealt = _dealt(df, [key] if isinstance(key, str) else key, name)
+    part = F.expr(f"shiftright(_m, {_BITS})")
+    sizes = dealt.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select(F.col("_p").alias("_q"), (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_m").bitwiseAND((1 << _BITS) - 1)
+    return dealt.join(F.broadcast(before), part == F.col("_q")).withColumn(name, place.cast("bigint")).drop("_m", "_q", "_before")
+
+
+def numbered(df: DataFrame, group: str, order: list, name: str) -> DataFrame:
+    """df with name = the row's place, from 1, in the order of its group, however large a group is.
+
+    As global_index, but with the sizes of each group in each partition: a row for each partition and group.
     """
-    dealt = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    sizes = dealt.groupBy("_p").count()  # a row for each partition
-    before = sizes.select(F.col("_p").alias("_q"), (F.sum("count").over(W.orderBy("_p")) - F.col("count")).alias("_before"))
-    local = F.row_number().over(W.partitionBy("_p").orderBy(key)) - 1
-    return dealt.withColumn("_local", local).join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint")).drop("_p", "_q", "_local", "_before")
+    dealt = _dealt(df, [group, *order], name).withColumn("_p", F.expr(f"shiftright(_m, {_BITS})"))
+    sizes = dealt.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("_g").orderBy("_q")) - F.col("_n") - F.col("_first"))
+    joined = dealt.join(before.select("_g", "_q", "_before"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return joined.withColumn(name, (F.col("_m") + F.col("_before") + 1).cast("bigint")).drop("_m", "_p", "_g", "_q", "_before")
+
+
+#: Steps that one task of a moving window sees, besides its neighbours'.
+BLOCK = 1 << 16
+
+
+def blocks(steps: DataFrame, before: int, after: int, size: int = BLOCK) -> DataFrame:
+    """steps with _block, and copies of the `before` rows ahead of each block and the `after` rows behind it (_own is
+    false), so that a moving window needs its block alone: one run may be any length."""
+    home = F.floor((F.col("step") - 1) / size)
+    reach = F.sequence(F.floor((F.col("step") - 1 - after) / size), F.floor((F.col("step") - 1 + before) / size))
+    return steps.withColumn("_block", F.explode(reach)).withColumn("_own", F.col("_block") == home)
 
 
-def rolling(value: Column, keys: list, order: list, width: int, how=F.avg) -> Column:
-    return how(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(1 - width, 0))
+def moving(steps: DataFrame, run: str, what: dict, before: int, after: int = 0) -> DataFrame:
+    """The run's own rows of steps with the columns of what: name -> f(window over the block in step order)."""
+    w = W.partitionBy(run, "_block").orderBy("step")
+    spread = blocks(steps, before, after)
+    return spread.withColumns({k: f(w) for k, f in what.items()}).where("_own").drop("_block", "_own")
 
 
-def savgol_interior(value: Column, keys: list, order: list, half: int) -> Column:
-    """Quadratic Savitzky-Golay value where half neighbours exist on both sides, else null."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    m = 2 * half + 1
-    norm = m * (m * m - 4) / 3
-    total: Column = F.lit(0.0)
-    for i in range(-half, half + 1):
-        weight = (3 * m * m - 7 - 20 * i * i) / 4 / norm
-        total = total + weight * (F.lag(value, -i).over(w) if i < 0 else F.lead(value, i).over(w) if i else value) if i else total + weight * value
-    return total
+def rolling(steps: DataFrame, run: str, value: str, width: int, name: str, how=F.avg) -> DataFrame:
+    """steps with name = how over the last width values of the run, fewer at its start."""
+    return moving(steps, run, {name: lambda w: how(value).over(w.rowsBetween(1 - width, 0))}, width - 1)
+
+
+def fit_weights(m: int) -> list[list[float]]:
+    """Row i holds the weights that m values have in the quadratic least-squares fit at the i-th of them."""
+    x = np.arange(m) - (m - 1) / 2
+    basis = np.stack([np.ones(m), x, x * x], axis=1)
+    return (basis @ np.linalg.pinv(basis)).tolist()
+
+
+def savgol(steps: DataFrame, run: str, value: str, name: str, most: int = 11) -> DataFrame:
+    """Quadratic Savitzky-Golay smoothing with a window of most values, or the largest odd number that the run has.
+
+    At the edges the first (last) window's fit is evaluated. Runs of four values or fewer get a moving mean of three.
+    """
+    sizes = steps.groupBy(F.col(run).alias("_r")).agg(F.count("*").alias("_n"))  # a row for each run
+    m = F.least(F.lit(most), F.col("_n") - (F.col("_n") + 1) % 2).cast("int")
+    rows = steps.join(F.broadcast(sizes), F.col(run) == F.col("_r")).withColumn("_w", m)
+    half = (F.col("_w") - 1) / 2
+    # The window that a step's fit lies in begins here.
+    begin = F.least(F.greatest(F.col("step") - half, F.lit(1)), F.col("_n") - F.col("_w") + 1).cast("bigint")
+    rows = rows.withColumn("_at", (F.col("step") - begin).cast("int"))
+    width = most - 1
+    seen = lambda w: F.collect_list(F.struct("step", F.col(value).alias("v"))).over(w.rowsBetween(-width, width))
+    near = moving(rows, run, {"_near": seen}, width, width)
+    inside = F.transform(F.filter("_near", lambda x: (x["step"] >= F.col("step") - F.col("_at")) & (x["step"] < F.col("step") - F.col("_at") + F.col("_w"))), lambda x: x["v"])
+    table = F.create_map(*[y for k in range(5, most + 1, 2) for y in (F.lit(k), F.array(*[F.array(*map(F.lit, r)) for r in fit_weights(k)]))])
+    weights = F.get(F.try_element_at(table, F.col("_w")), F.col("_at"))
+    fitted = F.aggregate(F.zip_with(inside, weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    plain = F.filter("_near", lambda x: F.abs(x["step"] - F.col("step")) <= 1)
+    mean = F.aggregate(plain, F.lit(0.0), lambda a, x: a + x["v"]) / F.size(plain)
+    return near.withColumn(name, F.when(F.col("_n") > 4, fitted).otherwise(mean)).drop("_r", "_n", "_w", "_at", "_near")
 
 
 def _steps(t) -> DataFrame:
     """The events as a training log: a run for each event type, a step for each event in time order."""
-    step = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "event_id"))
-    return t.events.select("event_type", "event_id", "ts", "user_id", "value", step.alias("step"))
+    return numbered(t.events.select("event_type", "event_id", "ts", "user_id", "value"), "event_type", ["ts", "event_id"], "step")
 
 
 _STEPS = "WITH s AS (SELECT event_type, event_id, ts, user_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events)"
 
 
-@query("rolling_mean", _STEPS + " SELECT event_type, step::INT AS step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 9 PRECEDING), 6) AS mean10 FROM s")
+@query("rolling_mean", _STEPS + " SELECT event_type, step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 9 PRECEDING), 6) AS mean10 FROM s")
 def rolling_mean(t):
-    return _steps(t).select("event_type", "step", F.round(rolling(F.col("value"), ["event_type"], ["step"], 10), 6).alias("mean10"))
+    return rolling(_steps(t), "event_type", "value", 10, "m").select("event_type", "step", F.round("m", 6).alias("mean10"))
 
 
-@query("rolling_std", _STEPS + " SELECT event_type, step::INT AS step, round(coalesce(stddev_samp(value) OVER (PARTITION BY event_type ORDER BY step ROWS 9 PRECEDING), 0), 4) AS std10 FROM s")
+@query("rolling_std", _STEPS + " SELECT event_type, step, round(coalesce(stddev_samp(value) OVER (PARTITION BY event_type ORDER BY step ROWS 9 PRECEDING), 0), 4) AS std10 FROM s")
 def rolling_std(t):
-    return _steps(t).select("event_type", "step", F.round(F.coalesce(rolling(F.col("value"), ["event_type"], ["step"], 10, F.stddev_samp), F.lit(0.0)), 4).alias("std10"))
+    return rolling(_steps(t), "event_type", "value", 10, "d", F.stddev_samp).select("event_type", "step", F.round(F.coalesce("d", F.lit(0.0)), 4).alias("std10"))
 
 
-@query("savgol_interior", _STEPS + " SELECT event_type, step::INT AS step, round((-3 * lag(value, 2) OVER w + 12 * lag(value) OVER w + 17 * value + 12 * lead(value) OVER w - 3 * lead(value, 2) OVER w) / 35, 6) + 0.0 AS smooth FROM s WINDOW w AS (PARTITION BY event_type ORDER BY step)")
-def savgol(t):
-    return _steps(t).select("event_type", "step", (F.round(savgol_interior(F.col("value"), ["event_type"], ["step"], 2), 6) + 0.0).alias("smooth"))
+_FIT = fit_weights(11)
+_SG = "CASE WHEN step <= 5 THEN list_sum(list_transform(range(1, 12), lambda k: head[k] * w[step::INT][k])) WHEN step > n - 5 THEN list_sum(list_transform(range(1, 12), lambda k: tail[k] * w[(step - n + 11)::INT][k])) ELSE list_sum(list_transform(range(1, 12), lambda k: near[k] * w[6][k])) END"
 
 
-@query("multi_run", _STEPS + " SELECT event_type AS run, step::INT AS step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 4 PRECEDING), 6) AS loss FROM s WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2)")
+@query("savgol", _STEPS + f", e AS (SELECT event_type, count(*) AS n, list(value ORDER BY step) FILTER (step <= 11) AS head, list(value ORDER BY step DESC) AS back FROM s GROUP BY 1), f AS (SELECT event_type, n, head, list_reverse(back[1:11]) AS tail, {_FIT} AS w FROM e), x AS (SELECT event_type, step, list(value) OVER (PARTITION BY event_type ORDER BY step ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM s) SELECT event_type, step, round({_SG}, 6) + 0.0 AS smooth FROM x JOIN f USING (event_type)")
+def savgol_query(t):
+    return savgol(_steps(t), "event_type", "value", "smooth").select("event_type", "step", (F.round("smooth", 6) + 0.0).alias("smooth"))
+
+
+@query("savgol_interior", _STEPS + " SELECT event_type, step, round((-3 * lag(value, 2) OVER w + 12 * lag(value) OVER w + 17 * value + 12 * lead(value) OVER w - 3 * lead(value, 2) OVER w) / 35, 6) + 0.0 AS smooth FROM s WINDOW w AS (PARTITION BY event_type ORDER BY step)")
+def savgol_interior(t):
+    """The window of five only, null at the edges."""
+    fit = fit_weights(5)[2]
+    total = lambda w: fit[2] * F.col("value") + sum(fit[2 + i] * F.lead("value", i).over(w) + fit[2 - i] * F.lag("value", i).over(w) for i in (1, 2))
+    return moving(_steps(t), "event_type", {"smooth": total}, 2, 2).select("event_type", "step", (F.round("smooth", 6) + 0.0).alias("smooth"))
+
+
+@query("multi_run", _STEPS + " SELECT event_type AS run, step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 4 PRECEDING), 6) AS loss FROM s WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2)")
 def multi_run(t):
     runs = t.events.select("event_type").distinct().orderBy("event_type").limit(2)
-    return _steps(t).join(F.broadcast(runs), "event_type", "left_semi").select(F.col("event_type").alias("run"), "step", F.round(rolling(F.col("value"), ["event_type"], ["step"], 5), 6).alias("loss"))
+    steps = _steps(t).join(F.broadcast(runs), "event_type", "left_semi")
+    return rolling(steps, "event_type", "value", 5, "m").select(F.col("event_type").alias("run"), "step", F.round("m", 6).alias("loss"))
 
 
-@query("multi_run_all", _STEPS + " SELECT event_type AS run, step::INT AS step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 4 PRECEDING), 6) AS loss FROM s")
+@query("multi_run_all", _STEPS + " SELECT event_type AS run, step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 4 PRECEDING), 6) AS loss FROM s")
 def multi_run_all(t):
-    return _steps(t).select(F.col("event_type").alias("run"), "step", F.round(rolling(F.col("value"), ["event_type"], ["step"], 5), 6).alias("loss"))
+    return rolling(_steps(t), "event_type", "value", 5, "m").select(F.col("event_type").alias("run"), "step", F.round("m", 6).alias("loss"))
 
 
 @query("tumbling_steps", _STEPS + " SELECT event_type, ((step - 1) // 100)::INT AS bucket, round(avg(value), 6) AS mean_value, count(*) AS n FROM s GROUP BY 1, 2")
@@ -76,14 +153,14 @@ def tumbling_steps(t):
     return _steps(t).groupBy("event_type", F.floor((F.col("step") - 1) / 100).cast("int").alias("bucket")).agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
 
 
-@query("every_kth", _STEPS + ", k AS (SELECT event_type, greatest(1, count(*) // 20) AS k FROM s GROUP BY 1) SELECT event_type, step::INT AS step, value FROM s JOIN k USING (event_type) WHERE (step - 1) % k = 0")
+@query("every_kth", _STEPS + ", k AS (SELECT event_type, greatest(1, count(*) // 20) AS k FROM s GROUP BY 1) SELECT event_type, step, value FROM s JOIN k USING (event_type) WHERE (step - 1) % k = 0")
 def every_kth(t):
     s = _steps(t)
     k = s.groupBy("event_type").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 20)).alias("k"))
     return s.join(k, "event_type").where((F.col("step") - 1) % F.col("k") == 0).select("event_type", "step", "value")
 
 
-@query("best_step", _STEPS + " SELECT event_type, step::INT AS step, value FROM s QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value, step) = 1")
+@query("best_step", _STEPS + " SELECT event_type, step, value FROM s QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value, step) = 1")
 def best_step(t):
     best = F.min(F.struct("value", "step"))
     return _steps(t).groupBy("event_type").agg(best.alias("b")).select("event_type", "b.step", "b.value")
@@ -162,17 +239,18 @@ def repeat_call_after_error(t):
     return o.groupBy("user_id").agg(F.count_if((F.col("prev") == "error") & (F.col("before") == F.col("event_type")) & (F.col("event_type") != "error")).alias("n"))
 
 
-_CAND = """WITH c AS (SELECT user_id, ts::DATE AS day, bool_or(event_type = 'purchase') AS passed, bool_or(event_type = 'signup') AS critique, count(*) FILTER (event_type = 'click') > 0 AS answer, max_by(event_type, (ts, event_id)) <> 'error' AS last_ok, count(*) FILTER (event_type <> 'error') - count(*) FILTER (event_type = 'error') AS net, count(*) AS steps FROM events GROUP BY 1, 2),
+_CAND = """WITH c AS (SELECT user_id, ts::DATE AS day, bool_or(event_type = 'purchase') AS passed, bool_or(event_type = 'signup') AS critique, count(*) FILTER (event_type = 'click') > 0 AS answer, bool_or(r <= 4 AND event_type IN ('click', 'view')) AS last_ok, count(*) FILTER (event_type <> 'error') - count(*) FILTER (event_type = 'error') AS net, count(*) AS steps FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS r FROM events) GROUP BY 1, 2),
 i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS idx FROM c), f AS (SELECT *, min(idx) FILTER (passed) OVER (PARTITION BY user_id) AS stop FROM i)"""
 
 
 @query("best_of_n", _CAND + " SELECT user_id, idx::INT AS idx FROM f WHERE stop IS NULL OR idx <= stop QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY passed DESC, critique DESC, answer DESC, last_ok DESC, net DESC, steps, idx) = 1")
 def best_of_n(t):
-    """The best of a user's days by six keys; days after the first that passed were never tried; the first wins ties."""
+    """The best of a user's days by six keys, one of them whether one of the last four calls ran code (click, view) well; days after the first that passed were never tried; the first wins ties."""
     e = F.col("event_type")
-    c = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+    w = W.partitionBy("user_id", "day").orderBy(F.desc("ts"), F.desc("event_id"))
+    c = t.events.withColumn("day", F.to_date("ts")).withColumn("r", F.row_number().over(w)).groupBy("user_id", "day").agg(
         F.bool_or(e == "purchase").alias("passed"), F.bool_or(e == "signup").alias("critique"), (F.count_if(e == "click") > 0).alias("answer"),
-        (F.max_by("event_type", F.struct("ts", "event_id")) != "error").alias("last_ok"), (F.count_if(e != "error") - F.count_if(e == "error")).alias("net"), F.count("*").alias("steps"),
+        F.bool_or((F.col("r") <= 4) & e.isin("click", "view")).alias("last_ok"), (F.count_if(e != "error") - F.count_if(e == "error")).alias("net"), F.count("*").alias("steps"),
     )
     c = c.withColumn("idx", F.row_number().over(W.partitionBy("user_id").orderBy("day")))
     c = c.withColumn("stop", F.min(F.when(F.col("passed"), F.col("idx"))).over(W.partitionBy("user_id"))).where("stop is null or idx <= stop")
@@ -180,6 +258,17 @@ def best_of_n(t):
     return c.groupBy("user_id").agg(F.max_by("idx", rank).alias("idx"))
 
 
+def begins(df: DataFrame, group: str, order: str, size: str) -> DataFrame:
+    """df with begin = the sizes of all rows of its group before it, in order; order must be unique in a group. Two
+    levels of prefix sums, so a group may be any size."""
+    dealt = _dealt(df, [group, order], "begins").withColumn("_p", F.expr(f"shiftright(_m, {_BITS})"))
+    inner = F.sum(size).over(W.partitionBy("_p", group).orderBy("_m")) - F.col(size)
+    totals = dealt.groupBy(F.col(group).alias("_g"), F.col("_p").alias("_q")).agg(F.sum(size).alias("_n"))
+    before = totals.withColumn("_before", F.sum("_n").over(W.partitionBy("_g").orderBy("_q")) - F.col("_n")).drop("_n")
+    joined = dealt.withColumn("_inner", inner).join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return joined.withColumn("begin", F.col("_inner") + F.col("_before")).drop("_m", "_p", "_g", "_q", "_inner", "_before")
+
+
 @query("pack_chunks", """WITH d AS (SELECT source, doc_id, text, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents),
 s AS (SELECT source, string_agg(text, '' ORDER BY doc_id) AS all_text FROM documents GROUP BY 1),
 c AS (SELECT source, all_text, unnest(range((length(all_text) - 1) // 256)) AS chunk FROM s)
@@ -189,8 +278,8 @@ def pack_chunks(t):
 
     Each text is cut at window borders where it lies in its source's stream, so only pieces meet in a window.
     """
-    d = t.documents.select("source", "doc_id", "text", F.length("text").alias("n"))
-    d = d.withColumn("begin", F.sum("n").over(W.partitionBy("source").orderBy("doc_id")) - F.col("n")).where("n > 0")
+    sizes = t.documents.select("source", "doc_id", F.length("text").alias("n")).where("n > 0")
+    d = t.documents.select("doc_id", "text").join(begins(sizes, "source", "doc_id", "n"), "doc_id")
     last = F.floor((F.col("begin") + F.col("n") - 1) / 256)
     first = F.greatest(F.lit(0), F.floor((F.col("begin") - 1) / 256))
     p = d.withColumn("chunk", F.explode(F.sequence(first, last)))
@@ -203,10 +292,13 @@ def pack_chunks(t):
 
 @query("nucleus_cut", "WITH p AS (SELECT source, doc_id, n_chars / sum(n_chars) OVER (PARTITION BY source) AS p FROM documents), c AS (SELECT *, sum(p) OVER (PARTITION BY source ORDER BY p DESC, doc_id ROWS UNBOUNDED PRECEDING) - p AS before FROM p), k AS (SELECT * FROM c WHERE round(before, 9) <= 0.9) SELECT source, doc_id, round(p / sum(p) OVER (PARTITION BY source), 6) AS p FROM k")
 def nucleus_cut(t):
-    w = W.partitionBy("source")
-    p = t.documents.select("source", "doc_id", (F.col("n_chars") / F.sum("n_chars").over(w)).alias("p"))
-    c = p.withColumn("before", F.sum("p").over(w.orderBy(F.desc("p"), "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("p")).where(F.round("before", 9) <= 0.9)
-    return c.select("source", "doc_id", F.round(F.col("p") / F.sum("p").over(w), 6).alias("p"))
+    """Of each source, the largest texts until those before hold nine tenths of it; their shares, made whole."""
+    d = t.documents.select("source", "doc_id", "n_chars")
+    total = d.groupBy("source").agg(F.sum("n_chars").alias("total"))
+    ordered = begins(d.withColumn("_o", F.struct((-F.col("n_chars")).alias("a"), "doc_id")), "source", "_o", "n_chars")
+    kept = ordered.join(total, "source").where(F.round(F.col("begin") / F.col("total"), 9) <= 0.9)
+    share = F.col("n_chars") / F.col("kept")
+    return kept.join(kept.groupBy("source").agg(F.sum("n_chars").alias("kept")), "source").select("source", "doc_id", F.round(share, 6).alias("p"))
 
 
 @query("char_tokens", "SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c) % 256), ' ')) AS ids_md5 FROM documents WHERE length(text) > 0")

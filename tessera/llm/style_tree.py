@@ -3,8 +3,14 @@
 The pages of one host are merged into a tree of style nodes: a node is a path of elements, each known by its tag, class
 and id (digits taken as one). A node's presentation importance is the entropy of the child sequences that it has over
 its pages; a leaf's content importance is one minus the mean normalised entropy, over pages, of the texts found there.
-Importance is composed from the leaves up. Branches of low importance are menus, notices and the like, which look and
-read alike all over a site, and are removed from each page, as are the elements whose role is never main text.
+Importance is composed from the leaves up. Branches of low importance are menus, notices, adverts and the like, which
+look and read alike all over a site, and are removed from each page first.
+
+Roles come after that, for what a tree can't tell: elements whose tag says that they are never main text (a page's own
+links in a nav, forms) or whose class, id or role is nothing but words of noise ("cookie-notice"), reader comments,
+which differ on every page, and on a page with an article what lies outside. A name that has a word of noise beside
+others ("related-work") removes nothing: it counts as PRIOR pages on which the branch looked alike, and the tree
+decides. A node that only one page of its host has is important.
 
 Executors emit counts per node and feature, which Spark adds up; only the finished trees' low branches, a short list
 for each host, travel back to the pages.
@@ -24,36 +30,42 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, table
 
 LEAST_IMPORTANCE = 0.5
-#: Nodes on fewer pages say nothing about their site.
-LEAST_PAGES = 8
+#: Pages that a class or id word counts for, on which its branch looked alike.
+PRIOR = 8
 #: Weight of a node's descendants in its importance, as in the published method.
 GAMMA = 0.9
 #: Element roles.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp template".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-NEVER = set("head nav footer aside form script style noscript iframe template button select option textarea input svg canvas object embed audio video dialog menu title".split())
+#: Elements that show no text of the page, and those whose role is never main text.
+HIDDEN = set("head script style noscript iframe template button select option textarea input svg canvas object embed audio video title".split())
+ROLES = set("nav footer aside form dialog menu".split())
 MAIN = {"article", "main"}
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-NOISE_WORDS = set(
+COMMENT_WORDS = set("comment comments discussion respond replies reply disqus".split())
+PRIOR_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
-    "subscription signup login social share sharing related recommended recommendations sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments "
-    "discussion respond replies reply disqus pagination pager toolbar".split()
+    "subscription signup login social share sharing related recommended recommendations sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead pagination pager toolbar".split()
 )
 #: Roles that are noise outside the article only.
 OUTER_NOISE = {"header"}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: A quote opens a value only after an equals sign; any other is a character like others.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "named", "main", "children", "text")
+    """hidden: shows no text; noise: hidden, or a role that is never main text; named: its name says noise; worded: has, or
+    lies in one that has, a word of noise beside others. All but named also hold for what is below."""
+
+    __slots__ = ("tag", "path", "parent", "hidden", "noise", "named", "worded", "main", "children", "text")
 
-    def __init__(self, tag, path, parent, noise, named, main):
-        self.tag, self.path, self.parent, self.noise, self.named, self.main = tag, path, parent, noise, named, main
+    def __init__(self, tag, path, parent, hidden, noise, named, worded, main):
+        self.tag, self.path, self.parent, self.hidden, self.noise, self.named, self.worded, self.main = tag, path, parent, hidden, noise, named, worded, main
         self.children: list[str] = []
         self.text: list[str] = []
 
@@ -62,11 +74,22 @@ def path_of(parent: int, signature: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{parent}/{signature}".encode()) >> 1
 
 
+def noise_name(value: str) -> tuple[bool, bool]:
+    """(says noise, has a word of noise): of a class, id or role."""
+    sure = some = False
+    for name in value.split():
+        found = [w for w in SPLIT.split(name) if w and not w.isdigit()]
+        noisy = [w for w in found if w in PRIOR_WORDS]
+        sure = sure or bool(COMMENT_WORDS.intersection(found)) or bool(found) and len(noisy) == len(found)
+        some = some or bool(noisy)
+    return sure, some
+
+
 def parse(page: str):
     """(nodes, runs): the element nodes, and the page's text as (node, text) with (node, None) at block boundaries."""
-    root = Node("", 0, None, False, False, False)
+    root = Node("", 0, None, False, False, False, False, False)
     stack, nodes, runs, at = [root], [root], [], 0
-    signatures: dict[str, tuple[str, bool, bool, bool, bool]] = {}
+    signatures: dict[str, tuple[str, bool, bool, bool, bool, bool, bool]] = {}
 
     def add(text: str) -> None:
         if text:
@@ -101,12 +124,16 @@ def parse(page: str):
             found = {a.lower(): (x or y or z).lower() for a, x, y, z in NAMED.findall(attrs)} if attrs else {}
             words = {w for v in found.values() for w in SPLIT.split(v)}
             plain = tag not in ("html", "body", *MAIN)
-            signatures[key] = tag + "." + re.sub(r"\d+", "0", found.get("class", "") + "#" + found.get("id", "")), tag in NEVER, plain and bool(words & NOISE_WORDS), tag in OUTER_NOISE, bool(words & OUTER_NOISE)
-        signature, noise, named, outer, outer_named = signatures[key]
+            judged = [noise_name(v) for v in found.values()] if plain else []
+            name = tag + "." + re.sub(r"\d+", "0", found.get("class", "") + "#" + found.get("id", ""))
+            signatures[key] = name, tag in HIDDEN, tag in ROLES, any(x for x, _ in judged), any(x for _, x in judged), tag in OUTER_NOISE, bool(words & OUTER_NOISE)
+        signature, hidden, role, sure, some, outer, outer_named = signatures[key]
         parent = stack[-1]
         parent.children.append(signature)
         main = parent.main or tag in MAIN
-        node = Node(tag, path_of(parent.path, signature), parent, parent.noise or noise or (outer and not main), named or (outer_named and not main), main)
+        hidden = parent.hidden or hidden
+        noise = hidden or parent.noise or role or (outer and not main)
+        node = Node(tag, path_of(parent.path, signature), parent, hidden, noise, sure or (outer_named and not main), parent.worded or (some and not sure), main)
         nodes.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in INLINE | CLOSES_P:
             continue
@@ -114,7 +141,7 @@ def parse(page: str):
             end = re.compile(rf"</{re.escape(tag)}[\s/>]|\Z", re.I).search(page, at)
             text, at = page[at : end.start()], end.start()
             stack.append(node)
-            if not node.noise:
+            if not node.hidden:
                 add(text)
             stack.pop()
             close = page.find(">", at)
@@ -160,14 +187,15 @@ def collapse(text: str) -> str:
     return " ".join(text.split())
 
 
-def main_text(page: str | None, low: set[int]) -> str:
-    """The page's text without low branches and elements that are never main text.
+def main_text(page: str | None, low: set[int], roles: bool = True) -> str:
+    """The page's text without low branches and, with roles, without elements that are never main text.
 
     With an article or main only what is in it counts. Low branches go there too, but an inline element is part of its
-    sentence and goes only with its block, and a page that would lose all its main text to them keeps it.
+    sentence and goes only with its block, and a page that would lose all its main text to them keeps it. Without roles
+    the style tree alone decides, but for elements that show no text.
     """
     nodes, runs = parse(page or "")
-    mains = [n for n in nodes if n.tag in MAIN and not n.noise]
+    mains = [n for n in nodes if n.tag in MAIN and not n.noise] if roles else []
     guarded = set()
     for n in mains:
         while n is not None and n not in guarded:
@@ -177,25 +205,27 @@ def main_text(page: str | None, low: set[int]) -> str:
     def left(low: set[int]) -> str:
         gone: dict[Node, bool] = {}
         for n in nodes:  # parents come first
-            judged = n not in guarded and not (n.main and n.tag in INLINE)
-            gone[n] = n.noise or n.parent is not None and gone[n.parent] or judged and n.path in low or bool(mains) and n not in guarded and not n.main
+            by_tree = n.path in low and n not in guarded and not (n.main and n.tag in INLINE)
+            by_role = roles and (n.noise or bool(mains) and n not in guarded and not n.main)
+            gone[n] = n.hidden or n.parent is not None and gone[n.parent] or by_tree or by_role
         return collapse("".join(" " if text is None else "" if gone[n] else entities.unescape(text) for n, text in runs))
 
     return left(low) or (left(set()) if mains and low else "")
 
 
 def counts(page: str | None):
-    """(path, parent, kind, feature, times) of one page: kind p for presentation, c for content."""
+    """(path, parent, worded, kind, feature) -> times of one page: kind p for presentation, c for content."""
     nodes, _ = parse(page or "")
     seen: Counter = Counter()
     for n in nodes[1:]:
-        if n.noise and (n.parent is None or n.parent.noise):
-            continue  # below an element that goes anyway
+        if n.hidden:
+            continue
         shape = [a for a, b in zip(n.children, [None, *n.children]) if a != b]
-        seen[n.path, n.parent.path, "p", xxhash.xxh3_64_intdigest("|".join(shape).encode()) >> 1] += 1
+        key = n.path, n.parent.path, n.worded
+        seen[*key, "p", xxhash.xxh3_64_intdigest("|".join(shape).encode()) >> 1] += 1
         text = collapse(entities.unescape("".join(n.text)))
         if text:
-            seen[n.path, n.parent.path, "c", xxhash.xxh3_64_intdigest(text.encode()) >> 1] += 1
+            seen[*key, "c", xxhash.xxh3_64_intdigest(text.encode()) >> 1] += 1
     return seen
 
 
@@ -222,16 +252,18 @@ def low_branches(tree: pd.DataFrame) -> list[int]:
         inner = sum(v * n for v, n in parts) / sum(n for _, n in parts) if parts else 0.0
         share = GAMMA ** max(1, r.shapes)
         importance[p] = (1 - share) * r.presentation + share * inner if below else inner
+        believed = r.pages / (r.pages + PRIOR) if r.worded else 1.0
         # A node's own text is a leaf: one that differs from page to page keeps its node, whatever children it has.
-        best[p] = max([importance[p], *(best[c] for c in below), *([r.content] if r.content == r.content else [])])
-    out, todo = [], [p for p in info if info[p].parent not in info]
+        own = max(importance[p], r.content if r.content == r.content else 0.0)
+        best[p] = max([own * believed, *(best[c] for c in below)])
+    low, todo = [], [p for p in info if info[p].parent not in info]
     while todo:
         p = todo.pop()
         if best[p] < LEAST_IMPORTANCE:
-            out.append(p)
+            low.append(p)
         else:
             todo += children.get(p, [])
-    return sorted(out)
+    return sorted(low)
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)"
@@ -252,15 +284,15 @@ def style_trees(pages: DataFrame) -> DataFrame:
                     at[host, *key] += 1
             if rows:
                 keys = list(rows)
-                columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[k] for k in keys], pa.int64()), pa.array([logs[k] for k in keys], pa.float64()), pa.array([at[k] for k in keys], pa.int64())], ["host", "path", "parent", "kind", "feature", "times", "logs", "pages"])
+                columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[k] for k in keys], pa.int64()), pa.array([logs[k] for k in keys], pa.float64()), pa.array([at[k] for k in keys], pa.int64())], ["host", "path", "parent", "worded", "kind", "feature", "times", "logs", "pages"])
 
-    seen = pages.select("host", "html").mapInArrow(count, "host string, path bigint, parent bigint, kind string, feature bigint, times bigint, logs double, pages bigint")
-    key = ["host", "path", "parent", "kind"]
+    seen = pages.select("host", "html").mapInArrow(count, "host string, path bigint, parent bigint, worded boolean, kind string, feature bigint, times bigint, logs double, pages bigint")
+    key = ["host", "path", "parent", "worded", "kind"]
     by_feature = seen.groupBy(*key, "feature").agg(F.sum("times").alias("times"), F.sum("logs").alias("logs"), F.sum("pages").alias("pages"))
     by_feature = by_feature.withColumn("entropy", F.log("times") - F.col("logs") / F.col("times"))
     content, shape = F.col("kind") == "c", F.col("kind") == "p"
-    node = by_feature.groupBy("host", "path", "parent").agg(
+    node = by_feature.groupBy("host", "path", "parent", "worded").agg(
         F.sum(F.when(shape, F.col("pages"))).alias("pages"),
         F.count(F.when(shape, 1)).alias("shapes"),
         F.sum(F.when(shape, F.col("pages") * F.log("pages"))).alias("shape_logs"),
@@ -268,8 +300,9 @@ def style_trees(pages: DataFrame) -> DataFrame:
         F.sum(F.when(content, F.col("times"))).alias("texts"),
     )
     m = F.log("pages")
-    known = node.where(F.col("pages") >= LEAST_PAGES).select(
-        "host", "path", "parent", "pages", "shapes",
+    # A node of one page has no entropy: it is important, as is what no tree knows.
+    known = node.where(F.col("pages") > 1).select(
+        "host", "path", "parent", "worded", "pages", "shapes",
         (1 - F.col("shape_logs") / (F.col("pages") * m)).alias("presentation"),
         (1 - F.least(F.lit(1.0), F.col("text_entropy") / F.col("texts") / m)).alias("content"),
     )
@@ -278,20 +311,21 @@ def style_trees(pages: DataFrame) -> DataFrame:
         low = low_branches(tree.sort_values("path"))
         return pd.DataFrame({"host": pd.Series([tree["host"].iloc[0]] * bool(low), dtype=object), "low": pd.Series([low] * bool(low), dtype=object)})
 
-    # A group is one site's distinct style paths seen on LEAST_PAGES pages or more, however many pages it has.
+    # A group is one site's style paths that two pages or more share, however many pages it has.
     return known.groupBy("host").applyInPandas(judge, "host string, low array<bigint>")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every page; text is empty if the page has none or html is null.
 
-    Pages whose url is null or names no host form one site. Repeated pages count as pages each; null ids are kept;
-    other columns are ignored; an empty df gives no rows.
+    Pages whose url is null or names no host form one site. Repeated pages count as pages each; null ids are kept, and
+    rows that share an id each get a row; other columns are ignored, whatever their names; an empty df gives no rows.
+    Broken markup is read as it comes: what a tag that never closes holds ends with the page.
     """
     small_batches(df.sparkSession, 100)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), HOST, 1), F.lit("")))
     pages = df.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    low = stored(style_trees(pages), "style-trees")
+    trees = stored(style_trees(pages), "style-trees")
 
     def text(batches):
         for b in batches:
@@ -299,7 +333,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             yield pa.record_batch({"page_id": b["page_id"], "url": b["url"], "text": pa.array(out, pa.string())})
 
     # Small lists, one row a host; a host with a third of the pages is split by the adaptive skew join.
-    joined = pages.join(low, "host", "left")
+    joined = pages.join(trees, "host", "left")
     return joined.select("page_id", "url", "html", "low").mapInArrow(text, "page_id bigint, url string, text string")
 
 

@@ -2,25 +2,31 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as X
 from ..plans.registry import query
 from .memory import keep_first
+from .sequence import global_index
 
-OBSERVATION = "OBSERVATION:"
+#: Words of the run that leads a passage to the texts that may contain it.
+RUN = 6
 
 
-def blend(base: DataFrame, pool: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
-    """base and as many rows of pool, in the order of a seeded hash, as make up share of the whole (all at 1)."""
+def pool_order(pool: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """pool with _r, each row's place from 1 in the order of a seeded hash."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    ranked = global_index(pool.withColumn("_h", order), ["_h", key], "_r")
+    return ranked.withColumn("_r", F.col("_r") + 1).drop("_h")
+
+
+def blend(base: DataFrame, ordered: DataFrame, share: float) -> DataFrame:
+    """base and as many rows of the ordered pool, from its first on, as make up share of the whole (all at 1)."""
     if share <= 0:
         return base
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
     if share >= 1:
-        return base.unionByName(pool)
-    n = F.broadcast(base.agg(F.ceil(F.lit(share) * F.count("*") / F.lit(1 - share)).alias("_n")))
-    ranked = pool.withColumn("_h", order).withColumn("_r", F.row_number().over(W.orderBy("_h", key)))
-    return base.unionByName(ranked.join(n, F.col("_r") <= F.col("_n")).drop("_h", "_r", "_n"))
+        return base.unionByName(ordered.drop("_r"))
+    n = F.broadcast(base.agg(F.ceil(F.lit(share) * F.count("*") / F.lit(1 - share)).alias("_n")))  # one row
+    return base.unionByName(ordered.join(n, F.col("_r") <= F.col("_n")).drop("_r", "_n"))
 
 
 def mask_labels(prompt: Column, target: Column, limit: int) -> Column:
@@ -37,23 +43,31 @@ def dedup_keep_first(t):
     return keep_first(t.documents.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("h")), ["h"], ["source", "doc_id"]).select("doc_id", "h")
 
 
+def _run_hash(n: int):
+    return lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, n), " "))
+
+
 @query("contains_join", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def contains_join(t):
     """Benchmark items that lie in a document. A shared run of words leads to the pair; containment settles it.
 
-    An item's key is its second to seventh word, which lie whole in every text that contains the item; shorter items
-    are compared with every document, in blocks.
+    An item's words but its first and last lie whole in every text that contains it; the first RUN of them, or all, are
+    its key, of which documents send out hashes only. The text goes along once, for pairs that share a key. An item of
+    fewer than three words has no key: those are looked for in every document, as a stated set of short patterns.
     """
-    n = 6
-    item = t.benchmark.select("item_id", F.col("text").alias("item"), F.split("text", r"[ \n]").alias("w"))
-    key = lambda w, at: F.array_join(F.slice(w, at, n), " ")
-    long_ones = item.where(F.size("w") >= n + 2).select("item_id", "item", key(F.col("w"), 2).alias("key"))
-    short = item.where(F.size("w") < n + 2).select("item_id", "item")
-    docs = t.documents.select("doc_id", "text").withColumn("w", F.split("text", r"[ \n]"))
-    runs = docs.where(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: key(F.col("w"), i)))).alias("key"))
-    met = runs.join(long_ones, "key").select("doc_id", "item_id", "item").distinct()
+    text, words_of = F.col("text"), lambda c: F.split(c, r"[ \n]")
+    item = t.benchmark.select("item_id", text.alias("item"), words_of(text).alias("w")).withColumn("n", F.least(F.lit(RUN), F.size("w") - 2))
+    keyed = item.where("n > 0").select("item_id", "item", "n", F.xxhash64("n", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("key"))
+    lengths = [r["n"] for r in keyed.select("n").distinct().collect()]  # RUN numbers at most
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), _run_hash(n)) for n in lengths]
+    docs = t.documents.select("doc_id", words_of(text).alias("w"))
+    hashes = F.array_distinct(F.concat(*runs)) if runs else F.expr("cast(array() as array<bigint>)")
+    met = docs.select("doc_id", F.explode(hashes).alias("key")).join(keyed.select("item_id", "item", "key"), "key").select("doc_id", "item_id", "item").distinct()
     a = t.documents.select("doc_id", "text").join(met, "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
-    b = t.documents.select("doc_id", "text").join(short, F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    short = item.where("n <= 0 and item <> ''").select("item_id", "item")
+    patterns = short.agg(F.collect_list(F.struct("item_id", "item")).alias("items"))  # items of one or two words
+    found = F.filter("items", lambda x: F.contains("text", x["item"]))
+    b = t.documents.select("doc_id", "text").crossJoin(F.broadcast(patterns)).select("doc_id", F.explode(found).alias("x")).select("x.item_id", "doc_id")
     return a.union(b)
 
 
@@ -100,9 +114,9 @@ _SHARES = (0.0, 0.1, 0.25, 0.5, 1.0)
 @query("blend_ratio", "WITH b AS (SELECT doc_id FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents WHERE lang <> 'en'), n AS (SELECT count(*) AS n FROM b) " + " UNION ALL ".join(f"SELECT {s}::DOUBLE AS share, doc_id FROM b UNION ALL SELECT {s}::DOUBLE, doc_id FROM p, n WHERE " + ("false" if s == 0 else "true" if s == 1 else f"r <= ceil({s}::DOUBLE * n / (1 - {s}::DOUBLE))") for s in _SHARES))
 def blend_ratio(t):
     base, pool = t.documents.where("lang = 'en'").select("doc_id"), t.documents.where("lang <> 'en'").select("doc_id")
-    out = None
+    ordered, out = pool_order(pool, "doc_id"), None
     for s in _SHARES:
-        part = blend(base, pool, "doc_id", s).select(F.lit(s).alias("share"), "doc_id")
+        part = blend(base, ordered, s).select(F.lit(s).alias("share"), "doc_id")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -190,10 +204,24 @@ def stop_truncate(t):
     return t.pages.select("page_id", F.substring_index(F.substring_index("html", "</head>", 1), "<style>", 1).alias("head"))
 
 
-@query("tail_lines", "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[-5:], chr(10))) AS tail FROM documents")
+#: What a test runner's exit codes mean.
+EXITS = {0: "ALL PASSED", 1: "SOME FAILED", 2: "INTERRUPTED", 3: "INTERNAL ERROR", 4: "USAGE ERROR", 5: "NO TESTS COLLECTED"}
+
+
+def tool_result(output: Column, code: Column, most: int = 45) -> Column:
+    """A test run's header, from its exit code and its last line that sums up, and the last lines of its output."""
+    rows = F.split(output, "\n")
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EXITS.items() for x in kv]), code.cast("int")), F.concat(F.lit("EXIT "), code.cast("string")))
+    sums = F.filter(rows, lambda x: F.contains(x, F.lit("passed")) | F.contains(x, F.lit("failed")) | F.contains(F.lower(x), F.lit("error")))
+    header = F.trim(F.concat(F.lit("["), label, F.lit("] "), F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(""))))
+    body = F.when(F.size(rows) > most, F.array_join(F.slice(rows, F.size(rows) - most + 1, most), "\n")).otherwise(output)
+    return F.when(output == "", header).otherwise(F.concat(header, F.lit("\n"), body))
+
+
+@query("tail_lines", f"WITH o AS (SELECT doc_id, trim(text, ' ' || chr(10)) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '3 passed in 0.1s' ELSE '' END AS t FROM documents), l AS (SELECT doc_id, t, string_split(t, chr(10)) AS x FROM o) SELECT doc_id, md5(trim('[' || CASE doc_id % 7 {' '.join(f'WHEN {k} THEN {chr(39)}{v}{chr(39)}' for k, v in EXITS.items())} ELSE 'EXIT 6' END || '] ' || coalesce(list_filter(x, lambda y: contains(y, 'passed') OR contains(y, 'failed') OR contains(lower(y), 'error'))[-1], '')) || CASE WHEN t = '' THEN '' WHEN len(x) > 45 THEN chr(10) || array_to_string(x[-45:], chr(10)) ELSE chr(10) || t END) AS tail FROM l")
 def tail_lines(t):
-    lines = F.split("text", "\n")
-    return t.documents.select("doc_id", F.md5(F.array_join(F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), F.lit(5)), "\n").cast("binary")).alias("tail"))
+    output = F.concat(F.trim("text", F.lit(" \n")), F.when(F.col("doc_id") % 2 == 0, "\n3 passed in 0.1s").otherwise(""))
+    return t.documents.select("doc_id", F.md5(tool_result(output, F.col("doc_id") % 7).cast("binary")).alias("tail"))
 
 
 @query("replace_first", "SELECT doc_id, md5(CASE WHEN instr(text, 'the') > 0 THEN substr(text, 1, instr(text, 'the') - 1) || 'THE' || substr(text, instr(text, 'the') + 3) ELSE text END) AS h FROM documents")

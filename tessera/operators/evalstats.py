@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import percent, truthy
 from ..plans.registry import query
+from .sequence import global_index
 
 
 def pass_rate(df: DataFrame, passed: Column, *keys: str) -> DataFrame:
@@ -23,8 +24,13 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str, passed: str) -> DataFrame
     return both.withColumn("quadrant", quadrant(F.col("a_passed"), F.col("b_passed")))
 
 
-def verdict(p: Column, champion: Column, threshold: Column, n: Column) -> Column:
-    return F.when(n == 0, "-").when(p >= threshold, "PROMOTE").when(p == champion, "TIE").otherwise("REJECT")
+#: Tasks that must pass for a promotion, and that the champion passed.
+PROMOTION, CHAMPION = 24, 23
+
+
+def verdict(p: Column, n: Column, threshold: int = PROMOTION, champion: int = CHAMPION) -> Column:
+    """By counts of passed tasks: PROMOTE, tie with the champion, or reject; a dash without tasks."""
+    return F.when(n == 0, "—").when(p >= threshold, "PROMOTE").when(p == champion, "tie").otherwise("reject")
 
 
 def _judged(t) -> DataFrame:
@@ -98,23 +104,43 @@ def per_task_routing(t):
     return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", text("quality", "family"), text("toxic", "confidence"))
 
 
-@query("routes", "WITH s AS (SELECT user_id, avg(value) FILTER (event_type = 'click') / 100 AS c, avg(value) FILTER (event_type = 'purchase') / 100 AS r FROM events GROUP BY 1) SELECT user_id, CASE WHEN round(coalesce(r, 0), 9) >= 0.35 AND round(coalesce(r, 0) - coalesce(c, 0), 9) >= 0.05 THEN 'repair' ELSE 'champion' END AS route FROM s")
+#: Scores from which the second index is asked, and the family that always asks it.
+LEAST_SCORE, LEAST_MARGIN, REPAIR_FAMILY = 0.35, 0.05, "interval_merge"
+
+
+def family_route(family: Column) -> Column:
+    return F.when(family == REPAIR_FAMILY, "repair").otherwise("champion")
+
+
+def confidence_route(champion: Column, repair: Column) -> Column:
+    """By the best score in either index; a missing score is 0."""
+    c, r = F.coalesce(champion, F.lit(0.0)), F.coalesce(repair, F.lit(0.0))
+    return F.when((F.round(r, 9) >= LEAST_SCORE) & (F.round(r - c, 9) >= LEAST_MARGIN), "repair").otherwise("champion")
+
+
+@query("routes", "WITH s AS (SELECT user_id, avg(value) FILTER (event_type = 'click') / 100 AS c, avg(value) FILTER (event_type = 'purchase') / 100 AS r FROM events GROUP BY 1) SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 'repair' ELSE 'champion' END AS by_family, CASE WHEN round(coalesce(r, 0), 9) >= 0.35 AND round(coalesce(r, 0) - coalesce(c, 0), 9) >= 0.05 THEN 'repair' ELSE 'champion' END AS route FROM s")
 def routes(t):
-    """The confidence rule on two scores; a missing score is 0."""
-    mean = lambda kind: F.coalesce(F.avg(F.when(F.col("event_type") == kind, F.col("value"))) / 100, F.lit(0.0))
+    """The family rule and the confidence rule on two scores."""
+    mean = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value"))) / 100
     s = t.events.groupBy("user_id").agg(mean("click").alias("c"), mean("purchase").alias("r"))
-    return s.select("user_id", F.when((F.round("r", 9) >= 0.35) & (F.round(F.col("r") - F.col("c"), 9) >= 0.05), "repair").otherwise("champion").alias("route"))
+    family = F.when(F.col("user_id") % 10 == 0, REPAIR_FAMILY).otherwise("other")
+    return s.select("user_id", family_route(family).alias("by_family"), confidence_route(F.col("c"), F.col("r")).alias("route"))
 
 
 _KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
-@query("per_task_pivot", "SELECT user_id, " + ", ".join(f"CASE WHEN count(*) FILTER (event_type = '{k}') = 0 THEN '—' WHEN bool_or(value > 150) FILTER (event_type = '{k}') THEN 'FAIL' ELSE 'PASS' END AS {k}" for k in _KINDS) + " FROM events GROUP BY 1")
+def run_pivot(rows: DataFrame, key: str, run: str, failed: Column, order: list, runs: list[str]) -> DataFrame:
+    """(key, place, a column a run): PASS or FAIL by the first row of each key and run, a dash where there is none;
+    place: keys by their first appearance, from 0."""
+    first = rows.groupBy(key, run).agg(F.min_by(F.when(failed, "FAIL").otherwise("PASS"), F.struct(*order)).alias("s"), F.min(F.struct(*order)).alias("o"))
+    wide = first.groupBy(key).agg(F.min("o").alias("o"), *[F.coalesce(F.max(F.when(F.col(run) == r, F.col("s"))), F.lit("—")).alias(r) for r in runs])
+    return global_index(wide, ["o"], "place").drop("o")
+
+
+@query("per_task_pivot", "WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) SELECT user_id, row_number() OVER (ORDER BY min((ts, event_id))) - 1 AS place, " + ", ".join(f"coalesce(max(CASE WHEN value > 150 THEN 'FAIL' ELSE 'PASS' END) FILTER (r = 1 AND event_type = '{k}'), '—') AS {k}" for k in _KINDS) + " FROM f GROUP BY 1")
 def per_task_pivot(t):
-    p = t.events.groupBy("user_id").pivot("event_type", _KINDS).agg(F.when(F.bool_or(F.col("value") > 150), "FAIL").otherwise("PASS"))
-    seen = t.events.groupBy("user_id").pivot("event_type", _KINDS).count()
-    out = p.alias("p").join(seen.alias("s"), "user_id")
-    return out.select("user_id", *[F.when(F.col(f"s.{k}").isNull(), "—").otherwise(F.col(f"p.{k}")).alias(k) for k in _KINDS])
+    return run_pivot(t.events, "user_id", "event_type", F.col("value") > 150, ["ts", "event_id"], _KINDS)
 
 
 @query("failure_hist", "SELECT event_type AS reason, count(*) AS n FROM events WHERE event_type <> '' AND value > 100 GROUP BY 1")
@@ -134,23 +160,44 @@ def critique_lift(t):
     return _judged(t).agg(F.round(rate(F.col("b")) - rate(~F.col("b")), 6).alias("lift"))
 
 
-@query("corrected_audit", f"{_J} SELECT count(*) FILTER (a) AS raw_p, count(*) AS raw_n, count(*) FILTER (a AND doc_id % 10 <> 0) AS p, count(*) FILTER (doc_id % 10 <> 0) AS n FROM j")
+@query("corrected_audit", f"{_J} SELECT count(*) FILTER (a) AS raw_p, count(*) AS raw_n, count(*) FILTER (a AND doc_id NOT IN (SELECT item_id FROM benchmark)) AS p, count(*) FILTER (doc_id NOT IN (SELECT item_id FROM benchmark)) AS n FROM j")
 def corrected_audit(t):
-    fine = F.col("doc_id") % 10 != 0
-    return _judged(t).agg(F.count_if("a").alias("raw_p"), F.count("*").alias("raw_n"), F.count_if(F.col("a") & fine).alias("p"), F.count_if(fine).alias("n"))
+    """Counts over all tasks, and without those on the list of conflicting ones (here: ids of benchmark)."""
+    listed = t.benchmark.select(F.col("item_id").alias("doc_id"), F.lit(True).alias("out")).distinct()
+    rows, fine = _judged(t).join(listed, "doc_id", "left"), F.col("out").isNull()
+    return rows.agg(F.count_if("a").alias("raw_p"), F.count("*").alias("raw_n"), F.count_if(F.col("a") & fine).alias("p"), F.count_if(fine).alias("n"))
 
 
-@query("promotion_verdict", f"{_J}, s AS (SELECT source, count(*) FILTER (a) AS p, count(*) AS n, count(*) FILTER (b) AS c FROM j GROUP BY 1) SELECT source, CASE WHEN n = 0 THEN '-' WHEN p >= c + 1 THEN 'PROMOTE' WHEN p = c THEN 'TIE' ELSE 'REJECT' END AS verdict FROM s")
+@query("promotion_verdict", f"{_J}, s AS (SELECT source, count(*) FILTER (a) AS p, count(*) AS n FROM j GROUP BY 1) SELECT source, CASE WHEN n = 0 THEN '—' WHEN p >= 16 THEN 'PROMOTE' WHEN p = 15 THEN 'tie' ELSE 'reject' END AS verdict FROM s")
 def promotion_verdict(t):
-    s = _judged(t).groupBy("source").agg(F.count_if("a").alias("p"), F.count("*").alias("n"), F.count_if("b").alias("c"))
-    return s.select("source", verdict(F.col("p"), F.col("c"), F.col("c") + 1, F.col("n")).alias("verdict"))
+    s = _judged(t).groupBy("source").agg(F.count_if("a").alias("p"), F.count("*").alias("n"))
+    return s.select("source", verdict(F.col("p"), F.col("n"), 16, 15).alias("verdict"))
+
+
+#: Percentages, and points of difference, by which runs are judged.
+LEAST_RATE, MERGE_DROP, MEMORY_LIFT, ENV_DELTA = 75.0, 5.0, 10.0, 3.0
+
+
+def findings(champion: Column, merged: Column, no_memory: Column, env_a: Column, env_b: Column) -> Column:
+    """What the pass rates of five runs say, in order; a rate that is null says nothing."""
+    either = lambda c, yes, no: F.when(c, yes).when(~c, no)
+    return F.array_compact(F.array(
+        either(champion >= LEAST_RATE, "champion confirmed", "champion dropped"),
+        either(F.abs(merged - champion) <= MERGE_DROP, "merge safe", "merge damaged"),
+        either(champion - no_memory >= MEMORY_LIFT, "memory dependent", "not memory driven"),
+        either(F.abs(env_a - env_b) > ENV_DELTA, "environment sensitive", "environment stable"),
+    ))
+
+
+_RUN_RATES = [f"coalesce(round_even(100.0 * count(*) FILTER (a AND doc_id % 5 = {i})::DOUBLE / nullif(count(*) FILTER (doc_id % 5 = {i}), 0), 1), 0) AS r{i}" for i in range(5)]
 
 
-@query("diagnose", "WITH x AS (SELECT user_id, 100.0 * count(*) FILTER (event_type = 'purchase') / count(*) AS p FROM events GROUP BY 1) SELECT user_id, CASE WHEN p >= 75 THEN 'preserved' WHEN p <= 5 THEN 'collapsed' WHEN p >= 10 THEN 'partial' ELSE 'weak' END AS diagnosis FROM x")
+@query("diagnose", f"{_J}, r AS (SELECT source, {', '.join(_RUN_RATES)} FROM j GROUP BY 1) SELECT source, CASE WHEN r0 >= 75 THEN 'champion confirmed' ELSE 'champion dropped' END || '; ' || CASE WHEN abs(r1 - r0) <= 5 THEN 'merge safe' ELSE 'merge damaged' END || '; ' || CASE WHEN r0 - r2 >= 10 THEN 'memory dependent' ELSE 'not memory driven' END || '; ' || CASE WHEN abs(r3 - r4) > 3 THEN 'environment sensitive' ELSE 'environment stable' END AS diagnosis FROM r")
 def diagnose(t):
-    p = 100.0 * F.count_if(F.col("event_type") == "purchase") / F.count("*")
-    x = t.events.groupBy("user_id").agg(p.alias("p"))
-    return x.select("user_id", F.when(F.col("p") >= 75, "preserved").when(F.col("p") <= 5, "collapsed").when(F.col("p") >= 10, "partial").otherwise("weak").alias("diagnosis"))
+    """The findings for each source, whose documents make five runs by id."""
+    rate = lambda i: percent(F.count_if(F.col("a") & (F.col("doc_id") % 5 == i)), F.count_if(F.col("doc_id") % 5 == i))
+    r = _judged(t).groupBy("source").agg(*[rate(i).alias(f"r{i}") for i in range(5)])
+    return r.select("source", F.array_join(findings(*[F.col(f"r{i}") for i in range(5)]), "; ").alias("diagnosis"))
 
 
 @query("metric_delta", f"{_J}, x AS (SELECT lang, avg(a::INT) AS v FROM j WHERE doc_id % 2 = 0 GROUP BY 1), y AS (SELECT lang, avg(a::INT) AS v FROM j WHERE doc_id % 2 = 1 GROUP BY 1) SELECT lang, round(y.v - x.v, 6) AS delta FROM x JOIN y USING (lang)")

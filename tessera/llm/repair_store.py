@@ -1,13 +1,14 @@
 """Token ids on disk as Re-Pair grammars.
 
 A shard holds whole documents in ascending id order. Its id sequence is compressed by repeatedly replacing frequent
-pairs of adjacent symbols by new nonterminals; each round counts all pairs, takes the most frequent ones and replaces
-them from left to right. The shard keeps the rules, the length that each rule expands to, the remaining symbols, and
+pairs of adjacent symbols by new nonterminals, until no pair occurs LEAST_COUNT times. A round counts all pairs exactly
+and takes those that occur at least a share of the most frequent one's times; where occurrences overlap, the more
+frequent pair is replaced. The shard keeps the rules, the length that each rule expands to, the remaining symbols, and
 how many ids precede every BLOCK-th symbol, so that any range of ids is decoded without what lies before it.
 
-Shard layout (little-endian): magic, six unsigned 64-bit counts (documents, ids, symbols, rules, first nonterminal,
-ids before this shard in its part), then document ids i64, starts u64 (one more than documents), rules u32 pairs,
-expansion lengths u32, block table u64, symbols u16 or u32 (u16 if all nonterminals fit).
+Shard layout (little-endian): magic, seven unsigned 64-bit counts (documents, those without an id, which come last, ids,
+symbols, rules, first nonterminal, ids before this shard in its part), then document ids i64, starts u64 (one more than
+documents), rules u32 pairs, expansion lengths u32, block table u64, symbols u16 or u32 (u16 if all nonterminals fit).
 """
 
 import struct
@@ -21,49 +22,69 @@ from pyspark.sql import Window as W
 from .byte_bpe import byte_bpe, default_path
 from .common import shared_dir, small_batches, table
 
-MAGIC = b"RPT1"
+MAGIC = b"RPT2"
 BLOCK = 256
 SHARD_IDS = 1 << 20
-ROUNDS = 6
-RULES_A_ROUND = 2048
+#: Pairs that occur less often stay: a rule takes eight bytes and more.
 LEAST_COUNT = 8
-SLOTS = 20
-
-
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, per_round: int = RULES_A_ROUND, least: int = LEAST_COUNT):
-    """(symbols, rules): rules[k] is the pair that nonterminal first + k stands for."""
-    s, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+#: A round takes pairs that occur at least one in SHARE of the most frequent one's times.
+SHARE = 32
+SLOT_BITS = 20
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+
+
+def chosen(place: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+    """Of occurrences (place in ascending order, rank of their pair, 1 or more), which are replaced: those that outrank
+    the ones they overlap with, and of a run of one pair that overlaps itself every second from the left."""
+    at = np.zeros(n + 2, np.int64)
+    at[place + 1] = rank
+    left, right = at[place], at[place + 2]
+    take = (rank > left) & (rank > right)
+    same = np.flatnonzero((rank == left) | (rank == right))
+    if len(same):
+        p, r = place[same], rank[same]
+        begins = np.r_[True, (p[1:] != p[:-1] + 1) | (r[1:] != r[:-1])]
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(p)), 0))
+        take[same] = ((np.arange(len(p)) - first) % 2 == 0) & (left[same] <= r) & (right[same] <= r)
+    return take
+
+
+def compress(ids: np.ndarray, first: int, least: int = LEAST_COUNT, share: int = SHARE):
+    """(symbols, rules): rules[k] is the pair that nonterminal first + k stands for. No pair of symbols is left that
+    occurs least times, counting overlaps."""
+    s, rules, n_rules = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], 0
+    while len(s) > 1:
         pair = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        slot = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
-        count = np.bincount(slot.astype(np.int64), minlength=1 << SLOTS)
-        floor = max(least, int(np.partition(count, -per_round)[-per_round]))
-        at = np.flatnonzero(count[slot] >= floor)  # no pair that is frequent enough lies in another slot
-        where, here = slot[at].astype(np.int64), pair[at]
-        held = np.zeros(1 << SLOTS, np.uint64)
-        held[where[::-1]] = here[::-1]  # a slot stands for its first pair; others wait for a later round
-        same = held[where] == here
-        at, where = at[same], where[same]
-        often = np.bincount(where, minlength=1 << SLOTS)
-        top = np.flatnonzero(often >= floor)
-        top = top[np.argsort(-often[top], kind="stable")][:per_round]
-        if not len(top):
+        ordered = np.sort(pair)
+        edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        count = np.diff(np.r_[edge, len(ordered)])
+        top = int(count.max())
+        if top < least:
             break
-        name = np.full(1 << SLOTS, -1, np.int64)
-        name[top] = np.arange(len(top)) + first + len(rules)
-        hit = name[where] >= 0
-        at, new = at[hit], name[where[hit]]
-        # Of hits that overlap, every second one from the left is replaced.
-        run = np.r_[True, at[1:] != at[:-1] + 1]
-        begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - begin) % 2 == 0
-        at, new = at[take], new[take]
-        rules += [(int(p >> np.uint64(32)), int(p & np.uint64(0xFFFFFFFF))) for p in held[top]]
-        s[at] = new
-        s = np.delete(s, at + 1)
-    return s, np.array(rules, np.uint32).reshape(-1, 2)
+        pick = count >= max(least, top // share)
+        wanted, often = ordered[edge[pick]], count[pick]
+        maybe = np.zeros(1 << SLOT_BITS, bool)
+        maybe[_slot(wanted)] = True
+        place = np.flatnonzero(maybe[_slot(pair)])
+        k = np.minimum(np.searchsorted(wanted, pair[place]), len(wanted) - 1)
+        exact = wanted[k] == pair[place]
+        place, k = place[exact], k[exact]
+        rank = np.empty(len(wanted), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(1, len(wanted) + 1)
+        take = chosen(place, rank[k], len(s))
+        place, k = place[take], k[take]
+        used = np.bincount(k, minlength=len(wanted)) > 0
+        name = np.cumsum(used) - 1 + first + n_rules
+        rules.append(np.stack([wanted[used] >> np.uint64(32), wanted[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        n_rules += len(rules[-1])
+        s[place] = name[k]
+        stays = np.ones(len(s), bool)
+        stays[place + 1] = False
+        s = s[stays]
+    return s, np.concatenate(rules)
 
 
 def lengths_of(rules: np.ndarray, first: int) -> np.ndarray:
@@ -78,8 +99,8 @@ class Shard:
 
     def __init__(self, payload: bytes):
         assert payload[:4] == MAGIC
-        docs, self.n_ids, n_symbols, n_rules, self.first, self.before = struct.unpack_from("<6Q", payload, 4)
-        at = 4 + 48
+        docs, self.n_null, self.n_ids, n_symbols, n_rules, self.first, self.before = struct.unpack_from("<7Q", payload, 4)
+        at = 4 + 56
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -137,7 +158,7 @@ class Shard:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def build_shard(doc_ids: list[int], ids: list[np.ndarray], first: int, before: int) -> bytes:
+def build_shard(doc_ids: list[int | None], ids: list[np.ndarray], first: int, before: int) -> bytes:
     starts = np.r_[0, np.cumsum([len(x) for x in ids])].astype("<u8")
     symbols, rules = compress(np.concatenate(ids) if ids else np.empty(0, np.uint32), first)
     lengths = lengths_of(rules, first)
@@ -145,7 +166,9 @@ def build_shard(doc_ids: list[int], ids: list[np.ndarray], first: int, before: i
     inner = symbols >= first
     size[inner] = lengths[symbols[inner] - first]
     blocks = (np.cumsum(size) - size)[::BLOCK]
-    head = MAGIC + struct.pack("<6Q", len(doc_ids), int(starts[-1]), len(symbols), len(rules), first, before)
+    known = [i for i in doc_ids if i is not None]  # the others come after them
+    doc_ids = [*known, *[0] * (len(doc_ids) - len(known))]
+    head = MAGIC + struct.pack("<7Q", len(doc_ids), len(doc_ids) - len(known), int(starts[-1]), len(symbols), len(rules), first, before)
     arrays = np.array(doc_ids, "<i8"), starts, rules.astype("<u4"), lengths.astype("<u4"), blocks.astype("<u8"), symbols.astype("<u2" if first + len(rules) <= 1 << 16 else "<u4")
     return head + b"".join(x.tobytes() for x in arrays)
 
@@ -155,7 +178,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col:
     payload in Parquet rows, so that any store that Spark writes to will do.
 
     A null or empty text is the end id alone. Repeated ids keep a document each, next to one another. Rows with a null
-    id cannot be addressed and raise an error. Other columns are ignored; an empty df writes no shard. Ids must be
+    id come after all others. Other columns are ignored; an empty df writes no shard. Ids must be
     integers. A document longer than shard_ids gets a shard to itself.
     """
     small_batches(df.sparkSession)
@@ -187,8 +210,8 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col:
         if doc_ids:
             yield flush()
 
-    rows = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.raise_error(F.lit("null document id")).cast("bigint")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ranged = rows.repartitionByRange(F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last()).withColumn("part", F.spark_partition_id())
     ranged.mapInArrow(shards, "part int, shard int, n_docs bigint, n_ids bigint, payload binary").write.option("compression", "zstd").parquet(path)
 
 
@@ -206,7 +229,7 @@ def read_ids(spark, path: str) -> DataFrame:
                     cut = s.starts[lo : hi + 1] - s.starts[lo]
                     yield pa.record_batch({
                         "part": pa.array([part] * (hi - lo), pa.int32()),
-                        "doc_id": pa.array(s.doc_ids[lo:hi]),
+                        "doc_id": pa.array(s.doc_ids[lo:hi], mask=np.arange(lo, hi) >= len(s.doc_ids) - s.n_null),
                         "at": pa.array(s.starts[lo:hi] + s.before),
                         "ids": pa.array([ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
                     })

@@ -41,8 +41,14 @@ def test_token_file_round_trip(spark, odd, tmp_path):
 
 
 def test_token_file_null_id(spark, tmp_path):
-    with pytest.raises(Exception, match="null document id"):
-        repair_store.write_ids(spark.createDataFrame([(None, "x")], "doc_id bigint, text string"), f"file://{tmp_path}/s", byte_bpe.default_path())
+    """Rows without an id come last; each keeps its text."""
+    path, rows = f"file://{tmp_path}/s", [(None, "x"), (7, "seven"), (None, "y z"), (2, None)]
+    repair_store.write_ids(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), path, byte_bpe.default_path(), shard_ids=3)
+    got = sorted(((r.doc_id, r.start, bytes(r.ids)) for r in repair_store.read_ids(spark, path).collect()), key=lambda r: r[1])
+    ids = lambda t: np.array(library_ids(t), "<u4").tobytes()
+    assert [r[0] for r in got] == [2, 7, None, None]
+    assert [r[2] for r in got][:2] == [ids(""), ids("seven")] and {r[2] for r in got[2:]} == {ids("x"), ids("y z")}
+    assert [r[1] for r in got] == list(np.cumsum([0] + [len(r[2]) // 4 for r in got])[:-1])
 
 
 def test_token_file_empty(spark, tmp_path):
@@ -63,6 +69,46 @@ def test_repair_round_trip(kind):
         assert len(shard.symbols) < len(ids) / 2
 
 
+@pytest.mark.parametrize("kind", ["words", "copies", "zeros"])
+def test_no_frequent_pair_is_left(kind):
+    rng = np.random.default_rng(2)
+    text = rng.zipf(1.3, 20_000) % 500
+    ids = {"words": text, "copies": np.tile(text[:700], 60), "zeros": np.zeros(40_000, int)}[kind].astype(np.uint32)
+    symbols, rules = repair_store.compress(ids, 1000)
+    pairs, count = np.unique(np.stack([symbols[:-1], symbols[1:]]), axis=1, return_counts=True)
+    assert not len(count) or count.max() < repair_store.LEAST_COUNT
+    assert len(symbols) + 2 * len(rules) < {"words": 0.9, "copies": 0.1, "zeros": 0.01}[kind] * len(ids)
+    out = symbols.tolist()
+    while any(x >= 1000 for x in out):
+        out = [y for x in out for y in (rules[x - 1000].tolist() if x >= 1000 else [x])]
+    assert out == ids.tolist()
+
+
+def test_overlapping_pairs_are_chosen_by_rank():
+    take = lambda place, rank: repair_store.chosen(np.array(place), np.array(rank), 20).tolist()
+    assert take([0, 1, 5], [1, 2, 1]) == [False, True, True]
+    assert take([3, 4, 5, 6], [2, 2, 2, 2]) == [True, False, True, False]
+    assert take([3, 4, 5], [2, 2, 3])[2] and not take([3, 4, 5], [2, 2, 3])[1]
+
+
+def test_chunks_with_one_hash(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "mix", lambda x: x & np.uint64(6))
+    coder = byte_bpe.ByteBpe(byte_bpe.default_path())
+    texts = [t or "" for t in ODD] + ["many words that all have one of four hashes " * 5]
+    assert coder.encode(texts) == coder.encode(texts) == [np.array(library_ids(t)[:-1], "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("block", [50, 1 << 21])
+def test_blocks_and_a_full_memory(monkeypatch, block):
+    monkeypatch.setattr(byte_bpe, "BLOCK", block)
+    monkeypatch.setattr(byte_bpe, "MEMORY", 5)
+    coder = byte_bpe.ByteBpe(byte_bpe.default_path())
+    texts = ["a  b \u00a0 c\u3000 d e\u0085 f \x1c g", " lead", "trail ", "x" * 300, "\ufeff q \u200b r", *[t or "" for t in ODD]]
+    for _ in range(2):
+        assert coder.encode(texts) == [np.array(library_ids(t)[:-1], "<u4").tobytes() for t in texts]
+    assert coder.encode([]) == []
+
+
 def test_op2_on_documents(spark):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in repair_store.op2_token_file(spark, SF).collect()}
     at, docs = 0, spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
@@ -96,6 +142,27 @@ def test_op6_on_documents(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))
 
 
+def test_pieces_of_odd_rows(spark):
+    import sentencepiece
+
+    model = piece_bpe.default_path()
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    assert piece_bpe.encode(spark.createDataFrame([], "doc_id bigint, text string"), model).count() == 0
+    rows = [(None, "no id"), (1, "x" * 20_000), (2, "ab" * 9_000 + " end"), (2, "ab" * 9_000 + " end"), (3, "é" * 3_000)]
+    got = piece_bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), model).collect()
+    assert sorted((str(r.doc_id), r.ids) for r in got) == sorted((str(i), sp.encode(t)) for i, t in rows)
+
+
+def test_packing_repeats_and_null_ids(spark):
+    rows = [(1, "same words"), (1, "same words"), (None, "no id"), (None, "no id"), (None, None), (2, "long " * 3000)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), byte_bpe.default_path(), size=64, n_open=2).collect()
+    for i in (1, 2, None):
+        assert sum(p.length for p in pieces if p.doc_id == i) == sum(len(library_ids(t)) for j, t in rows if j == i)
+    for s in {p.sequence_id for p in pieces}:
+        mine = sorted((p for p in pieces if p.sequence_id == s), key=lambda p: p.offset)
+        assert [p.offset for p in mine] == list(np.cumsum([0] + [p.length for p in mine])[:-1])
+
+
 def check_packing(rows, texts, size):
     by_doc, by_seq = {}, {}
     for r in rows:

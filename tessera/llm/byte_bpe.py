@@ -10,7 +10,7 @@ import os
 
 import numpy as np
 
-from .shingles import _powers_to, mix
+from .shingles import Numbers, _powers_to, mix
 
 #: Chunks remembered by one Python worker, then it starts anew; and the slots of their table. 150 MB at most.
 MEMORY = 1_500_000
@@ -36,29 +36,15 @@ class Memory:
     """Chunks with their ids: entry numbers by hash, and pools of their bytes and ids."""
 
     def __init__(self):
-        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.entry = np.zeros(1 << SLOT_BITS, np.int32)
+        self.numbers = Numbers(SLOT_BITS)
         self.n = 0
         self.pools = {"byte": np.empty(1 << 20, np.uint8), "id": np.empty(1 << 20, np.uint32)}
         self.used = {"byte": 0, "id": 0}
         self.begin = {k: np.empty(1 << 16, np.int64) for k in self.pools}
         self.size = {k: np.empty(1 << 16, np.int64) for k in self.pools}
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        open_ = np.arange(len(h))
-        while len(open_):
-            key = self.keys[slot]
-            hit = key == h[open_]
-            out[open_[hit]] = self.entry[slot[hit]]
-            more = ~hit & (key != 0)
-            open_, slot = open_[more], (slot[more] + 1) & ((1 << SLOT_BITS) - 1)
-        return out
-
     def add(self, h: np.ndarray, chunks: list[bytes], ids: list[bytes]) -> None:
-        """Distinct hashes that find() doesn't know."""
+        """Distinct hashes that numbers doesn't know."""
         for kind, parts in (("byte", chunks), ("id", ids)):
             flat = np.frombuffer(b"".join(parts), self.pools[kind].dtype)
             size = np.array([len(p) for p in parts], np.int64) // flat.itemsize
@@ -69,16 +55,7 @@ class Memory:
                 table[kind] = _room(table[kind], m)
                 table[kind][self.n : m] = values
             self.used[kind] = at + len(flat)
-        entry = np.arange(self.n, self.n + len(h))
-        slot, todo = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.arange(len(h))
-        while len(todo):
-            free = self.keys[slot] == 0
-            first = np.zeros(len(todo), bool)
-            first[np.unique(slot, return_index=True)[1]] = True
-            put = free & first
-            self.keys[slot[put]] = h[todo[put]]
-            self.entry[slot[put]] = entry[todo[put]]
-            todo, slot = todo[~put], np.where(free, slot, (slot + 1) & ((1 << SLOT_BITS) - 1))[~put]
+        self.numbers.add(h, self.n)
         self.n += len(h)
 
 
@@ -125,14 +102,14 @@ class ByteBpe:
         total = np.r_[np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])]
         h = mix((total[begin + size] - total[begin]) * inverse[begin]) | np.uint64(1)
         m = self.memory
-        entry = m.find(h)
+        entry = m.numbers.find(h)
         new = np.flatnonzero(entry < 0)
         if len(new):
             found, first = np.unique(h[new], return_index=True)
             first = new[first]
             chunks = [b[x : x + n].tobytes() for x, n in zip(begin[first].tolist(), size[first].tolist())]
             m.add(found, chunks, self._encode(chunks))
-            entry[new] = m.find(h[new])
+            entry[new] = m.numbers.find(h[new])
         n_ids = m.size["id"][entry]
         same = m.size["byte"][entry] == size
         right = m.pools["byte"][spread(m.begin["byte"][entry[same]], size[same])] == b[spread(begin[same], size[same])]

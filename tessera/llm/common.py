@@ -6,16 +6,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts are long, so the default of 10,000 rows would be hundreds of MB.
-BATCH_ROWS = 400
+#: Rows and bytes of one Arrow batch: the same for all operators, as the settings in force are those when a plan runs.
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 #: Makes Spark remove a query's shuffle files when the query ends, rather than when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which every executor sees; in a local session without one (tests) a temporary
+    folder, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -31,11 +34,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes stored tables that no plan reads any more: what was made of them is stored itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._stored_at)
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Removes all working tables of the shared folder. For the caller, once all results are written."""
+    _delete(spark, f"{shared_dir(spark)}/tessera")
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

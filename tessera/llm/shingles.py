@@ -51,3 +51,39 @@ def shingles(h: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out += h[i : i + m] * _MIX[i]
         mean += value[i : i + m]
     return mix(out), mean / n
+
+
+class Numbers:
+    """Numbers of distinct 64-bit hashes (none is 0) in a table with open addressing, all looked up at once."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.number = np.zeros(1 << bits, np.int32)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        slot, todo = self._slot(h), np.arange(len(h))
+        while len(todo):
+            key = self.keys[slot]
+            hit = key == h[todo]
+            out[todo[hit]] = self.number[slot[hit]]
+            more = ~hit & (key != 0)
+            todo, slot = todo[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray, first: int) -> None:
+        """Numbers hashes that find() doesn't know, from first on."""
+        slot, todo = self._slot(h), np.arange(len(h))
+        while len(todo):
+            free = self.keys[slot] == 0
+            alone = np.zeros(len(todo), bool)
+            alone[np.unique(slot, return_index=True)[1]] = True
+            put = free & alone
+            self.keys[slot[put]] = h[todo[put]]
+            self.number[slot[put]] = first + todo[put]
+            todo, slot = todo[~put], np.where(free, slot, (slot + 1) & ((1 << self.bits) - 1))[~put]

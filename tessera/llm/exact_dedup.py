@@ -8,6 +8,8 @@ never exceeds about the entries of one input partition, whatever the number of c
 to one entry in the first merge they meet in.
 """
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,19 +32,50 @@ def normalised(text):
     return out
 
 
-def merge(runs: list[np.ndarray]) -> np.ndarray:
-    """One sorted run of several: equal digests (all 32 bytes compared) become the longest text's entry, then the
-    smallest id's, then the first row's, with the counts added."""
-    run = np.concatenate(runs) if runs else np.empty(0, ENTRY)
-    if not len(run):
-        return run
-    run = run[np.lexsort((run["row"], run["id"], -run["length"], run["digest"]))]
+def sorted_run(entries: np.ndarray) -> np.ndarray:
+    """A leaf's run: entries sorted by digest, of equal ones the best with the counts added."""
+    if not len(entries):
+        return entries
+    run = entries[np.lexsort((entries["row"], entries["id"], -entries["length"], entries["digest"]))]
     first = np.flatnonzero(np.r_[True, run["digest"][1:] != run["digest"][:-1]])
     out = run[first].copy()
     out["count"] = np.add.reduceat(run["count"], first)
     return out
 
 
+def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether b's rows stay rather than a's: the longer text's, then the smaller id's, then the earlier row's."""
+    shorter, same = a["length"] < b["length"], a["length"] == b["length"]
+    return shorter | same & ((a["id"] > b["id"]) | (a["id"] == b["id"]) & (a["row"] > b["row"]))
+
+
+def merge_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One run of two: b's digests find their places in a; equal ones (all 32 bytes) become the better entry."""
+    if len(a) < len(b):
+        a, b = b, a
+    place = np.searchsorted(a["digest"], b["digest"])
+    there = place < len(a)
+    there[there] = a["digest"][place[there]] == b["digest"][there]
+    at, twin = place[there], b[there]
+    out = a.copy()
+    out[at] = np.where(better(a[at], twin), twin, a[at])
+    out["count"][at] = a["count"][at] + twin["count"]
+    return np.insert(out, place[~there], b[~there])
+
+
+def merge(runs: list[np.ndarray]) -> np.ndarray:
+    """One sorted run of several, each with distinct digests: always the two shortest are merged."""
+    heap = [(len(r), i, r) for i, r in enumerate(runs)]
+    heapq.heapify(heap)
+    n = len(runs)
+    while len(heap) > 1:
+        one, two = heapq.heappop(heap), heapq.heappop(heap)
+        run = merge_two(one[2], two[2])
+        heapq.heappush(heap, (len(run), n, run))
+        n += 1
+    return heap[0][2] if heap else np.empty(0, ENTRY)
+
+
 def owner(run: np.ndarray, nodes: int) -> np.ndarray:
     """The node that ends up with each entry: its digest's share of the digest space."""
     head = run["digest"].astype("S4").view(">u4").astype(np.uint64) if len(run) else np.empty(0, np.uint64)
@@ -80,7 +113,7 @@ def winners(digests: DataFrame, fan_in: int) -> DataFrame:
             new["digest"] = np.array(b["digest"].to_pylist(), "S32")
             new["id"] = b["id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)
             new["length"], new["row"], new["count"] = b["length"].to_numpy(), b["row"].to_numpy(), 1
-            runs.append(merge([new]))
+            runs.append(sorted_run(new))
         if runs:
             yield from as_batch(slices(node, merge(runs), 1, fan_in, nodes)).to_batches()
 
@@ -112,7 +145,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     repeated rows (same id and text) exactly one is kept. Other columns of df are ignored, an empty df gives no
     rows. Ids must be integers. If df numbers its rows in row_col, with no number twice, the result has it too.
     """
-    small_batches(df.sparkSession, 20_000)
+    small_batches(df.sparkSession)
     digests = stored(
         df.select(
             F.col(id_col).cast("bigint").alias("id"),

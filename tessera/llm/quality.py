@@ -2,8 +2,9 @@
 
 Each metric is an integer, sketched per (language, source) as counts over the lattice of integers with four
 significant bits (a high-dynamic-range histogram). Sketches merge by adding counts and have at most 8 cells per
-octave, so a threshold costs the same memory for ten rows or ten billion. Where a (language, source) has few
-documents its sketch is merged with the others of the language, or with all.
+octave, so a threshold costs the same memory for ten rows or ten billion. Every (language, source) has thresholds of
+its own sketch, to which its language's sketch is added with the weight of PRIOR_DOCS documents: a group of many
+documents has its own thresholds, one of few hardly differs from its language.
 """
 
 from functools import reduce
@@ -17,8 +18,8 @@ from .common import let, stored, table
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: metric, slack above the upper fence (below the lower one for metrics that have it), lower fence too.
 METRICS = (("symbol_rate", 50, False), ("dup_line_rate", 300, False), ("word_length", 20, True))
-#: A sketch with fewer documents than this is merged with its language's, then with all.
-LEAST_DOCS = 100
+#: Documents that a language's sketch counts for in each of its sources'.
+PRIOR_DOCS = 100
 SPREADS = 3
 
 
@@ -87,42 +88,36 @@ def fences(rated: DataFrame) -> DataFrame:
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), cell(F.col(m)).alias("at")) for m, _, _ in METRICS]))
     sketch = stored(rated.where(~F.col("base_failed")).select("lang", "source", cells.alias("c")).groupBy("lang", "source", "c.metric", "c.at").agg(F.count("*").alias("n")), "sketch")
 
-    def level(name: str, keys: list[str]) -> DataFrame:
-        merged = sketch.groupBy(*keys, "metric", "at").agg(F.sum("n").alias("n"))
-        w = W.partitionBy(*keys, "metric")
-        ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("at"))).withColumn("all", F.sum("n").over(w))
-        q = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("at")))
-        found = ranked.groupBy(*keys, "metric").agg(F.max("all").alias("all"), q(5).alias("q05"), q(50).alias("q50"), q(95).alias("q95"))
-        bounds = []
-        for m, slack, low in METRICS:
-            mine = lambda c: F.max(F.when(F.col("metric") == m, c))  # noqa: B023, E731
-            bounds += [
-                mine(F.col("q95") + SPREADS * (F.col("q95") - F.col("q50")) + slack).alias(f"{name}_{m}_high"),
-                (mine(F.col("q05") - SPREADS * (F.col("q50") - F.col("q05")) - slack) if low else F.lit(None).cast("bigint")).alias(f"{name}_{m}_low"),
-            ]
-        return found.groupBy(*keys).agg(F.max("all").alias(f"{name}_n"), *bounds)
-
+    of_lang = sketch.groupBy("lang", "metric", "at").agg(F.sum("n").alias("lang_n"))
+    of_lang = of_lang.withColumn("lang_all", F.sum("lang_n").over(W.partitionBy("lang", "metric")))
     groups = rated.select("lang", "source").distinct()
-    own, of_lang, of_all = level("own", ["lang", "source"]), level("lang", ["lang"]), level("all", [])
-    joined = (
-        groups.alias("g")
-        .join(own.alias("o"), F.expr("g.lang <=> o.lang AND g.source <=> o.source"), "left")
-        .join(of_lang.alias("l"), F.expr("g.lang <=> l.lang"), "left")
-        .join(of_all.alias("a"), F.lit(True), "left")
-    )
-    picked = [
-        F.when(F.col("own_n") >= LEAST_DOCS, F.col(f"own_{m}_{s}")).when(F.col("lang_n") >= LEAST_DOCS, F.col(f"lang_{m}_{s}")).otherwise(F.col(f"all_{m}_{s}")).alias(f"{m}_{s}")
-        for m, _, _ in METRICS
-        for s in ("low", "high")
-    ]
-    return joined.select(F.col("g.lang").alias("f_lang"), F.col("g.source").alias("f_source"), *picked)
+    same = lambda a, b, *keys: F.expr(" AND ".join(f"{a}.{k} <=> {b}.{k}" for k in keys))
+    cells = groups.alias("g").join(of_lang.alias("l"), same("g", "l", "lang")).select("g.lang", "g.source", "l.metric", "l.at", "l.lang_n", "l.lang_all")
+    cells = cells.alias("c").join(sketch.alias("s"), same("c", "s", "lang", "source", "metric", "at"), "left")
+    # Whole numbers: own count x the language's documents + PRIOR_DOCS x the language's count.
+    big = lambda c: F.col(c).cast("decimal(18,0)")
+    weight = F.coalesce(big("s.n"), F.lit(0).cast("decimal(18,0)")) * big("c.lang_all") + F.lit(PRIOR_DOCS).cast("decimal(18,0)") * big("c.lang_n")
+    weighed = cells.select("c.lang", "c.source", "c.metric", "c.at", weight.alias("w"))
+    group = W.partitionBy("lang", "source", "metric")
+    ranked = weighed.withColumn("upto", F.sum("w").over(group.orderBy("at"))).withColumn("all", F.sum("w").over(group))
+    q = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("at")))
+    found = ranked.groupBy("lang", "source", "metric").agg(q(5).alias("q05"), q(50).alias("q50"), q(95).alias("q95"))
+    bounds = []
+    for m, slack, low in METRICS:
+        mine = lambda c: F.max(F.when(F.col("metric") == m, c))  # noqa: B023, E731
+        bounds += [
+            mine(F.col("q95") + SPREADS * (F.col("q95") - F.col("q50")) + slack).alias(f"{m}_high"),
+            (mine(F.col("q05") - SPREADS * (F.col("q50") - F.col("q05")) - slack) if low else F.lit(None).cast("bigint")).alias(f"{m}_low"),
+        ]
+    return found.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*bounds)
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: the base counts, base_failed, kept, and the metrics that the verdict compares.
 
     A document is kept if it passes the base rules and no metric lies beyond its group's fences: upper fence
-    q95 + 3 (q95 - q50) + slack, lower fence q05 - 3 (q50 - q05) - slack, from the sketch of its language and source.
+    q95 + 3 (q95 - q50) + slack, lower fence q05 - 3 (q50 - q05) - slack, from the sketch of its language and source
+    with that of its language as a prior.
     A null text has no words and fails the base rules. Null languages and sources are groups of their own. Repeated
     rows each get a row; other columns are ignored; an empty df gives no rows.
     """
@@ -137,26 +132,13 @@ def op9_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-def _level_sql(name: str, keys: str, picks: str) -> str:
-    part, by = (f"PARTITION BY {keys}, metric", f"GROUP BY {keys}") if keys else ("PARTITION BY metric", "")
-    comma = f"{keys}, " if keys else ""
-    return f"""
-{name}_cum AS (SELECT {comma}metric, edge, sum(n) OVER ({part} ORDER BY edge) AS upto, sum(n) OVER ({part}) AS total
-  FROM (SELECT {comma}metric, edge, sum(n) AS n FROM sketch GROUP BY {comma}metric, edge)),
-{name}_q AS (SELECT {comma}metric, max(total) AS total, min(edge) FILTER (100 * upto >= 5 * total) AS q05,
-  min(edge) FILTER (100 * upto >= 50 * total) AS q50, min(edge) FILTER (100 * upto >= 95 * total) AS q95
-  FROM {name}_cum GROUP BY {comma}metric),
-{name} AS (SELECT {comma}max(total) AS n, {picks} FROM {name}_q {by})"""
-
-
 _PICKS = ", ".join(
     f"max(q95 + {SPREADS} * (q95 - q50) + {slack}) FILTER (metric = '{m}') AS {m}_high, " + (f"max(q05 - {SPREADS} * (q50 - q05) - {slack}) FILTER (metric = '{m}')" if low else "NULL::BIGINT") + f" AS {m}_low"
     for m, slack, low in METRICS
 )
 _CELL = "(({m} >> greatest(length(bin({m})) - 4, 0)) << greatest(length(bin({m})) - 4, 0))"
 _CELLS = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_CELL.format(m=m)} AS edge FROM rated WHERE NOT base_failed" for m, _, _ in METRICS)
-_FENCE = "CASE WHEN own.n >= {k} THEN own.{c} WHEN l.n >= {k} THEN l.{c} ELSE a.{c} END"
-_INSIDE = " AND ".join(f"coalesce(r.{m} <= {_FENCE.format(k=LEAST_DOCS, c=f'{m}_high')}, true) AND coalesce(r.{m} >= {_FENCE.format(k=LEAST_DOCS, c=f'{m}_low')}, true)" for m, _, _ in METRICS)
+_INSIDE = " AND ".join(f"coalesce(r.{m} <= f.{m}_high, true) AND coalesce(r.{m} >= f.{m}_low, true)" for m, _, _ in METRICS)
 
 OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text,
@@ -179,13 +161,15 @@ rated AS (SELECT *, n_symbols * 1000 // greatest(word_chars, 1) AS symbol_rate,
   n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_rate, word_chars * 10 // greatest(n_words, 1) AS word_length,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 sketch AS (SELECT lang, source, metric, edge, count(*) AS n FROM ({_CELLS}) GROUP BY ALL),
-{_level_sql("own_lvl", "lang, source", _PICKS)},
-{_level_sql("lang_lvl", "lang", _PICKS)},
-{_level_sql("all_lvl", "", _PICKS)}
+of_lang AS (SELECT lang, metric, edge, sum(n) AS ln, sum(sum(n)) OVER (PARTITION BY lang, metric) AS lt FROM sketch GROUP BY lang, metric, edge),
+weighed AS (SELECT g.lang, g.source, l.metric, l.edge, coalesce(s.n, 0)::HUGEINT * l.lt + {PRIOR_DOCS} * l.ln AS w
+  FROM (SELECT DISTINCT lang, source FROM rated) g JOIN of_lang l ON g.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN sketch s ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source AND s.metric = l.metric AND s.edge = l.edge),
+cum AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY edge) AS upto, sum(w) OVER (PARTITION BY lang, source, metric) AS total FROM weighed),
+q AS (SELECT lang, source, metric, min(edge) FILTER (100 * upto >= 5 * total) AS q05, min(edge) FILTER (100 * upto >= 50 * total) AS q50,
+  min(edge) FILTER (100 * upto >= 95 * total) AS q95 FROM cum GROUP BY lang, source, metric),
+f AS (SELECT lang, source, {_PICKS} FROM q GROUP BY lang, source)
 SELECT r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed,
   NOT r.base_failed AND {_INSIDE} AS kept
-FROM rated r
-LEFT JOIN own_lvl own ON r.lang IS NOT DISTINCT FROM own.lang AND r.source IS NOT DISTINCT FROM own.source
-LEFT JOIN lang_lvl l ON r.lang IS NOT DISTINCT FROM l.lang
-LEFT JOIN all_lvl a ON true
+FROM rated r LEFT JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
 """

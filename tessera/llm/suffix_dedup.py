@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import dropped, small_batches, stored, table
 from .shingles import _powers_to, mix
 
 SPAN, GRAM = 200, 100
+NO_ID = -(1 << 63)
 #: Windows of one gram that one task sorts, and bytes that are sorted at once (names must fit 21 bits).
 MOST = 2000
 SORTED = 1 << 20
@@ -138,13 +139,16 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A byte goes if a string of SPAN bytes that covers it also starts anywhere else in df, judged on the texts as given.
     A null text counts as empty; a text of fewer than SPAN bytes stays. Repeated rows with one id and text are texts
-    of their own, so both lose all that is long enough. Rows with a null id neither lose bytes nor make others lose
-    them. Other columns are ignored; an empty df gives no rows.
+    of their own, so both lose all that is long enough; those with one id and other texts, and those with a null id, are
+    texts like others. Other columns are ignored; an empty df gives no rows. Texts may be any length.
     """
     spark = df.sparkSession
-    small_batches(spark, 200)
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).withColumn("print", F.xxhash64("text"))
+    doc_id = F.col(id_col).cast("bigint")
+    # A row's key: id and print, so that a null id is one more id.
+    docs = df.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), doc_id.isNull().alias("no_id"), text.alias("text"))
+    docs = docs.withColumn("print", F.xxhash64("no_id", "text"))
 
     def find(batches):
         for b in batches:
@@ -155,7 +159,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ids, prints = (np.repeat(b[c].to_numpy(), often) for c in ("id", "print"))
                 yield pa.record_batch({"id": ids, "print": prints, "gram": h, "first": first.astype(np.int32), "more": (last - first).astype(np.int32), "lead": (at - first).astype(np.int32)})
 
-    grams = stored(docs.where("id is not null").mapInArrow(find, "id bigint, print bigint, gram bigint, first int, more int, lead int"), "grams")
+    grams = stored(docs.select("id", "print", "text").mapInArrow(find, "id bigint, print bigint, gram bigint, first int, more int, lead int"), "grams")
     # Stored, as a join with an aggregation of its own key is never split; a passage in many texts makes a hot gram.
     often = stored(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "often")
     # A window's first start, how many starts follow it, and where its gram lies: three short columns in a file (they
@@ -183,6 +187,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     found = docs.join(places, ["id", "print"]).select("id", "print", "text", "places").mapInArrow(cut, "id bigint, print bigint, gram bigint, first int, lead int, text binary")
     found = stored(found.withColumn("window", F.unhex(F.md5("text"))), "windows")
+    dropped(grams, often)
     alike = found.groupBy("gram", "window", "lead").agg(F.count("*").alias("n"), F.any_value("text").alias("text"))
     alike = stored(alike, "distinct-windows")
     groups = stored(alike.groupBy("gram").agg(F.count("*").alias("windows")).where("windows > 1"), "gram-windows")
@@ -229,7 +234,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = alike.where("n > 1").select("gram", "window", "lead", F.array(F.lit(0), (F.octet_length("text") - SPAN).cast("int")).alias("runs"))
     marks = whole.union(marked.union(hot).join(whole.select("gram", "window", "lead"), ["gram", "window", "lead"], "left_anti"))
     spans = found.select("id", "print", "gram", "first", "lead", "window").join(marks, ["gram", "window", "lead"])
-    spans = spans.groupBy("id", "print").agg(F.flatten(F.collect_list(F.transform("runs", lambda r: r + F.col("first")))).alias("marks"))
+    spans = stored(spans.groupBy("id", "print").agg(F.flatten(F.collect_list(F.transform("runs", lambda r: r + F.col("first")))).alias("marks")), "spans")
+    dropped(found, alike, groups, each)
 
     def remove(batches):
         for b in batches:
@@ -250,7 +256,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.record_batch({"doc_id": b["id"], "n_bytes": b["n_bytes"], "removed": pa.array(removed, kind), "kept": pa.array(kept, pa.binary())})
 
-    joined = docs.join(spans, ["id", "print"], "left").select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), "text", "marks")
+    joined = docs.join(spans.hint("merge"), ["id", "print"], "left").select(F.when(~F.col("no_id"), F.col("id")).alias("id"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text", "marks")
     return joined.mapInArrow(remove, "doc_id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
 
 

@@ -51,10 +51,13 @@ def test_ranks_are_the_suffix_order():
 def test_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
     texts = corpus()
-    df = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)] + [(None, texts[6], 1, "k")], "doc_id bigint, text string, print int, kept string").repartition(5)
-    got = {r.doc_id: ([tuple(x) for x in r.removed], bytes(r.kept)) for r in suffix_dedup.suffix_dedup(df).collect() if r.doc_id is not None}
-    want = dict(enumerate(brute([(t or "").encode() for t in texts])))
-    assert got == want
+    rng = random.Random(4)
+    alone = "".join(rng.choice("abcdé ") for _ in range(2000))
+    rows = [*enumerate(texts), (None, texts[6]), (None, alone), (7, alone[300:1200]), (None, None)]
+    df = spark.createDataFrame([(i, t, 1, "k", True) for i, t in rows], "doc_id bigint, text string, print int, kept string, no_id boolean").repartition(5)
+    got = sorted(((str(r.doc_id), r.n_bytes, [tuple(x) for x in r.removed], bytes(r.kept)) for r in suffix_dedup.suffix_dedup(df).collect()), key=repr)
+    raw = [(t or "").encode() for _, t in rows]
+    assert got == sorted(((str(i), len(t), *x) for (i, _), t, x in zip(rows, raw, brute(raw))), key=repr)
 
 
 def test_repeated_rows_and_empty(spark):
@@ -62,3 +65,10 @@ def test_repeated_rows_and_empty(spark):
     rows = suffix_dedup.suffix_dedup(spark.createDataFrame([(1, t), (1, t)], "doc_id bigint, text string")).collect()
     assert [bytes(r.kept) for r in rows] == [b"", b""]
     assert suffix_dedup.suffix_dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = suffix_dedup.suffix_dedup(spark.createDataFrame([(1, long), (2, "!" + long[100_000:100_500] + "?")], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: [tuple(s) for s in r.removed] for r in rows} == {1: [(100_000, 100_500)], 2: [(1, 501)]}

@@ -1,8 +1,9 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its shingles of five words. A shingle's weight is its count in the document times its
-inverse document frequency, which is the mean of its words'; document frequencies are counted over all documents, in
-SLOTS hashed slots, so the table has a fixed size. Improved consistent weighted sampling draws BANDS x ROWS samples that
+inverse document frequency, which is the mean of its words'. Words' document frequencies are counted over all documents
+by a distributed aggregation; one of fewer than one in RARE documents counts as that many, so the table of the others,
+which every task needs, has at most RARE entries for each distinct word of a mean document. Improved consistent weighted sampling draws BANDS x ROWS samples that
 two documents share with the probability of their weighted Jaccard similarity. Documents that share all ROWS samples of
 a band meet in a bucket, and links between them are verified by the exact weighted Jaccard similarity of their shingles.
 
@@ -18,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small_batches, stored, table
+from .common import dropped, small_batches, stored, table
 from .components import components
-from .shingles import mix, shingles, words
+from .shingles import Numbers, mix, shingles, words
 
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
-SLOTS = 1 << 16
+#: Words of fewer than one in RARE documents are equally rare.
+RARE = 1000
 #: Shingles sampled at once, and members that a hub's text is sent out once for.
 CHUNK = 1 << 17
 MEMBERS = 400
@@ -46,9 +48,23 @@ _GAMMA = _gamma_table()
 _LOG_GAMMA = np.log(_GAMMA)
 
 
-def weighted_set(h: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Rarity:
+    """Inverse document frequency of word hashes: ln((1 + N) / (1 + df)) + 1, df being least or more."""
+
+    def __init__(self, words: np.ndarray, df: np.ndarray, n: int, least: int):
+        weigh = lambda d: np.log((1 + n) / (1 + np.asarray(d, float))) + 1
+        # The last entry is that of all other words, which the table numbers -1.
+        self.values = np.r_[weigh(df), weigh(least)].astype(np.float32)
+        self.numbers = Numbers(max(4, (2 * len(words)).bit_length()))
+        self.numbers.add(words, 0)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.values[self.numbers.find(h)]
+
+
+def weighted_set(h: np.ndarray, idf: Rarity) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingles, weights) of a text's word hashes."""
-    s, value = shingles(h, idf[(h % np.uint64(SLOTS)).astype(np.int64)])
+    s, value = shingles(h, idf.of(h))
     found, first, often = np.unique(s, return_index=True, return_counts=True)
     return found, value[first] * often.astype(np.float32)
 
@@ -99,26 +115,41 @@ def word_hashes(texts: list[str]):
             yield h[a:b]
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """ln((1 + N) / (1 + df)) + 1 for each slot of hashed words, over all documents."""
+def rarity(docs: DataFrame) -> Rarity:
+    """Document frequencies of all words; those of RARE-th of the documents or more go to the driver and the tasks."""
 
     def count(batches):
-        df, n = np.zeros(SLOTS, np.int64), 0
+        held, n = [], 0
+
+        def settle():
+            words, place = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            return words, np.bincount(place, np.concatenate([d for _, d in held]), len(words)).astype(np.int64)
+
         for b in batches:
             for h in word_hashes(b["text"].to_pylist()):
-                df[np.unique((h % np.uint64(SLOTS)).astype(np.int64))] += 1
+                own = np.unique(h)
+                held.append((own, np.ones(len(own), np.int64)))
                 n += 1
-        slot = np.r_[np.flatnonzero(df), SLOTS]
-        yield pa.record_batch({"slot": pa.array(slot, pa.int64()), "df": pa.array(np.r_[df[slot[:-1]], n], pa.int64())})
-
-    total = np.zeros(SLOTS + 1, np.int64)
-    for r in docs.select("text").mapInArrow(count, "slot bigint, df bigint").groupBy("slot").agg(F.sum("df").alias("df")).collect():  # SLOTS + 1 rows at most
-        total[r.slot] = r.df
-    return (np.log((1 + total[-1]) / (1 + total[:-1])) + 1).astype(np.float32)
+            if len(held) > 4096:
+                held = [settle()]
+        if held:
+            words, df = settle()
+            for lo in range(0, len(words), CHUNK):
+                yield pa.record_batch({"word": pa.array(words[lo : lo + CHUNK].astype(np.int64)), "df": pa.array(df[lo : lo + CHUNK])})
+        yield pa.record_batch({"word": pa.array([None], pa.int64()), "df": pa.array([n], pa.int64())})
+
+    seen = docs.select("text").mapInArrow(count, "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df"))
+    seen = stored(seen, "word-frequencies")
+    total = seen.where("word is null").first()
+    n = total.df if total else 0
+    least = max(1, n // RARE)
+    rows = seen.where(F.col("word").isNotNull() & (F.col("df") > least)).toArrow()
+    dropped(seen)
+    return Rarity(rows["word"].to_numpy().astype(np.uint64), rows["df"].to_numpy(), n, least)
 
 
 def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """(id, digest, keys): digest of the words of the text, null if it has none, and a key for each band."""
+    """(id, print, digest, keys): digest of the words of the text, null if it has none, and a key for each band."""
 
     def sign(batches):
         for b in batches:
@@ -153,9 +184,9 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
             flush()
             ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.record_batch({"id": pa.array(ids, pa.int64()), "digest": pa.array(digests, pa.binary()), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
+            yield pa.record_batch({"id": pa.array(ids, pa.int64()), "print": b["print"], "digest": pa.array(digests, pa.binary()), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
-    return docs.mapInArrow(sign, "id bigint, digest binary, keys array<bigint>")
+    return docs.mapInArrow(sign, "id bigint, print bigint, digest binary, keys array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
@@ -211,25 +242,30 @@ def prefixes(nodes: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id) of every row of df: documents of one class are linked by pairs that reach the threshold.
 
-    class_id is the class's smallest doc_id. A text with fewer than five words has one shingle, all its words; a null
-    text, or one without words, is a class of its own. A null id gets a null class. Rows that share an id are one
-    document. Other columns are ignored; an empty df gives no rows. Ids must be integers.
+    class_id is the class's smallest doc_id, null if none of its documents has one. A text with fewer than five words has
+    one shingle, all its words; a null text, or one without words, is a class of its own. Rows are documents each, also
+    those that share an id or have none; equal texts are always one class. Other columns are ignored; an empty df gives
+    no rows. Ids must be integers.
     """
     spark = df.sparkSession
     small_batches(spark)
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
+    idf = spark.sparkContext.broadcast(rarity(docs))
     signed = stored(signatures(docs, idf, bands, rows), "signatures")
-    named = signed.where("digest is not null and id is not null")
-    # Equal word sequences are one node, its smallest id.
-    nodes = stored(named.groupBy("digest").agg(F.min(F.struct("id", "keys")).alias("x")).select("digest", F.col("x.id").alias("node"), F.col("x.keys").alias("keys")), "nodes")
+    # Equal word sequences are one node: its number, its smallest id, and the print of one of its texts.
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print", "keys"))
+    nodes = signed.where("digest is not null").groupBy("digest").agg(one.alias("x")).select("digest", "x.id", "x.print", "x.keys")
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     placed = nodes.select("node", F.explode("keys").alias("key"))
-    full = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(placed.join(full, "key"), "buckets")
+    # Both are stored, as a join with an aggregation of its own key is never split, and a bucket may be hot.
+    full = stored(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "full-buckets")
+    met = stored(placed.join(full.hint("merge"), "key"), "buckets")
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
     hubs = met.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("hub"))
-    star = stored(met.join(hubs, "key").select("key", "hub", "node"), "stars")
-    texts = stored(docs.join(met.select(F.col("node").alias("id")).distinct(), "id").dropDuplicates(["id"]).select(F.col("id").alias("node"), "text"), "texts")
+    star = stored(met.join(stored(hubs, "hubs").hint("merge"), "key").select("key", "hub", "node"), "stars")
+    asked = nodes.join(met.select("node").distinct(), "node").select("node", "id", "print")
+    named = docs.select(F.col("id").alias("d_id"), F.col("print").alias("d_print"), "text")
+    texts = stored(named.join(asked, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_print") == F.col("print"))).dropDuplicates(["node"]).select("node", "text"), "texts")
     links = stored(verified(star.where("hub <> node").select("hub", "node").distinct(), texts, idf, threshold), "star-links")
 
     label = components(links)
@@ -257,8 +293,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         pairs = stored(shared.select(F.col("x").alias("hub"), F.col("y").alias("node")), "pairs")
         more = verified(pairs, texts, idf, threshold)
         label = components(links.union(more))
-    classes = nodes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("class_id", "node").alias("class_id"))
-    out = signed.join(classes, "digest", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
+    member = nodes.select("digest", "node", "id").join(label, "node", "left").select("digest", "id", F.coalesce("class_id", "node").alias("class"))
+    least = stored(member.groupBy("class").agg(F.min("id").alias("class_id")), "classes")
+    classes = member.join(least.hint("merge"), "class").select("digest", "class_id")
+    out = signed.join(classes, "digest", "left").select(F.col("id").alias("doc_id"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
     return out
 
 

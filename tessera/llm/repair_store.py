@@ -1,9 +1,9 @@
 """Token ids on disk as Re-Pair grammars.
 
 A shard holds whole documents in ascending id order. Its id sequence is compressed by repeatedly replacing frequent
-pairs of adjacent symbols by new nonterminals, until no pair occurs LEAST_COUNT times. A round counts all pairs exactly
-and takes those that occur at least a share of the most frequent one's times; where occurrences overlap, the more
-frequent pair is replaced. The shard keeps the rules, the length that each rule expands to, the remaining symbols, and
+pairs of adjacent symbols by new nonterminals, until no pair occurs LEAST_COUNT times. A round replaces all pairs that
+do, each where it overlaps none that is more frequent; after the first, only pairs with a new symbol, and occurrences
+that gave way, can be frequent, so only they are counted, and exactly. The shard keeps the rules, the length that each rule expands to, the remaining symbols, and
 how many ids precede every BLOCK-th symbol, so that any range of ids is decoded without what lies before it.
 
 Shard layout (little-endian): magic, seven unsigned 64-bit counts (documents, those without an id, which come last, ids,
@@ -27,21 +27,13 @@ BLOCK = 256
 SHARD_IDS = 1 << 20
 #: Pairs that occur less often stay: a rule takes eight bytes and more.
 LEAST_COUNT = 8
-#: A round takes pairs that occur at least one in SHARE of the most frequent one's times.
-SHARE = 32
-SLOT_BITS = 20
 
 
-def _slot(pair: np.ndarray) -> np.ndarray:
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-
-
-def chosen(place: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+def chosen(place: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Of occurrences (place in ascending order, rank of their pair, 1 or more), which are replaced: those that outrank
     the ones they overlap with, and of a run of one pair that overlaps itself every second from the left."""
-    at = np.zeros(n + 2, np.int64)
-    at[place + 1] = rank
-    left, right = at[place], at[place + 2]
+    touching = place[1:] == place[:-1] + 1
+    left, right = np.r_[0, np.where(touching, rank[:-1], 0)], np.r_[np.where(touching, rank[1:], 0), 0]
     take = (rank > left) & (rank > right)
     same = np.flatnonzero((rank == left) | (rank == right))
     if len(same):
@@ -52,38 +44,57 @@ def chosen(place: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
     return take
 
 
-def compress(ids: np.ndarray, first: int, least: int = LEAST_COUNT, share: int = SHARE):
+def occurrences(pair: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in pair of those that are wanted, which one each is); wanted is sorted. By a table of hashed slots, and
+    by search where two of wanted share one."""
+    bits = min(20, max(8, (32 * len(wanted)).bit_length()))
+    slot = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+    table = np.full(1 << bits, -1, np.int32)
+    table[slot(wanted)] = np.arange(len(wanted), dtype=np.int32)
+    k = table[slot(pair)]
+    place = np.flatnonzero(k >= 0)
+    k, found = k[place], pair[place]
+    other = np.flatnonzero(wanted[k] != found)
+    k[other] = np.minimum(np.searchsorted(wanted, found[other]), len(wanted) - 1)
+    right = np.ones(len(k), bool)
+    right[other] = wanted[k[other]] == found[other]
+    return place[right], k[right]
+
+
+def compress(ids: np.ndarray, first: int, least: int = LEAST_COUNT):
     """(symbols, rules): rules[k] is the pair that nonterminal first + k stands for. No pair of symbols is left that
     occurs least times, counting overlaps."""
     s, rules, n_rules = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)], 0
-    while len(s) > 1:
-        pair = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
+    place = np.arange(max(0, len(s) - 1))  # of pairs that may be frequent
+    while len(place):
+        pair = (s[place].astype(np.uint64) << np.uint64(32)) | s[place + 1]
         ordered = np.sort(pair)
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
         count = np.diff(np.r_[edge, len(ordered)])
-        top = int(count.max())
-        if top < least:
+        pick = count >= least
+        if not pick.any():
             break
-        pick = count >= max(least, top // share)
         wanted, often = ordered[edge[pick]], count[pick]
-        maybe = np.zeros(1 << SLOT_BITS, bool)
-        maybe[_slot(wanted)] = True
-        place = np.flatnonzero(maybe[_slot(pair)])
-        k = np.minimum(np.searchsorted(wanted, pair[place]), len(wanted) - 1)
-        exact = wanted[k] == pair[place]
-        place, k = place[exact], k[exact]
+        near, k = occurrences(pair, wanted)
+        place = place[near]
         rank = np.empty(len(wanted), np.int64)
         rank[np.argsort(often, kind="stable")] = np.arange(1, len(wanted) + 1)
-        take = chosen(place, rank[k], len(s))
-        place, k = place[take], k[take]
-        used = np.bincount(k, minlength=len(wanted)) > 0
+        take = chosen(place, rank[k])
+        at, lost = place[take], place[~take]
+        used = np.bincount(k[take], minlength=len(wanted)) > 0
         name = np.cumsum(used) - 1 + first + n_rules
         rules.append(np.stack([wanted[used] >> np.uint64(32), wanted[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         n_rules += len(rules[-1])
-        s[place] = name[k]
+        s[at] = name[k[take]]
         stays = np.ones(len(s), bool)
-        stays[place + 1] = False
+        stays[at + 1] = False
         s = s[stays]
+        here, lost = at - np.arange(len(at)), lost[stays[lost]]
+        again = np.zeros(len(s) + 1, bool)
+        again[here] = again[here - 1] = True  # before the first lies the spare last one
+        again[lost - np.searchsorted(at, lost)] = True
+        again[len(s) - 1 :] = False  # no pair begins at the last symbol
+        place = np.flatnonzero(again)
     return s, np.concatenate(rules)
 
 

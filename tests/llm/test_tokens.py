@@ -85,7 +85,7 @@ def test_no_frequent_pair_is_left(kind):
 
 
 def test_overlapping_pairs_are_chosen_by_rank():
-    take = lambda place, rank: repair_store.chosen(np.array(place), np.array(rank), 20).tolist()
+    take = lambda place, rank: repair_store.chosen(np.array(place), np.array(rank)).tolist()
     assert take([0, 1, 5], [1, 2, 1]) == [False, True, True]
     assert take([3, 4, 5, 6], [2, 2, 2, 2]) == [True, False, True, False]
     assert take([3, 4, 5], [2, 2, 3])[2] and not take([3, 4, 5], [2, 2, 3])[1]

@@ -56,7 +56,7 @@ def strict(rows: DataFrame, required: list[str]) -> DataFrame:
     The check is a filter, so no projection or count leaves it out. required: names, or alternatives joined by |.
     """
     lacks = lambda names: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names.split("|")]).isNull()
-    where = F.concat(F.col("file"), *([F.lit(":"), F.col("number").cast("string")] if "number" in rows.columns else []))
+    where = F.concat(F.lit("bad row in "), F.col("file"), *([F.lit(":"), F.col("number").cast("string")] if "number" in rows.columns else []))
     error = F.when(F.col(PROBLEM).isNotNull(), F.concat(where, F.lit(": invalid JSON: "), F.left(PROBLEM, F.lit(200))))
     for names in required:
         error = F.coalesce(error, F.when(lacks(names), F.concat(where, F.lit(f": no {names}"))))

@@ -13,6 +13,51 @@ def test_json_lines(spark, tmp_path):
         files.strict(rows, ["id", "task"]).collect()
 
 
+def test_only_one_json_object_a_line(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("{'id': 'x'}\n{\"id\": \"y\"} )\n{\"id\": \"z\"}\n[1]\n  {\"id\": \"w\"}  \n")
+    rows = files.json_lines(spark, str(tmp_path), "id string")
+    assert {r.id for r in files.lenient(rows).collect()} == {"z", "w"}
+
+
+def test_strict_stops_every_reader_and_names_the_line(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1", "prompt": "x"}\n\n{"id": "2", "task": "y"}\n{"id": "3"}\n')
+    rows = files.strict(files.parse_lines(files.numbered_lines(spark, str(tmp_path)), "id string, prompt string, task string"), ["id", "prompt|task"])
+    for read in (lambda: rows.collect(), lambda: rows.count(), lambda: rows.select("id").collect(), lambda: rows.select("number").collect()):
+        with pytest.raises(Exception, match="bad row in a.jsonl:4: no prompt"):
+            read()
+
+
+def test_gate(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n# note\n')
+    read = lambda: files.json_lines(spark, str(tmp_path), "id string")
+    assert [r.id for r in files.gated(read(), ["id"]).collect()] == ["1"]
+    (tmp_path / "b.jsonl").write_text('{"id": ""}\n{\n')
+    with pytest.raises(ValueError, match="ABORT: 2 record"):
+        files.gated(read(), ["id"])
+    (tmp_path / "a.jsonl").write_text("# only a note\n")
+    (tmp_path / "b.jsonl").write_text("")
+    with pytest.raises(ValueError, match="no valid"):
+        files.gated(read(), ["id"])
+
+
+def test_listing_and_fallback(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in ("b.txt", "a.txt", "d/c.txt"):
+        (tmp_path / name).write_text("xy")
+    (tmp_path / "empty").write_text("")
+    found = files.listing(spark, str(tmp_path), 2).collect()
+    assert [r.path.split("/")[-1] for r in found] == ["a.txt", "b.txt"] and found[0]["size"] == 2
+    assert files.first_existing(spark, [str(tmp_path / "none"), str(tmp_path / "empty"), str(tmp_path / "b.txt"), str(tmp_path / "a.txt")]) == str(tmp_path / "b.txt")
+    assert files.first_existing(spark, [str(tmp_path / "none")]) is None
+
+
+def test_typed_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,x,t\n1,0.5,a\n2,1.5,b\n")
+    assert [tuple(r) for r in files.csv_typed(spark, str(tmp_path / "a.csv")).collect()] == [(1, 0.5, "a"), (2, 1.5, "b")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.csv_typed(spark, str(tmp_path / "none.csv"))
+
+
 def test_csv_text(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,passed,transcript\n1,True,"two\nlines, ""quoted"""\n2,,x\n')
     rows = sorted(tuple(r) for r in files.csv_text(spark, str(tmp_path / "a.csv"), ["id", "passed", "transcript"]).collect())

@@ -1,6 +1,8 @@
-"""The corpus pipeline: language ID, exact dedup, near-duplicate dedup, line dedup, packing.
+"""The corpus pipeline: language ID, exact dedup, near-duplicate dedup, substring dedup, packing.
 
-Each stage takes what its predecessor kept; all but the last return the columns of documents.
+Each stage takes what its predecessor kept; all but the last return the columns of documents, and other columns of its
+input are dropped. Every stage gives no rows for an empty table, and takes null and repeated ids, null texts, languages
+and sources, and texts of any length; what becomes of them is said at each.
 """
 
 from pyspark.sql import functions as F
@@ -9,15 +11,17 @@ from tessera.llm import byte_bpe, exact_dedup, language, near_dedup, packing, su
 from tessera.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text of one short word may be a close call between languages; only texts in no language at all are rejected.
-LEAST_SCORE = 0.0
 
 
 def identify(spark, docs, sf_dir):
-    """Learns from the labelled documents; those without a language (`und`) go."""
+    """Learns from the labelled documents; those in no language (`und`: null texts and those without a letter) go.
+
+    Short texts are close calls between languages, so a low score alone rejects none. Repeated rows, and rows with a
+    null id, are judged each; without any labelled document all are `und`.
+    """
     model = language.train(docs, "doc_id", "text", "lang", language.remainder("doc_id") != 2)
     judged = language.identify(docs.select(*COLUMNS), model)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return judged.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def numbered(docs):
@@ -26,14 +30,16 @@ def numbered(docs):
 
 
 def drop_copies(spark, docs, sf_dir):
-    """Of equal texts the one row that exact_dedup keeps stays, whether its doc_id is null or repeated."""
+    """Of equal texts the one row that exact_dedup keeps stays: the longest as given, then the smallest doc_id, null after
+    all others, then the first row. Null texts are equal to empty ones. Other texts stay, whatever ids they share."""
     docs = numbered(docs)
     keep = exact_dedup.exact_dedup(docs, row_col="_row").where("kept").select("_row")
     return docs.join(keep, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """Of each class of near-duplicates the row with the smallest doc_id stays; a null doc_id comes after all others."""
+    """Of each class of near-duplicates the row with the smallest doc_id stays; a null doc_id comes after all others, and
+    of rows with one id the first. Null texts, and texts without a word, are classes of their own and stay."""
     docs = numbered(docs)
     classes = near_dedup.near_dedup(docs, id_col="_row").select(F.col("doc_id").alias("_row"), "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
@@ -42,13 +48,14 @@ def drop_near_copies(spark, docs, sf_dir):
 
 
 def drop_lines(spark, docs, sf_dir):
-    """Repeated lines go; every document stays, with the text that is left and its length."""
+    """Repeated passages go, as in op5; every row stays, also one left without text, with the length of what is left. A
+    null text stays null. Rows lose text each by themselves, whatever ids they share."""
     out = substring_dedup.substring_dedup(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def pack(spark, docs, sf_dir):
-    """One row per piece of a document in a sequence, as in op7."""
+    """One row per piece of a row's text in a sequence, as in op7. Null texts are empty: their end id alone."""
     pieces = packing.pack(docs, byte_bpe.default_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

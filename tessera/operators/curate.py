@@ -173,14 +173,28 @@ def text_samples(t):
     return t.documents.where("length(text) > 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 2 == 0, F.concat_ws(" ", "lang", "text")).otherwise(F.col("text")).cast("binary")).alias("h"))
 
 
-@query("length_gate", "SELECT doc_id FROM documents WHERE length(text) > 257")
+def long_enough(text: Column, tokens: Column, target: Column, seq_len: int, most: int, least: int = 8) -> Column:
+    """Why a text isn't used, the first that holds, or empty: too short for a window, too few tokens, too long a target."""
+    return F.when(F.length(text) <= seq_len + 1, "short text").when(F.size(tokens) < least, "few tokens").when(F.size(target) >= most, "long target").otherwise("")
+
+
+@query("length_gate", r"SELECT doc_id, CASE WHEN length(text) <= 65 THEN 'short text' WHEN len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) < 8 THEN 'few tokens' WHEN len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) >= 500 THEN 'long target' ELSE '' END AS reason FROM documents")
 def length_gate(t):
-    return t.documents.where(F.length("text") > 257).select("doc_id")
+    tokens = X.words(F.col("text"))
+    return t.documents.select("doc_id", long_enough(F.col("text"), tokens, tokens, 64, 500).alias("reason"))
+
+
+def chosen_tasks(tasks: DataFrame, column: str, wanted: list) -> DataFrame:
+    """The tasks whose column is wanted; an error if there is none."""
+    found = tasks.where(F.col(column).isin(*wanted))
+    if found.isEmpty():
+        raise ValueError(f"no tasks match {column} in {wanted}")
+    return found
 
 
 @query("task_filter", "SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')")
 def task_filter(t):
-    return t.documents.where(F.col("lang").isin("de", "fr")).select("doc_id", "lang")
+    return chosen_tasks(t.documents, "lang", ["de", "fr"]).select("doc_id", "lang")
 
 
 @query("target_tasks", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -188,9 +202,26 @@ def target_tasks(t):
     return t.documents.select("doc_id").join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("command_policy", "SELECT page_id, starts_with(url, 'https://') AND NOT regexp_matches(url, 'utm_|#') AS allowed FROM pages")
-def command_policy(t):
-    return t.pages.select("page_id", (F.startswith("url", F.lit("https://")) & ~F.col("url").rlike("utm_|#")).alias("allowed"))
+#: What a command may begin with, and what it must not hold.
+ALLOWED_COMMANDS = ["python", "python3", "pytest", "py.test", "grep", "find", "ls", "cat", "git diff", "git log", "git status", "git show", "sed", "head", "tail", "wc"]
+BLOCKED_COMMANDS = [r"\brm\b", r"\brmdir\b", r"\bsudo\b", r"\bchmod\b", r"\bcurl\b", r"\bwget\b", r"\bdd\b", r">\s*/", r">\s*~", r"\.\./\.\./\.\./"]
+
+
+def command_policy(command: Column) -> Column:
+    """blocked (a pattern matches), not allowed (no prefix does), or ok."""
+    c = F.trim(command, F.lit(X.WHITE))
+    starts = F.exists(F.array(*map(F.lit, ALLOWED_COMMANDS)), lambda p: (c == p) | F.startswith(c, F.concat(p, F.lit(" "))))
+    blocked = F.regexp_like(command, F.lit("|".join(BLOCKED_COMMANDS)))
+    return F.when(blocked, "blocked").when(starts, "ok").otherwise("not allowed")
+
+
+_COMMANDS = ["ls -l", "grep x", "rm -rf x", "python a.py", "pythonx", "cat a > /etc/x", " git diff ", "sudo ls", "wc", "", "echo ~", "cat ../../../x", "head a >~b", "git push", "harmless farm"]
+_COMMAND = f"CASE doc_id % {len(_COMMANDS)} " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_COMMANDS)) + " END"
+
+
+@query("command_policy", f"SELECT doc_id, CASE WHEN {' OR '.join(f'regexp_matches(c, {chr(39)}{b}{chr(39)})' for b in BLOCKED_COMMANDS)} THEN 'blocked' WHEN {' OR '.join(f'trim(c) = {chr(39)}{p}{chr(39)} OR starts_with(trim(c), {chr(39)}{p} {chr(39)})' for p in ALLOWED_COMMANDS)} THEN 'ok' ELSE 'not allowed' END AS policy FROM (SELECT doc_id, {_COMMAND} AS c FROM documents)")
+def command_policy_query(t):
+    return t.documents.select("doc_id", command_policy(F.expr(_COMMAND)).alias("policy"))
 
 
 @query("grep_lines", "SELECT doc_id, pos - 1 AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE regexp_matches(line, '[0-9]{3}')")
@@ -280,10 +311,16 @@ def mask_labels_query(t):
     return made.select("conv_id", F.size("m.input_ids").alias("n"), F.size(F.filter("m.labels", lambda x: x == -100)).alias("masked"), F.aggregate("m.input_ids", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("sum_ids"))
 
 
-@query("dq_counts", "SELECT 'documents' AS t, count(*) AS n, count(*) >= 8 AS ok FROM documents UNION ALL SELECT 'benchmark', count(*), count(*) BETWEEN 24 AND 32 FROM benchmark")
+@query("dq_counts", " UNION ALL ".join(f"SELECT '{k}' AS rule, {n} AS n, {ok} AS ok FROM {src}" for k, n, ok, src in (
+    ("documents 24 to 32", "count(*)", "count(*) BETWEEN 24 AND 32", "documents"), ("benchmark at least 8", "count(*)", "count(*) >= 8", "benchmark"), ("conversations exactly 50", "count(DISTINCT conv_id)", "count(DISTINCT conv_id) = 50", "conversations"))) + " UNION ALL SELECT 'source ' || source || ' exactly 10', count(*), count(*) = 10 FROM documents GROUP BY source")
 def dq_counts(t):
-    a = t.documents.agg(F.count("*").alias("n")).select(F.lit("documents").alias("t"), "n", (F.col("n") >= 8).alias("ok"))
-    return a.unionByName(t.benchmark.agg(F.count("*").alias("n")).select(F.lit("benchmark").alias("t"), "n", F.col("n").between(24, 32).alias("ok")))
+    """Sizes of task lists: between two bounds, at least, exactly, and exactly so many in each category."""
+    rule = lambda df, name, n, ok: df.agg(n.alias("n")).select(F.lit(name).alias("rule"), "n", ok(F.col("n")).alias("ok"))
+    a = rule(t.documents, "documents 24 to 32", F.count("*"), lambda n: n.between(24, 32))
+    b = rule(t.benchmark, "benchmark at least 8", F.count("*"), lambda n: n >= 8)
+    c = rule(t.conversations, "conversations exactly 50", F.count_distinct("conv_id"), lambda n: n == 50)
+    each = t.documents.groupBy("source").agg(F.count("*").alias("n")).select(F.concat(F.lit("source "), F.col("source"), F.lit(" exactly 10")).alias("rule"), "n", (F.col("n") == 10).alias("ok"))
+    return a.unionByName(b).unionByName(c).unionByName(each)
 
 
 @query("dq_snake_case", "SELECT source, regexp_matches(source, '^[a-z][a-z0-9_]*$') AS ok FROM documents GROUP BY 1, 2")
@@ -291,6 +328,18 @@ def dq_snake_case(t):
     return t.documents.select("source", F.col("source").rlike("^[a-z][a-z0-9_]*$").alias("ok")).distinct()
 
 
-@query("dq_domain", "SELECT count(*) FILTER (lang NOT IN ('en', 'de', 'fr', 'es')) AS bad_lang, count(*) FILTER (length(text) <= 20) AS short_text, count(*) FILTER (source IS NULL) AS no_source FROM documents")
+def missing_fields(df: DataFrame, required: list[str]) -> DataFrame:
+    """(field, n_missing): rows in which a required field is null or empty, or is no column at all; in one pass."""
+    lacks = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(True)) if c in df.columns else F.lit(True)
+    counted = df.agg(*[F.count_if(lacks(c)).alias(c) for c in required])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n_missing")) for c in required])).alias("x")).select("x.*")
+
+
+@query("dq_fields", "SELECT 'doc_id' AS field, count_if(doc_id IS NULL)::BIGINT AS n_missing FROM documents UNION ALL SELECT 'text', count_if(coalesce(trim(text), '') = '')::BIGINT FROM documents UNION ALL SELECT 'difficulty', count(*) FROM documents")
+def dq_fields(t):
+    return missing_fields(t.documents, ["doc_id", "text", "difficulty"])
+
+
+@query("dq_domain", "SELECT count(*) FILTER (lang NOT IN ('en', 'de', 'fr', 'es')) AS bad_lang, count(*) FILTER (length(trim(text)) <= 20) AS short_text, count(*) FILTER (source IS NULL) AS no_source FROM documents")
 def dq_domain(t):
-    return t.documents.agg(F.count_if(~F.col("lang").isin("en", "de", "fr", "es")).alias("bad_lang"), F.count_if(F.length("text") <= 20).alias("short_text"), F.count_if(F.col("source").isNull()).alias("no_source"))
+    return t.documents.agg(F.count_if(~F.col("lang").isin("en", "de", "fr", "es")).alias("bad_lang"), F.count_if(F.length(F.trim("text")) <= 20).alias("short_text"), F.count_if(F.col("source").isNull()).alias("no_source"))
\ No newline at end of file

@@ -98,10 +98,20 @@ def merge_override(t):
     return part("first", 1, "doc_id % 2 = 0").unionByName(part("second", 2, "doc_id % 3 = 0")).groupBy("doc_id").agg(F.max_by("tag", "pri").alias("tag"))
 
 
-@query("per_task_routing", "SELECT d.doc_id, coalesce(quality::VARCHAR, '') AS family, coalesce(toxic::VARCHAR, '') AS confidence FROM documents d LEFT JOIN labels USING (doc_id)")
+def routing_table(scores: DataFrame, key: str, routers: dict[str, DataFrame]) -> DataFrame:
+    """scores with a column <name>_pass for each router's results (key, passed), empty where it has none."""
+    out = scores
+    for name, results in routers.items():
+        mine = results.select(F.col(key).alias("_key"), F.col("passed").cast("string").alias(f"{name}_pass"))
+        out = out.join(mine, F.col(key) == F.col("_key"), "left").drop("_key").withColumn(f"{name}_pass", F.coalesce(f"{name}_pass", F.lit("")))
+    return out
+
+
+@query("per_task_routing", "SELECT d.doc_id, d.source AS family, coalesce(a.p, '') AS family_router_pass, coalesce(b.p, '') AS conf_router_pass, coalesce(c.p, '') AS oracle_router_pass FROM documents d LEFT JOIN (SELECT doc_id, (quality = 1)::VARCHAR AS p FROM labels) a USING (doc_id) LEFT JOIN (SELECT doc_id, (toxic = 0)::VARCHAR AS p FROM labels WHERE doc_id % 2 = 0) b USING (doc_id) LEFT JOIN (SELECT doc_id, (quality = 1 OR toxic = 0)::VARCHAR AS p FROM labels WHERE doc_id % 3 = 0) c USING (doc_id)")
 def per_task_routing(t):
-    text = lambda c, n: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
-    return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", text("quality", "family"), text("toxic", "confidence"))
+    a, b = F.col("quality") == 1, F.col("toxic") == 0
+    run = lambda passed, n: t.labels.where(f"doc_id % {n} = 0").select("doc_id", passed.alias("passed"))
+    return routing_table(t.documents.select("doc_id", F.col("source").alias("family")), "doc_id", {"family_router": run(a, 1), "conf_router": run(b, 2), "oracle_router": run(a | b, 3)})
 
 
 #: Scores from which the second index is asked, and the family that always asks it.
@@ -234,7 +244,15 @@ def dup_ids(t):
     return t.documents.groupBy(F.md5(F.col("text").cast("binary")).alias("h")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("md_row", f"{_J} SELECT '| ' || lang || ' | ' || count(*) FILTER (a) || '/' || count(*) || ' |' AS line FROM j GROUP BY lang")
+def markdown(df: DataFrame, order: list[str]) -> DataFrame:
+    """(place, line): a Markdown table of a small df: its header, the rule below it, then a line for each row in order."""
+    cell = lambda cs: F.concat(F.lit("| "), F.concat_ws(" | ", *cs), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(-2, "| " + " | ".join(df.columns) + " |"), (-1, "|" + "---|" * len(df.columns))], "place bigint, line string")
+    body = global_index(df.select(*order, *[F.coalesce(F.col(c).cast("string"), F.lit("—")).alias(f"_{c}") for c in df.columns]), order, "place")
+    return head.unionByName(body.select("place", cell([F.col(f"_{c}") for c in df.columns]).alias("line")))
+
+
+@query("md_row", f"{_J} SELECT -2 AS place, '| lang | passed |' AS line UNION ALL SELECT -1, '|---|---|' UNION ALL SELECT row_number() OVER (ORDER BY lang) - 1, '| ' || lang || ' | ' || count(*) FILTER (a) || '/' || count(*) || ' |' FROM j GROUP BY lang")
 def md_row(t):
-    line = F.concat(F.lit("| "), F.col("lang"), F.lit(" | "), F.count_if("a").cast("string"), F.lit("/"), F.count("*").cast("string"), F.lit(" |"))
-    return _judged(t).groupBy("lang").agg(line.alias("line")).select("line")
+    passed = F.concat(F.count_if("a").cast("string"), F.lit("/"), F.count("*").cast("string"))
+    return markdown(_judged(t).groupBy("lang").agg(passed.alias("passed")), ["lang"])
\ No newline at end of file

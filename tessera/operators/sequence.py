@@ -1,7 +1,9 @@
 """Ordered operators: moving statistics, buckets, samples, state machines, packing, monitoring of training logs."""
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -148,9 +150,25 @@ def multi_run_all(t):
     return rolling(_steps(t), "event_type", "value", 5, "m").select(F.col("event_type").alias("run"), "step", F.round("m", 6).alias("loss"))
 
 
-@query("tumbling_steps", _STEPS + " SELECT event_type, ((step - 1) // 100)::INT AS bucket, round(avg(value), 6) AS mean_value, count(*) AS n FROM s GROUP BY 1, 2")
+def log_lines(steps: DataFrame, run: str, loss: str, tokens: str, time: str, every: int) -> DataFrame:
+    """(run, bucket, n, mean_loss, tok_per_sec, eta) of every `every` steps: tokens over the time since the bucket before
+    (or since the run's first step), and how long the steps that are left take at that rate."""
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    total = steps.groupBy(F.col(run).alias("_r")).agg(F.max("step").alias("_steps"), F.min(seconds(time)).alias("_begin"))
+    rows = steps.groupBy(run, F.floor((F.col("step") - 1) / every).cast("int").alias("bucket")).agg(F.round(F.avg(loss), 6).alias("mean_loss"), F.count("*").alias("n"), F.sum(tokens).alias("_tokens"), F.max(seconds(time)).alias("_now"), F.max("step").alias("_at"))
+    rows = rows.join(F.broadcast(total), F.col(run) == F.col("_r"))  # a row a run
+    spent = F.col("_now") - F.coalesce(F.lag("_now").over(W.partitionBy(run).orderBy("bucket")), F.col("_begin"))
+    rows = rows.withColumn("_spent", spent)
+    left = ((F.col("_steps") - F.col("_at")) * F.col("_spent") / every).cast("bigint")
+    rate = F.round(F.col("_tokens") / F.greatest(F.col("_spent"), F.lit(1e-6)), 1)
+    return rows.select(run, "bucket", "n", "mean_loss", rate.alias("tok_per_sec"), duration(left).alias("eta"))
+
+
+@query("tumbling_steps", _STEPS + """, x AS (SELECT event_type, max(step) AS steps, min(epoch(ts)) AS beginning FROM s GROUP BY 1), b AS (SELECT event_type, ((step - 1) // 100)::INT AS bucket, round(avg(value), 6) AS mean_loss, count(*) AS n, sum(user_id) AS tokens, max(epoch(ts)) AS now, max(step) AS final FROM s GROUP BY 1, 2),
+d AS (SELECT *, now - coalesce(lag(now) OVER (PARTITION BY event_type ORDER BY bucket), beginning) AS spent FROM b JOIN x USING (event_type)), e AS (SELECT *, trunc((steps - final) * spent / 100)::BIGINT AS rest FROM d)
+SELECT event_type, bucket, n, mean_loss, round(tokens / greatest(spent, 1e-6), 1) AS tok_per_sec, (rest // 60) || 'm ' || (rest % 60) || 's' AS eta FROM e""")
 def tumbling_steps(t):
-    return _steps(t).groupBy("event_type", F.floor((F.col("step") - 1) / 100).cast("int").alias("bucket")).agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
+    return log_lines(_steps(t), "event_type", "value", "user_id", "ts", 100)
 
 
 @query("every_kth", _STEPS + ", k AS (SELECT event_type, greatest(1, count(*) // 20) AS k FROM s GROUP BY 1) SELECT event_type, step, value FROM s JOIN k USING (event_type) WHERE (step - 1) % k = 0")
@@ -307,10 +325,20 @@ def char_tokens_query(t):
     return t.documents.where("length(text) > 0").select("doc_id", F.md5(F.array_join(ids.cast("array<string>"), " ").cast("binary")).alias("ids_md5"))
 
 
-@query("lr_schedule", "SELECT i AS step, round(CASE WHEN i < 100 THEN i / 100 ELSE greatest(0.1, 0.5 * (1 + cos(pi() * (i - 100) / 900))) END, 6) AS lr FROM range(1000) r(i)")
+#: Warm-up steps, all steps, and the least factor, of four schedules.
+SCHEDULES = {"pretrain": (100, 1000, 0.0), "code": (50, 800, 0.1), "distil": (20, 500, 0.0), "vision": (0, 300, 0.0)}
+
+
+def lr_factor(step: Column, warm_up: int, total: int, least: float) -> Column:
+    """A linear warm-up, then half a cosine down to least."""
+    progress = (step - warm_up) / max(total - warm_up, 1)
+    return F.when(step < warm_up, step / max(warm_up, 1)).otherwise(F.greatest(F.lit(least), 0.5 * (1 + F.cos(F.pi() * progress))))
+
+
+@query("lr_schedule", " UNION ALL ".join(f"SELECT '{k}' AS schedule, i AS step, round(CASE WHEN i < {w} THEN i / {max(w, 1)} ELSE greatest({low}, 0.5 * (1 + cos(pi() * (i - {w}) / {n - w}))) END, 6) + 0.0 AS lr FROM range({n + 50}) r(i)" for k, (w, n, low) in SCHEDULES.items()))
 def lr_schedule(t):
-    s = F.col("step")
-    return t.spark.range(1000).withColumnRenamed("id", "step").select("step", F.round(F.when(s < 100, s / 100).otherwise(F.greatest(F.lit(0.1), 0.5 * (1 + F.cos(F.pi() * (s - 100) / 900)))), 6).alias("lr"))
+    parts = [t.spark.range(n + 50).select(F.lit(k).alias("schedule"), F.col("id").alias("step"), (F.round(lr_factor(F.col("id"), w, n, low), 6) + 0.0).alias("lr")) for k, (w, n, low) in SCHEDULES.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("fmt_duration", "SELECT event_id, (event_id // 60)::VARCHAR || 'm ' || (event_id % 60) || 's' AS took FROM events")

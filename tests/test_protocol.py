@@ -320,3 +320,22 @@ def test_traces_that_are_not_kept(spark):
     got = row.select(refactor("o", "o", True), refactor("o", "p", True), refactor("o", "o", False), training.tdd_trace(F.col("code"), F.col("o"), F.col("code"), F.col("p"), F.lit(False))).first()
     assert got[0].count("TOOL_CALL: execute_code(") == 2 and "same output `x`" in got[0] and list(got[1:]) == [None] * 3
     assert json.loads(one(spark, 'a "b"\n\\ é', training.json_text)) == 'a "b"\n\\ é'
+
+
+def test_write_back(spark):
+    from tessera.operators.memory import write_back
+
+    names = ", ".join(f"{k} {'boolean' if k == 'verified' else 'string'}" for k in record())
+    rows = [record(content_hash="a"), record(id=None, content_hash=None, verified=None, created_at=None), record(id="2", content_hash="b", observation="FAIL"), record(id="3", content_hash="c"), record(id="4", content_hash="c")]
+    df, base = spark.createDataFrame([tuple(r.values()) for r in rows], names), spark.createDataFrame([("a",)], "content_hash string")
+    with pytest.raises(RuntimeError, match="not enabled"):
+        write_back(base, df)
+    out = write_back(base, df, True).collect()
+    assert len(out) == 2 and {r.content_hash[:7] for r in out} == {"sha256:", "c"} and all(r.id and r.created_at and r.verified for r in out)
+
+
+def test_no_task_matches(spark):
+    from tessera.operators.curate import chosen_tasks
+
+    with pytest.raises(ValueError, match="no tasks match"):
+        chosen_tasks(spark.createDataFrame([("a",)], "id string"), "id", ["b"])

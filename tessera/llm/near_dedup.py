@@ -9,8 +9,10 @@ a band meet in a bucket, and links between them are verified by the exact weight
 
 A bucket may hold a third of all documents, so its pairs are not listed. Equal texts are one node from the start. In
 each bucket all nodes are first compared with the one that shares most buckets with others; this settles copies of one
-original. Nodes that do not join its component go on: of the pairs that they form in their buckets only those are
-compared that also share a rare shingle, by the prefix filter, which loses no pair that reaches the threshold.
+original. Nodes that do not join its component go on: of the pairs that they form only those are compared that share a
+rare shingle, by the prefix filter, and whose similarities with a common hub don't rule them out: one minus the weighted
+Jaccard similarity is a metric, so two nodes whose distances from a hub differ by more than the threshold allows are
+further apart than that. Neither loses a pair that reaches the threshold.
 """
 
 import numpy as np
@@ -190,7 +192,7 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b) of the distinct pairs (hub, node) whose texts reach the threshold.
+    """(a, b, similarity) of the distinct pairs (hub, node) whose texts reach the threshold.
 
     A hub's text is sent to each MEMBERS of its members, ahead of them, and they are read one after another.
     """
@@ -209,16 +211,16 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
                 x = weighted_set(x, idf.value)
                 if kind == 0:
                     current, mine = h, x
-                elif current == h and similarity(mine, x) >= threshold:
-                    out.append((h, node))
-            yield pa.record_batch({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+                elif current == h and (found := similarity(mine, x)) >= threshold:
+                    out.append((h, node, found))
+            yield pa.record_batch({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "similarity": pa.array([o[2] for o in out], pa.float64())})
 
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+    return dealt.mapInArrow(compare, "a bigint, b bigint, similarity double")
 
 
 def prefixes(nodes: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """(node, token, all, common): the shared shingles of each node's prefix, its weight, and that of all its shared
-    shingles. Two nodes that reach the threshold have a token in common.
+    """(node, token, df, all, rest): the shared shingles of each node's prefix, the node's weight, and that of its shared
+    shingles from this one on, in the order of (df, token). Two nodes that reach the threshold have a token in common.
 
     Shingles are taken from the rarest on, until those not taken weigh less than the threshold's share of the node.
     """
@@ -235,8 +237,10 @@ def prefixes(nodes: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     order = W.partitionBy("node").orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("weight").over(order), F.lit(0.0))
     whole = W.partitionBy("node")
-    ranked = ranked.withColumn("before", before).withColumn("all", F.sum("weight").over(whole)).withColumn("common", F.sum(F.when(F.col("df") > 1, F.col("weight")).otherwise(0.0)).over(whole))
-    return ranked.where((F.col("before") <= (1 - threshold + 1e-6) * F.col("all")) & (F.col("df") > 1)).select("node", "token", "all", "common")
+    shared = F.when(F.col("df") > 1, F.col("weight")).otherwise(0.0)
+    rest = F.sum(shared).over(whole) - F.coalesce(F.sum(shared).over(order), F.lit(0.0))
+    ranked = ranked.withColumn("before", before).withColumn("all", F.sum("weight").over(whole)).withColumn("rest", rest)
+    return ranked.where((F.col("before") <= (1 - threshold + 1e-6) * F.col("all")) & (F.col("df") > 1)).select("node", "token", "df", "all", "rest")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -266,7 +270,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     asked = nodes.join(met.select("node").distinct(), "node").select("node", "id", "print")
     named = docs.select(F.col("id").alias("d_id"), F.col("print").alias("d_print"), "text")
     texts = stored(named.join(asked, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_print") == F.col("print"))).dropDuplicates(["node"]).select("node", "text"), "texts")
-    links = stored(verified(star.where("hub <> node").select("hub", "node").distinct(), texts, idf, threshold), "star-links")
+    rays = stored(verified(star.where("hub <> node").select("hub", "node").distinct(), texts, idf, 0.0), "rays")
+    links = rays.where(F.col("similarity") >= threshold).select("a", "b")
 
     label = components(links)
     of = lambda c, name: label.select(F.col("node").alias(c), F.col("class_id").alias(name))
@@ -281,18 +286,25 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     if not there.isEmpty():
         prefix = stored(prefixes(there.select("node").distinct(), texts, idf, threshold), "prefixes")
         of_node = there.groupBy("node").agg(F.any_value("mine").alias("mine"), F.bool_or(F.col("mine") != F.col("hubs")).alias("open"))
-        listed = prefix.groupBy("node").agg(F.collect_list("token").alias("tokens"))
-        tagged = stored(of_node.join(listed, "node").join(prefix, "node"), "tagged")
-        side = lambda n: tagged.select("token", F.col("node").alias(n), F.col("mine").alias(f"{n}_class"), F.col("open").alias(f"{n}_open"), F.col("all").alias(f"{n}_all"), F.col("common").alias(f"{n}_common"), F.col("tokens").alias(f"{n}_tokens"))
-        # What two nodes share is at most what either shares with any: copies with edits of their own go no further.
-        most = F.least("x_common", "y_common")
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
+        listed = prefix.groupBy("node").agg(in_order.alias("tokens"))
+        # A node's distances from its buckets' hubs, of which there are as many as bands at most, and from itself as one.
+        away = rays.select(F.col("b").alias("node"), F.col("a").alias("hub"), (1 - F.col("similarity")).alias("d"))
+        away = away.union(rays.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.lit(0.0).alias("d")).distinct())
+        away = away.groupBy("node").agg(F.collect_list(F.struct("hub", "d")).alias("away"))
+        tagged = stored(of_node.join(listed, "node").join(away, "node", "left").join(prefix, "node"), "tagged")
+        side = lambda n: tagged.select("token", F.col("node").alias(n), F.col("mine").alias(f"{n}_class"), F.col("open").alias(f"{n}_open"), F.col("all").alias(f"{n}_all"), F.col("rest").alias(f"{n}_rest"), F.col("tokens").alias(f"{n}_tokens"), F.col("away").alias(f"{n}_away"))
+        # Of the tokens that two nodes share, the first in order makes their row. What they share lies from it on, and is
+        # at most what either shares with any node there: copies with edits of their own go no further.
+        once = F.get(F.array_intersect("x_tokens", "y_tokens"), F.lit(0)) == F.col("token")
+        most = F.least("x_rest", "y_rest")
         reach = most >= (threshold - 1e-6) * (F.col("x_all") + F.col("y_all") - most)
-        # Of the tokens that two nodes share, the least one makes their row.
-        once = F.array_min(F.array_intersect("x_tokens", "y_tokens")) == F.col("token")
-        shared = side("x").join(side("y"), "token").where(F.expr("x < y and x_class <> y_class and (x_open or y_open)") & reach & once)
+        apart = F.exists("x_away", lambda h: F.exists("y_away", lambda g: (g["hub"] == h["hub"]) & (F.abs(g["d"] - h["d"]) > 1 - threshold + 1e-6)))
+        near = ~F.coalesce(apart, F.lit(False))
+        shared = side("x").join(side("y"), "token").where(F.expr("x < y and x_class <> y_class and (x_open or y_open)") & reach & near & once)
         pairs = stored(shared.select(F.col("x").alias("hub"), F.col("y").alias("node")), "pairs")
         more = verified(pairs, texts, idf, threshold)
-        label = components(links.union(more))
+        label = components(links.union(more.select("a", "b")))
     member = nodes.select("digest", "node", "id").join(label, "node", "left").select("digest", "id", F.coalesce("class_id", "node").alias("class"))
     least = stored(member.groupBy("class").agg(F.min("id").alias("class_id")), "classes")
     classes = member.join(least.hint("merge"), "class").select("digest", "class_id")

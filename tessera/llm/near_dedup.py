@@ -240,7 +240,10 @@ def prefixes(nodes: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     shared = F.when(F.col("df") > 1, F.col("weight")).otherwise(0.0)
     rest = F.sum(shared).over(whole) - F.coalesce(F.sum(shared).over(order), F.lit(0.0))
     ranked = ranked.withColumn("before", before).withColumn("all", F.sum("weight").over(whole)).withColumn("rest", rest)
-    return ranked.where((F.col("before") <= (1 - threshold + 1e-6) * F.col("all")) & (F.col("df") > 1)).select("node", "token", "df", "all", "rest")
+    kept = ranked.where((F.col("before") <= (1 - threshold + 1e-6) * F.col("all")) & (F.col("df") > 1))
+    kept = stored(kept.select("node", "token", "df", "all", "rest"), "prefixes")
+    dropped(tokens)
+    return kept
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -266,7 +269,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     met = stored(placed.join(full.hint("merge"), "key"), "buckets")
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
     hubs = met.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("hub"))
-    star = stored(met.join(stored(hubs, "hubs").hint("merge"), "key").select("key", "hub", "node"), "stars")
+    hubs = stored(hubs, "hubs")
+    star = stored(met.join(hubs.hint("merge"), "key").select("key", "hub", "node"), "stars")
     asked = nodes.join(met.select("node").distinct(), "node").select("node", "id", "print")
     named = docs.select(F.col("id").alias("d_id"), F.col("print").alias("d_print"), "text")
     texts = stored(named.join(asked, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_print") == F.col("print"))).dropDuplicates(["node"]).select("node", "text"), "texts")
@@ -283,8 +287,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     # Nodes that meet in no bucket with one of the rest need no tokens, nor does a bucket of two, which its hub settled.
     many = there.groupBy("key").agg(F.count("*").alias("n")).where("n > 2").select("key")
     there = there.join(many, "key", "left_semi").select("key", "hub", "node", "mine", "hubs")
+    working = [nodes, full, met, hubs, star, texts, rays, labelled]
     if not there.isEmpty():
-        prefix = stored(prefixes(there.select("node").distinct(), texts, idf, threshold), "prefixes")
+        prefix = prefixes(there.select("node").distinct(), texts, idf, threshold)
         of_node = there.groupBy("node").agg(F.any_value("mine").alias("mine"), F.bool_or(F.col("mine") != F.col("hubs")).alias("open"))
         in_order = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
         listed = prefix.groupBy("node").agg(in_order.alias("tokens"))
@@ -305,9 +310,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         pairs = stored(shared.select(F.col("x").alias("hub"), F.col("y").alias("node")), "pairs")
         more = verified(pairs, texts, idf, threshold)
         label = components(links.union(more.select("a", "b")))
+        working += [prefix, tagged, pairs]
     member = nodes.select("digest", "node", "id").join(label, "node", "left").select("digest", "id", F.coalesce("class_id", "node").alias("class"))
     least = stored(member.groupBy("class").agg(F.min("id").alias("class_id")), "classes")
-    classes = member.join(least.hint("merge"), "class").select("digest", "class_id")
+    classes = stored(member.join(least.hint("merge"), "class").select("digest", "class_id"), "digest-classes")
+    dropped(*working, least)
     out = signed.join(classes, "digest", "left").select(F.col("id").alias("doc_id"), F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
     return out
 

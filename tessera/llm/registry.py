@@ -1,7 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
+from .centroids import OP13_SQL, op13_centroids
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .language import op4_language
+from .lyndon_runs import op12_periodic_runs
 from .near_dedup import op1_near_dedup
 from .packing import op7_packing
 from .piece_bpe import op6_sentencepiece
@@ -10,6 +12,7 @@ from .repair_store import op2_token_file
 from .style_tree import op10_html_text
 from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
+from .wu_manber import OP11_SQL, op11_decontamination
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -22,10 +25,15 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
+    "op11_decontamination": op11_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroids": op13_centroids,
 }
 
 SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op9_quality": OP9_SQL,
+    "op11_decontamination": OP11_SQL,
+    "op13_centroids": OP13_SQL,
 }

@@ -6,10 +6,14 @@ its pages; a leaf's content importance is one minus the mean normalised entropy,
 Importance is composed from the leaves up. Branches of low importance are menus, notices, adverts and the like, which
 look and read alike all over a site, and are removed from each page first.
 
+Pages of a host that share what most of their text is (their leaves of mean length or more) are prints of one page, such
+as one under several addresses or with another counter, and count as one. Nothing is known from a few pages: a node's
+importance is drawn toward one by PRIOR pages on which it would have differed.
+
 Roles come after that, for what a tree can't tell: elements whose tag says that they are never main text (a page's own
 links in a nav, forms) or whose class, id or role is nothing but words of noise ("cookie-notice"), reader comments,
 which differ on every page, and on a page with an article what lies outside. A name that has a word of noise beside
-others ("related-work") removes nothing: it counts as PRIOR pages on which the branch looked alike, and the tree
+others ("related-work") removes nothing: it counts as WORD_PRIOR pages on which the branch looked alike, and the tree
 decides. A node that only one page of its host has is important.
 
 Executors emit counts per node and feature, which Spark adds up; only the finished trees' low branches, a short list
@@ -27,11 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import let, small_batches, stored, table
 
 LEAST_IMPORTANCE = 0.5
-#: Pages that a class or id word counts for, on which its branch looked alike.
-PRIOR = 8
+#: Pages that every node has had, on which it differed; and that a class or id word counts for, on which its branch
+#: looked alike. So a branch that is the same on all pages goes from the seventh page on, one with such a word from the third.
+PRIOR, WORD_PRIOR = 6, 4
 #: Weight of a node's descendants in its importance, as in the published method.
 GAMMA = 0.9
 #: Element roles.
@@ -191,8 +196,8 @@ def main_text(page: str | None, low: set[int], roles: bool = True) -> str:
     """The page's text without low branches and, with roles, without elements that are never main text.
 
     With an article or main only what is in it counts. Low branches go there too, but an inline element is part of its
-    sentence and goes only with its block, and a page that would lose all its main text to them keeps it. Without roles
-    the style tree alone decides, but for elements that show no text.
+    sentence and goes only with its block, and a page that would lose half its main text or more to them keeps it.
+    Without roles the style tree alone decides, but for elements that show no text.
     """
     nodes, runs = parse(page or "")
     mains = [n for n in nodes if n.tag in MAIN and not n.noise] if roles else []
@@ -210,7 +215,11 @@ def main_text(page: str | None, low: set[int], roles: bool = True) -> str:
             gone[n] = n.hidden or n.parent is not None and gone[n.parent] or by_tree or by_role
         return collapse("".join(" " if text is None else "" if gone[n] else entities.unescape(text) for n, text in runs))
 
-    return left(low) or (left(set()) if mains and low else "")
+    text = left(low)
+    if mains and low:
+        whole = left(set())
+        text = text if 2 * len(text) > len(whole) else whole
+    return text
 
 
 def counts(page: str | None):
@@ -252,10 +261,10 @@ def low_branches(tree: pd.DataFrame) -> list[int]:
         inner = sum(v * n for v, n in parts) / sum(n for _, n in parts) if parts else 0.0
         share = GAMMA ** max(1, r.shapes)
         importance[p] = (1 - share) * r.presentation + share * inner if below else inner
-        believed = r.pages / (r.pages + PRIOR) if r.worded else 1.0
         # A node's own text is a leaf: one that differs from page to page keeps its node, whatever children it has.
         own = max(importance[p], r.content if r.content == r.content else 0.0)
-        best[p] = max([own * believed, *(best[c] for c in below)])
+        believed = (own * r.pages + PRIOR) / (r.pages + PRIOR + WORD_PRIOR * r.worded)
+        best[p] = max([believed, *(best[c] for c in below)])
     low, todo = [], [p for p in info if info[p].parent not in info]
     while todo:
         p = todo.pop()
@@ -269,6 +278,17 @@ def low_branches(tree: pd.DataFrame) -> list[int]:
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)"
 
 
+def prints(pages: DataFrame) -> DataFrame:
+    """pages with _share: one divided by the number of its host's pages that share the leaves of mean length or more."""
+    shown = F.regexp_replace("html", r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)", " ")
+    leaves = F.filter(F.transform(F.split(shown, "<[^>]*>"), lambda x: F.trim(x)), lambda x: x != "")
+    letters = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    mark = let(F.coalesce(leaves, F.array().cast("array<string>")), lambda xs: let(letters(xs), lambda n: F.xxhash64(F.filter(xs, lambda x: F.length(x) * F.size(xs) >= n))))
+    marked = pages.withColumn("_mark", mark)
+    copies = marked.groupBy("host", "_mark").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    return marked.join(copies, ["host", "_mark"], "left").withColumn("_share", 1 / F.coalesce("_copies", F.lit(1)))
+
+
 def style_trees(pages: DataFrame) -> DataFrame:
     """(host, low): the low branches of every host that has some; pages has host and html."""
 
@@ -277,17 +297,17 @@ def style_trees(pages: DataFrame) -> DataFrame:
             rows: Counter = Counter()
             logs: Counter = Counter()
             at: Counter = Counter()
-            for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist()):
+            for host, page, share in zip(b["host"].to_pylist(), b["html"].to_pylist(), b["_share"].to_pylist()):
                 for key, n in counts(page).items():
-                    rows[host, *key] += n
-                    logs[host, *key] += n * math.log(n)
-                    at[host, *key] += 1
+                    rows[host, *key] += share * n
+                    logs[host, *key] += share * n * math.log(n)
+                    at[host, *key] += share
             if rows:
                 keys = list(rows)
                 columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[k] for k in keys], pa.int64()), pa.array([logs[k] for k in keys], pa.float64()), pa.array([at[k] for k in keys], pa.int64())], ["host", "path", "parent", "worded", "kind", "feature", "times", "logs", "pages"])
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[k] for k in keys], pa.float64()) for x in (rows, logs, at)]], ["host", "path", "parent", "worded", "kind", "feature", "times", "logs", "pages"])
 
-    seen = pages.select("host", "html").mapInArrow(count, "host string, path bigint, parent bigint, worded boolean, kind string, feature bigint, times bigint, logs double, pages bigint")
+    seen = prints(pages.select("host", "html")).select("host", "html", "_share").mapInArrow(count, "host string, path bigint, parent bigint, worded boolean, kind string, feature bigint, times double, logs double, pages double")
     key = ["host", "path", "parent", "worded", "kind"]
     by_feature = seen.groupBy(*key, "feature").agg(F.sum("times").alias("times"), F.sum("logs").alias("logs"), F.sum("pages").alias("pages"))
     by_feature = by_feature.withColumn("entropy", F.log("times") - F.col("logs") / F.col("times"))
@@ -301,10 +321,10 @@ def style_trees(pages: DataFrame) -> DataFrame:
     )
     m = F.log("pages")
     # A node of one page has no entropy: it is important, as is what no tree knows.
-    known = node.where(F.col("pages") > 1).select(
+    known = node.where(F.col("pages") > 1 + 1e-6).select(  # shares of one page add up to 1 but for rounding
         "host", "path", "parent", "worded", "pages", "shapes",
-        (1 - F.col("shape_logs") / (F.col("pages") * m)).alias("presentation"),
-        (1 - F.least(F.lit(1.0), F.col("text_entropy") / F.col("texts") / m)).alias("content"),
+        F.round(1 - F.col("shape_logs") / (F.col("pages") * m), 9).alias("presentation"),
+        F.round(1 - F.least(F.lit(1.0), F.col("text_entropy") / F.col("texts") / m), 9).alias("content"),
     )
 
     def judge(tree: pd.DataFrame) -> pd.DataFrame:
@@ -318,7 +338,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every page; text is empty if the page has none or html is null.
 
-    Pages whose url is null or names no host form one site. Repeated pages count as pages each; null ids are kept, and
+    Pages whose url is null or names no host form one site. Repeated pages are prints of one; null ids are kept, and
     rows that share an id each get a row; other columns are ignored, whatever their names; an empty df gives no rows.
     Broken markup is read as it comes: what a tag that never closes holds ends with the page.
     """

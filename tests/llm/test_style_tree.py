@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -15,8 +16,15 @@ def sentence(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
 
 
+def plain_mark(page):
+    leaves = [x for x in (x.strip(" ") for x in re.split("<[^>]*>", re.sub(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)", " ", page))) if x]
+    return tuple(x for x in leaves if len(x) * len(leaves) >= sum(map(len, leaves)))
+
+
 def plain_low(pages):
-    """Paths of low importance by the definitions, from all pages of a host at once: recursive, without counts."""
+    """Paths of low importance by the definitions, from all pages of a host at once: recursive, without counts. Of prints
+    of one page, which are equal here, the first is taken."""
+    pages = list({plain_mark(p): p for p in reversed(pages)}.values())
     nodes = [[n for n in parse(p)[0][1:] if not n.hidden] for p in pages]
     kids, shapes, texts, on, word = defaultdict(set), defaultdict(Counter), defaultdict(lambda: defaultdict(Counter)), defaultdict(set), {}
     for i, page in enumerate(nodes):
@@ -44,7 +52,7 @@ def plain_low(pages):
         mean = sum(a * b for a, b in inner) / sum(b for _, b in inner) if inner else 0
         share = 0.9 ** len(shapes[path])
         own = (1 - share) * entropy(list(shapes[path].values()), m) + share * mean if below else mean
-        best = max(own, content or 0) * (m / (m + style_tree.PRIOR) if word[path] else 1)
+        best = (max(own, content or 0) * m + style_tree.PRIOR) / (m + style_tree.PRIOR + word[path] * style_tree.WORD_PRIOR)
         return own, max([best, *(judge(p)[1] for p in below)])
 
     out = set()
@@ -132,3 +140,43 @@ def test_odd_tables(spark):
     out = style_tree.extract(spark.createDataFrame(rows, df.schema)).collect()
     assert len(out) == 4 and [r.text for r in out if r.page_id == 1] == ["x", "x"]
     assert {r.page_id: r.text for r in out}[None] == "" and {r.page_id: r.text for r in out}[2] == ""
+
+
+def texts(spark, pages):
+    rows = [(i, u, p) for i, (u, p) in enumerate(pages)]
+    return [r.text for r in sorted(style_tree.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect(), key=lambda r: r.page_id)]
+
+
+@pytest.mark.parametrize("n", [2, 3, 20, 60])
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_prints_of_one_page_lose_nothing(spark, n, article):
+    rng = random.Random(n)
+    title, body = sentence(rng, 6), sentence(rng, 40)
+    page = f"<body><{article}><h1>{title}</h1><p>{body}</p></{article}></body>"
+    counted = f"<body><{article}><h1>{title}</h1><p>{body}</p><p>Seen {{}} times</p></{article}></body>"
+    assert texts(spark, [(f"http://h.example/1?utm={i}", page) for i in range(n)]) == [f"{title} {body}"] * n
+    assert texts(spark, [(f"http://h.example/1?utm={i}", counted.format(i)) for i in range(n)]) == [f"{title} {body} Seen {i} times" for i in range(n)]
+    assert texts(spark, [(None, page) for _ in range(n)]) == [f"{title} {body}"] * n
+
+
+def test_two_page_hosts_and_pages_without_a_host_keep_their_text(spark):
+    rng = random.Random(8)
+    bodies = [sentence(rng, 12) for _ in range(6)]
+    page = "<body><p>Same line on both</p><p>{}</p></body>".format
+    urls = ["http://a.example/1", "http://a.example/2", None, None, "no host", "http://b.example"]
+    assert texts(spark, [(u, page(b)) for u, b in zip(urls, bodies)]) == [f"Same line on both {b}" for b in bodies]
+
+
+def test_mirrors_beside_other_pages_against_the_plain_version(spark):
+    rng = random.Random(9)
+    pages = planted(rng, 25)
+    mirrored = pages + [pages[0]] * 30 + [pages[3]] * 2
+    rows = [(f"http://a.example/{i}", "a.example", p) for i, p in enumerate(mirrored)]
+    low = {r.host: set(r.low) for r in style_tree.style_trees(spark.createDataFrame(rows, "url string, host string, html string").repartition(3)).collect()}
+    assert low["a.example"] == plain_low(mirrored) == plain_low(pages) != set()
+
+
+def test_an_article_keeps_what_the_tree_would_take_most_of(spark):
+    rng = random.Random(10)
+    pages = [f"<body><article><p class=a>{sentence(rng, 3)}</p><div class=b><p>All of this stands on every page of the site, and it is long</p></div></article></body>" for _ in range(30)]
+    assert all(t.endswith("it is long") for t in texts(spark, [(f"http://h.example/{i}", p) for i, p in enumerate(pages)]))

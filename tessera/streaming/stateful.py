@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .log import AppendLog
+
 
 def sharded(stream: DataFrame, shards: int, key: str = "place") -> DataFrame:
     """stream with shard, its place modulo shards, and text (or else content); rows with neither go."""
@@ -41,20 +43,8 @@ def pack_stream(stream: DataFrame, size: int, vocabulary: int = 1 << 21) -> Data
 
 
 def first_rows(stream: DataFrame, most: int, target: str, checkpoint: str):
-    """Writes at most `most` rows of the stream to the Parquet table at target, over all batches, and ends."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            had = spark.read.schema(batch.schema).parquet(target).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            had = 0
-        if had < most:
-            batch.limit(most - had).write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keeps at most `most` rows of the stream in the append log at target, over all batches and restarts, and ends."""
+    return AppendLog(stream.sparkSession, target).start(stream, checkpoint, most=most)
 
 
 def guard_stream(stream: DataFrame, repeats: int = 4, errors: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ and sources, and texts of any length; what becomes of them is said at each.
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, exact_dedup, language, near_dedup, packing, substring_dedup
-from tessera.llm.common import stored, table
+from tessera.llm.common import dropped, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -73,7 +73,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(*before)  # its successor is stored
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,33 +1,22 @@
 """What the operators of this subpackage share: shared working tables, batch size, digests."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import remove_stored, shared_dir, working_dir  # noqa: F401  for the operators and their callers
+
 #: Rows and bytes of one Arrow batch: the same for all operators, as the settings in force are those when a plan runs.
 BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 #: Makes Spark remove a query's shuffle files when the query ends, rather than when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; in a local session without one (tests) a temporary
-    folder, else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{working_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # nothing reads this query's shuffles again
     try:
@@ -50,11 +39,6 @@ def dropped(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._stored_at)
 
 
-def remove_stored(spark: SparkSession) -> None:
-    """Removes all working tables of the shared folder. For the caller, once all results are written."""
-    _delete(spark, f"{shared_dir(spark)}/tessera")
-
-
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

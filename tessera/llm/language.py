@@ -4,7 +4,8 @@ A text is described by the relative frequencies of its hashed byte n-grams (one
 text, runs of characters that aren't letters taken as one space). Families compete in one-versus-one linear support
 vector machines; the languages of the winning family then do so among themselves. All machines are trained on the
 driver from a bounded sample: at most PER_LANG labelled documents of each language, those with the smallest hash of
-their id; the whole text of each is read on the executors, and only its SLOTS frequencies go to the driver.
+their id and text; equal rows count once there. The whole text of each is read on the executors, and only its SLOTS
+frequencies go to the driver.
 """
 
 import numpy as np
@@ -13,6 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import small_batches, table
 
@@ -148,29 +150,38 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def smallest_draws(rows: DataFrame, per_lang: int) -> DataFrame:
+    """(lang, draw): the per_lang smallest distinct draws of each language; each task sends on so many at most."""
+
+    def least(batches):
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            draws, langs = b["draw"].to_numpy(), b["lang"].dictionary_encode()
+            code = langs.indices.to_numpy()
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                held[lang] = np.unique(np.concatenate([held.get(lang, draws[:0]), draws[code == i]]))[:per_lang]
+        for lang, draws in held.items():
+            yield pa.record_batch({"lang": pa.array([lang] * len(draws), pa.string()), "draw": pa.array(draws, pa.int64())})
+
+    kept = rows.select("lang", "draw").mapInArrow(least, "lang string, draw bigint").distinct()
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    return kept.withColumn("_n", place).where(F.col("_n") <= per_lang).drop("_n")
+
+
 def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, learnable: Column, per_lang: int = PER_LANG) -> Model | None:
     """A model of at most per_lang learnable documents of each language; None if there is none."""
     labelled = df.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row for each language
-    if not known:
-        return None
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000))
-    least = F.lit(0)
-    for lang, n in known.items():
-        least = F.when(F.col(lang_col) == lang, min(1_000_000, int(1_300_000 * per_lang / n) + 1)).otherwise(least)
+    labelled = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("draw"), F.col(text_col).alias("text"))
 
     def features(batches):
         for b in batches:
             x = frequencies([letters(t) for t in b["text"].to_pylist()])
             yield pa.record_batch({"lang": b["lang"], "draw": b["draw"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    drawn = labelled.where(draw < least).select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
-    rows = sorted(drawn.mapInArrow(features, "lang string, draw bigint, x binary").toLocalIterator(), key=lambda r: (r.lang, r.draw, bytes(r.x)))
-    kept, seen = [], {}
-    for r in rows:
-        seen[r.lang] = seen.get(r.lang, 0) + 1
-        if seen[r.lang] <= per_lang:
-            kept.append(r)
+    small_batches(df.sparkSession)
+    draws = smallest_draws(labelled, per_lang)  # per_lang rows a language
+    drawn = labelled.join(F.broadcast(draws), ["lang", "draw"]).mapInArrow(features, "lang string, draw bigint, x binary")
+    kept = sorted(drawn.dropDuplicates(["lang", "draw"]).toLocalIterator(), key=lambda r: (r.lang, r.draw))
     if not kept:
         return None
     return Model(np.array([np.frombuffer(r.x, np.float32) for r in kept]), [r.lang for r in kept])

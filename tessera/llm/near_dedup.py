@@ -32,7 +32,7 @@ RARE = 1000
 #: Shingles sampled at once, and members that a hub's text is sent out once for.
 CHUNK = 1 << 17
 MEMBERS = 400
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 
 def _gamma_table(n: int = 1 << 16) -> np.ndarray:

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tessera.llm import language
 
 LETTERS = {"en": "etaoinshrdlu", "de": "enisratdhußä", "fr": "esaitnrulodé", "es": "eaosrnidltcñ", "ru": "оеаинтсрвлкм", "el": "αοιετσνηυρπκ", "xx": "zqxjkvbpwygf"}
@@ -84,3 +85,16 @@ def test_long_texts_and_odd_tables(spark, fitted):
     assert out.columns.count("lang_pred") == out.columns.count("score") == 1 and dict(out.dtypes)["score"] == "double"
     assert language.identify(spark.createDataFrame([], SCHEMA), fitted).count() == 0
     assert language.train(spark.createDataFrame(rows, SCHEMA).where("lang is null"), "doc_id", "text", "lang", language.remainder("doc_id") >= 0) is None
+
+
+def test_rows_without_ids_send_a_bounded_sample(spark):
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    rows = [(None, f"{word('abcde')} {word('abcde')}", "en") for _ in range(3000)] + [(None, f"{word('uvwxy')} {word('uvwxy')}", "de") for _ in range(30)]
+    rows += [(7, "the same text", "en")] * 2000
+    df = spark.createDataFrame(rows, "id bigint, text string, lang string").repartition(4)
+    draws = language.smallest_draws(df.select("lang", F.xxhash64("id", "text").alias("draw")), 20)
+    assert {r["lang"]: r["count"] for r in draws.groupBy("lang").count().collect()} == {"en": 20, "de": 20}
+    model = language.train(df, "id", "text", "lang", F.lit(True), 20)
+    judged = language.identify(df.limit(0).union(df.where("lang = 'de'")), model)
+    assert {r.lang_pred for r in judged.collect()} == {"de"}

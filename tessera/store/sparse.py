@@ -18,7 +18,8 @@ from pyspark.sql import Window as W
 
 from ..functions.text import with_bigrams, words
 
-BUCKETS = 64
+#: Documents for each bucket of terms, and buckets at most: few documents need few files.
+BUCKET_DOCS, BUCKETS = 5000, 1024
 #: Postings that a query reads at most before it has a bar, and by which bounds are taken wider.
 SEED, SLACK = 4096, 1e-8
 GENTLE = 1e-8
@@ -43,10 +44,11 @@ class Sparse:
         self.n, self.buckets, self.terms, self.postings, self.forward = n, buckets, terms, postings, forward
 
     @staticmethod
-    def build(docs: DataFrame, key: str, text: str, store: Callable, buckets: int = BUCKETS) -> "Sparse":
+    def build(docs: DataFrame, key: str, text: str, store: Callable, buckets: int | None = None) -> "Sparse":
         """store(df, name, by): writes a table, in folders by the column `by` if given, and reads it back. Documents are
         tokenised once. Those without a term aren't found by any search, but count."""
         n = docs.count()
+        buckets = buckets or max(1, min(BUCKETS, n // BUCKET_DOCS))
         tf = store(counted(docs.select(F.col(key).alias("id"), text), "id", text), "counts", None)
         often = tf.groupBy("term").agg(F.count("*").alias("df"))
         weighed = tf.join(often, "term").withColumn("w", F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1))

@@ -72,7 +72,8 @@ def save_index(records: DataFrame, key: str, text: str, path: str, embedder: Emb
     rows = keep(global_index(records, key, "vec_index"), "records")
     said = {"backend": SPARSE, "records": rows.count()}
     if embedder is None:
-        said["buckets"] = Sparse.build(rows, "vec_index", text, keep).buckets
+        made = Sparse.build(rows, "vec_index", text, keep)
+        said |= {"buckets": made.buckets, "postings": made.size}
     else:
         vectors = keep(rows.select("vec_index", embedder.column(F.col(text)).alias("embedding")), "vectors")
         cells = Cells.build(vectors, "vec_index", "embedding", lambda df, name: keep(df, name) if name == "cells" else stored(df, name))
@@ -90,7 +91,7 @@ def load_index(spark: SparkSession, path: str, embedder: Embedder | None = None)
     schemas = said["schemas"]
     records = _open(folder, "records", schemas)
     if said["backend"] == SPARSE:
-        return MemoryIndex(SPARSE, records, Sparse(said["records"], said["buckets"], *[_open(folder, n, schemas) for n in Sparse.NAMES]), None)
+        return MemoryIndex(SPARSE, records, Sparse(said["records"], said["buckets"], said["postings"], *[_open(folder, n, schemas) for n in Sparse.NAMES]), None)
     if said["backend"] != DENSE or embedder is None or embedder.dims != said["dims"]:
         raise ValueError(f"the index at {path} was made by {said['backend']} with {said.get('dims')} dimensions, which isn't at hand")
     centres = np.array([r["centre"] for r in _open(folder, "centres", schemas).orderBy("cell").collect()])  # CENTRES rows at most

@@ -6,8 +6,9 @@ score is the sum, over the terms of a query, of two numbers.
 
 A search adds up the postings of a query's rarest terms first; the k-th best sum is a bar that no final score of a hit
 falls below. Then terms go, the most frequent first, as long as the largest scores they could all add stay below the
-bar: no document without one of the other terms can be a hit. Only those others' postings are read in full, and the
-documents that can still reach the bar get the rest of their scores from their own rows. Results are exact.
+bar: no document without one of the other terms can be a hit. Only those others' postings are read in full. Documents
+that can still reach the bar get the rest of their scores from their own rows, if these hold fewer terms than the
+frequent terms have postings, and from the postings otherwise. Results are exact.
 """
 
 from collections.abc import Callable
@@ -40,8 +41,9 @@ class Sparse:
 
     NAMES = ("terms", "postings", "forward")
 
-    def __init__(self, n: int, buckets: int, terms: DataFrame, postings: DataFrame, forward: DataFrame):
-        self.n, self.buckets, self.terms, self.postings, self.forward = n, buckets, terms, postings, forward
+    def __init__(self, n: int, buckets: int, size: int, terms: DataFrame, postings: DataFrame, forward: DataFrame):
+        """size: of all postings."""
+        self.n, self.buckets, self.size, self.terms, self.postings, self.forward = n, buckets, size, terms, postings, forward
 
     @staticmethod
     def build(docs: DataFrame, key: str, text: str, store: Callable, buckets: int | None = None) -> "Sparse":
@@ -59,7 +61,7 @@ class Sparse:
         flat = forward.select("id", F.inline("us")).withColumn("bucket", bucket(F.col("term"), buckets))
         postings = store(flat.repartition("bucket", F.pmod(F.xxhash64("term", "id"), F.lit(4))).sortWithinPartitions("bucket", "term"), "postings", "bucket")
         terms = store(postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("u").alias("top")), "terms", "bucket")
-        return Sparse(n, buckets, terms, postings, forward)
+        return Sparse(n, buckets, postings.count(), terms, postings, forward)
 
     def search(self, queries: DataFrame, key: str, text: str, k: int, store: Callable) -> DataFrame:
         """(key, rank, id, score): the k most similar documents by cosine, with the query counted as one more document for
@@ -85,9 +87,14 @@ class Sparse:
         facts = split.groupBy(key).agg(F.first("bar").alias("bar"), F.first("rest").alias("rest"))
         part = summed(split.where("not late").select(key, "bucket", "term", "wq")).join(facts, key)
         reach = store(part.where(F.col("bar").isNull() | (F.col("score") + F.col("rest") >= F.col("bar") - SLACK)).select(key, "id", "score"), "reach", None)
-        late = split.where("late").select(key, "term", "wq")
-        rows = reach.select(key, "id").join(late.select(key).distinct(), key, "left_semi").join(self.forward, "id").select(key, "id", F.inline("us"))
-        added = rows.join(late, [key, "term"]).groupBy(key, "id").agg(score.alias("added"))
+        late = split.where("late").select(key, "bucket", "term", "wq", "df")
+        held = reach.groupBy(key).agg((F.count("*") * (self.size / max(1, self.n))).alias("own"))
+        way = late.groupBy(key).agg(F.sum("df").alias("lists")).join(held, key).select(key, (F.col("own") < F.col("lists")).alias("by_row"))
+        late = store(late.join(way, key).select(key, "bucket", "term", "wq", "by_row"), "late", None)
+        by_row = late.where("by_row").select(key, "term", "wq")
+        rows = reach.select(key, "id").join(by_row.select(key).distinct(), key, "left_semi").join(self.forward, "id").select(key, "id", F.inline("us"))
+        added = rows.join(by_row, [key, "term"]).groupBy(key, "id").agg(score.alias("added"))
+        added = added.unionByName(summed(late.where("not by_row").select(key, "bucket", "term", "wq")).withColumnRenamed("score", "added"))
         whole = reach.join(added, [key, "id"], "left").withColumn("score", F.col("score") + F.coalesce("added", F.lit(0.0)))
         return rank(whole).select(key, "rank", "id", "score")
 

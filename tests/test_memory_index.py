@@ -40,8 +40,9 @@ def corpus(rng, n):
     return docs, queries
 
 
-@pytest.mark.parametrize("seed", [4096, 40, 0])
-def test_searches_against_plain_code(spark, tmp_path, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "size"), [(4096, None), (40, None), (40, 0), (40, 10**9), (0, None)])
+def test_searches_against_plain_code(spark, tmp_path, monkeypatch, seed, size):
+    """size: of the postings, as the search takes it: with none, what is left is read by row, with many by list."""
     monkeypatch.setattr(sparse, "SEED", seed)
     docs, queries = corpus(random.Random(3), 300)
     df = spark.createDataFrame(list(docs.items()), "id int, text string")
@@ -49,6 +50,8 @@ def test_searches_against_plain_code(spark, tmp_path, monkeypatch, seed):
     save_index(df, "id", "text", f"file://{tmp_path}/i")
     index = load_index(spark, f"file://{tmp_path}/i")
     assert index.backend == "tfidf"
+    if size is not None:
+        index._in.size = size
     got = index.search(asked.withColumnRenamed("text", "asked"), "q", "asked", 4).select("q", "rank", "id", F.round("score", 9)).collect()
     assert sorted(map(tuple, got)) == plain(docs, queries, 4)
 

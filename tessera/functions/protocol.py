@@ -252,6 +252,9 @@ def repeats_call_after_error(text: Column) -> Column:
     return F.aggregate(lines(text), start, step, lambda s: s["bad"])
 
 
+# The names of issues in response_issues and the messages of record_errors must read exactly as they do.
+
+
 def response_issues(text: Column, scanned: Column, allowed: list[str] = GENERATED_TOOLS) -> Column:
     """All issues of a response: scanned has those that need a scanner."""
     unknown = F.transform(F.filter(called_names(text), lambda n: ~n.isin(*allowed)), lambda n: F.concat(F.lit("unknown tool '"), n, F.lit("'")))

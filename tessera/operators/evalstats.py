@@ -63,6 +63,15 @@ def family_breakdown(t):
     return _judged(t).groupBy("source").agg(F.count_if("a").alias("p"), F.count("*").alias("n"), tasks.alias("tasks"))
 
 
+@query("family_items", f"{_J} SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, doc_id, CASE WHEN a THEN 'PASS' ELSE 'FAIL' END AS verdict FROM j")
+def family_items(t):
+    """The tasks of each family as rows, numbered, whatever its size."""
+    from .sequence import numbered
+
+    rows = _judged(t).select("source", "doc_id", F.when(F.col("a"), "PASS").otherwise("FAIL").alias("verdict"))
+    return numbered(rows, "source", ["doc_id"], "place").select("source", "place", "doc_id", "verdict")
+
+
 @query("family_rollup", f"{_J} SELECT coalesce(source, 'TOTAL') AS source, count(*) FILTER (a) AS p, count(*) AS n FROM j GROUP BY ROLLUP (source)")
 def family_rollup(t):
     r = _judged(t).rollup("source").agg(F.count_if("a").alias("p"), F.count("*").alias("n"), F.grouping_id().alias("g"))

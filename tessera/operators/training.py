@@ -107,40 +107,71 @@ def _name(code: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(code, r"def (\w+)", 1), F.lit("")), F.lit("the solution"))
 
 
+#: What traces say, and the marks before and after what they show. {} stands for a part that is put in.
+SAYS = {
+    "obs": "\nOBSERVATION: ",
+    "verify": "<think>I'll implement {} and verify it runs correctly.</think>\n",
+    "verified": "\nFINAL_ANSWER: Implementation verified. Output: `{}`\n\n```python\n{}\n```",
+    "fix": "<think>Let me run the code to see the actual error.</think>\n",
+    "fix_found": "\n<think>The error is a {}. I'll fix it now.</think>\n",
+    "fixed": "\nFINAL_ANSWER: Fixed a {}. Output: `{}`",
+    "refactor": "<think>I'll run the original code first to confirm it works, then refactor it and verify the output is unchanged.</think>\n",
+    "refactor_next": "\n<think>Works correctly. Now I'll write the cleaner version.</think>\n",
+    "refactored": "\nFINAL_ANSWER: Refactored successfully — same output `{}`. Improved version:\n\n```python\n{}\n```",
+    "tdd": "<think>I'll write the tests first, then implement the function.</think>\n",
+    "tdd_next": "\n<think>Tests confirm the function isn't defined yet. Now I'll implement it.</think>\n",
+    "tdd_done": "\nFINAL_ANSWER: All tests pass. Implementation:\n\n```python\n{}\n```",
+    "multi": "<think>Let me run it first to confirm the error.</think>\n",
+    "multi_found": "\n<think>I see the issue ({}). Let me apply the fix.</think>\n",
+    "multi_fixed": "\nFINAL_ANSWER: Fixed the {}. Verified output: `{}`",
+    "benchmark": "<think>I'll implement {} with assert-based verification.</think>\n",
+    "benchmark_critique": "\nCRITIQUE:\nCorrectness — All assertions pass.\nEdge cases  — Verified with boundary inputs.\nRequirements— Implementation matches the task description.\n→ Solution OK.",
+    "benchmark_done": "\nFINAL_ANSWER: All assertions passed.\n\n```python\n{}\n```",
+}
+
+
+def said(what: str, *parts: Column) -> Column:
+    """The sentence with its parts put in."""
+    pieces = SAYS[what].split("{}")
+    return F.concat(F.lit(pieces[0]), *[x for p, rest in zip(parts, pieces[1:]) for x in (p, F.lit(rest))])
+
+
+def _ran(code: Column, obs: Column) -> Column:
+    return F.concat(fmt_call("execute_code", code), said("obs"), obs)
+
+
 def verify_trace(code: Column, obs: Column) -> Column:
     """Code that is written, run once and shown."""
-    call = [fmt_call("execute_code", code), F.lit("\nOBSERVATION: "), obs]
-    return F.concat(F.lit("<think>I'll implement "), _name(code), F.lit(" and verify it runs correctly.</think>\n"), *call, F.lit("\nFINAL_ANSWER: Implementation verified. Output: `"), F.left(obs, F.lit(60)), F.lit("`\n\n```python\n"), code, F.lit("\n```"))
+    return F.concat(said("verify", _name(code)), _ran(code, obs), said("verified", F.left(obs, F.lit(60)), code))
 
 
 def fix_trace(bad: Column, bad_obs: Column, code: Column, obs: Column, kind: Column) -> Column:
     """Code that fails, and its correction."""
-    return F.concat(
-        F.lit("<think>Let me run the code to see the actual error.</think>\n"), fmt_call("execute_code", bad), F.lit("\nOBSERVATION: "), bad_obs,
-        F.lit("\n<think>The error is a "), kind, F.lit(". I'll fix it now.</think>\n"), fmt_call("execute_code", code), F.lit("\nOBSERVATION: "), obs,
-        F.lit("\nFINAL_ANSWER: Fixed a "), kind, F.lit(". Output: `"), F.left(obs, F.lit(60)), F.lit("`"),
-    )
+    return F.concat(said("fix"), _ran(bad, bad_obs), said("fix_found", kind), _ran(code, obs), said("fixed", kind, F.left(obs, F.lit(60))))
 
 
 def refactor_trace(old: Column, old_obs: Column, old_ok: Column, new: Column, new_obs: Column, new_ok: Column) -> Column:
     """A refactoring; null unless both run and print the same."""
-    made = F.concat(
-        F.lit("<think>I'll run the original code first to confirm it works, then refactor it and verify the output is unchanged.</think>\n"), fmt_call("execute_code", old), F.lit("\nOBSERVATION: "), old_obs,
-        F.lit("\n<think>Works correctly. Now I'll write the cleaner version.</think>\n"), fmt_call("execute_code", new), F.lit("\nOBSERVATION: "), new_obs,
-        F.lit("\nFINAL_ANSWER: Refactored successfully — same output `"), F.left(old_obs, F.lit(50)), F.lit("`. Improved version:\n\n```python\n"), new, F.lit("\n```"),
-    )
+    made = F.concat(said("refactor"), _ran(old, old_obs), said("refactor_next"), _ran(new, new_obs), said("refactored", F.left(old_obs, F.lit(50)), new))
     return F.when(old_ok & new_ok & (old_obs == new_obs), made)
 
 
 def tdd_trace(tests: Column, fail_obs: Column, code: Column, obs: Column, ok: Column) -> Column:
     """Tests first, then code; null unless the code runs."""
     shown = P.strip(F.get(F.split(code, "def test_"), F.lit(0)))
-    made = F.concat(
-        F.lit("<think>I'll write the tests first, then implement the function.</think>\n"), fmt_call("execute_code", tests), F.lit("\nOBSERVATION: "), fail_obs,
-        F.lit("\n<think>Tests confirm the function isn't defined yet. Now I'll implement it.</think>\n"), fmt_call("execute_code", code), F.lit("\nOBSERVATION: "), obs,
-        F.lit("\nFINAL_ANSWER: All tests pass. Implementation:\n\n```python\n"), shown, F.lit("\n```"),
-    )
-    return F.when(ok, made)
+    return F.when(ok, F.concat(said("tdd"), _ran(tests, fail_obs), said("tdd_next"), _ran(code, obs), said("tdd_done", shown)))
+
+
+def multi_fix_trace(bad: Column, bad_obs: Column, bad_ok: Column, code: Column, obs: Column, kind: Column) -> Column:
+    """Two rounds: code that fails, and its correction in place; null if the change changes nothing or runs all the same."""
+    made = F.concat(said("multi"), _ran(bad, bad_obs), said("multi_found", kind), _ran(code, obs), said("multi_fixed", kind, F.left(obs, F.lit(60))))
+    return F.when((bad != code) & ~bad_ok, made)
+
+
+def benchmark_trace(code: Column, obs: Column, ok: Column) -> Column:
+    """Code that brings its own assertions, with a critique; the code before them is shown. Null unless it runs."""
+    shown = P.strip(F.get(F.split(code, "\nassert"), F.lit(0)))
+    return F.when(ok, F.concat(said("benchmark", _name(code)), _ran(code, obs), said("benchmark_critique"), said("benchmark_done", shown)))
 
 
 _PY = f"'def f' || doc_id || '():' || chr(10) || {T.lit('    return ' + chr(34) + 'x' + chr(34))}"
@@ -157,6 +188,40 @@ def trajectory_text(t):
     return t.documents.select("doc_id", F.when(kind == 0, verify_trace(code, obs)).when(kind == 1, refactored).when(kind == 2, tdd).otherwise("").alias("trace"))
 
 
+def _sql_said(what: str, *parts: str) -> str:
+    pieces = [T.lit(x) for x in SAYS[what].split("{}")]
+    return " || ".join([pieces[0], *[x for p, rest in zip(parts, pieces[1:]) for x in (p, rest)]])
+
+
+_CALL_OF = lambda code: f"{T.lit('TOOL_CALL: execute_code({' + chr(34) + 'code' + chr(34) + ': ')} || to_json({code})::VARCHAR || '}})'"
+_RAN = lambda code, obs: f"{_CALL_OF(code).replace('}})', '})')} || {_sql_said('obs')} || {obs}"
+_KIND = "CASE kind % 2 WHEN 0 THEN 'SyntaxError (missing colon)' ELSE 'NameError' END"
+_FIX_ROWS = "SELECT doc_id, ('0x' || left(md5('trace:' || doc_id), 8))::BIGINT % 6 AS kind, text AS obs FROM documents"
+_MADE = f"'def f' || doc_id || '():' || chr(10) || '    return ' || length(obs)"
+
+
+@query("trajectory_fixes", f"""WITH d AS ({_FIX_ROWS}), c AS (SELECT *, {_MADE} AS code, replace({_MADE}, '():', '()') AS bad, 'ERROR: ' || left(obs, 40) AS err FROM d), n AS (SELECT *, {_KIND} AS name, 'f' || doc_id AS f, code || chr(10) || 'assert f' || doc_id || '()' AS tested FROM c)
+SELECT doc_id, md5(CASE kind WHEN 0 THEN {_sql_said('fix')} || {_RAN('bad', 'err')} || {_sql_said('fix_found', 'name')} || {_RAN('code', 'obs')} || {_sql_said('fixed', 'name', 'left(obs, 60)')}
+WHEN 1 THEN {_sql_said('multi')} || {_RAN('bad', 'err')} || {_sql_said('multi_found', 'name')} || {_RAN('code', 'obs')} || {_sql_said('multi_fixed', 'name', 'left(obs, 60)')} WHEN 2 THEN NULL
+WHEN 3 THEN {_sql_said('benchmark', 'f')} || {_RAN('tested', 'obs')} || {_sql_said('benchmark_critique')} || {_sql_said('benchmark_done', 'code')}
+WHEN 4 THEN {_sql_said('tdd')} || {_RAN('tested', 'err')} || {_sql_said('tdd_next')} || {_RAN('code', 'obs')} || {_sql_said('tdd_done', 'code')}
+ELSE {_sql_said('refactor')} || {_RAN('bad', 'obs')} || {_sql_said('refactor_next')} || {_RAN('code', 'obs')} || {_sql_said('refactored', 'left(obs, 50)', 'code')} END) AS trace_md5 FROM n""")
+def trajectory_fixes(t):
+    """A trace of one of six kinds for each document, whose text is what its code prints: fixes in one and two steps, one
+    that is no change, a benchmark's, tests first, and a refactoring."""
+    u = F.pmod(F.conv(F.substr(F.md5(F.concat(F.lit("trace:"), F.col("doc_id").cast("string")).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("bigint"), F.lit(6))
+    n, obs = F.col("doc_id").cast("string"), F.col("text")
+    code = F.concat(F.lit("def f"), n, F.lit("():\n    return "), F.length(obs).cast("string"))
+    bad, err, yes = F.replace(code, F.lit("():"), F.lit("()")), F.concat(F.lit("ERROR: "), F.left(obs, F.lit(40))), F.lit(True)
+    name = F.when(u % 2 == 0, "SyntaxError (missing colon)").otherwise("NameError")
+    tested = F.concat(code, F.lit("\nassert f"), n, F.lit("()"))
+    made = [fix_trace(bad, err, code, obs, name), multi_fix_trace(bad, err, F.lit(False), code, obs, name), multi_fix_trace(code, err, F.lit(False), code, obs, name), benchmark_trace(tested, obs, yes), tdd_trace(tested, err, code, obs, yes), refactor_trace(bad, obs, yes, code, obs, yes)]
+    out = F.when(u == 0, made[0])
+    for k, x in enumerate(made[1:], 1):
+        out = out.when(u == k, x)
+    return t.documents.select("doc_id", F.md5(out.cast("binary")).alias("trace_md5"))
+
+
 _U = "cast(('0x' || substr(md5('mix:' || doc_id), 1, 8)) AS BIGINT)::DOUBLE / 4294967296"
 #: Kinds of traces, and where each ends on a uniform draw.
 MIXTURE = [("benchmark", 0.05), ("tdd", 0.13), ("refactor", 0.21), ("write_verify", 0.43), ("fix_multi", 0.65)]

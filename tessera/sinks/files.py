@@ -13,6 +13,12 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_predictions(df: DataFrame, path: str, instance: str, patch: str, model: str) -> None:
+    """Patches as prediction lines: instance_id, model_name_or_path and model_patch; a null patch is an empty one."""
+    named = [F.col(instance).cast("string").alias("instance_id"), F.lit(model).alias("model_name_or_path"), F.coalesce(F.col(patch), F.lit("")).alias("model_patch")]
+    write_json_lines(df.select(*named), path)
+
+
 def write_csv(df: DataFrame, path: str, label: str | None = None, stamp: str | None = None) -> None:
     """CSV with a header, quotes doubled; label and stamp become the columns run_label and timestamp."""
     more = {k: F.lit(v) for k, v in (("run_label", label), ("timestamp", stamp)) if v is not None}

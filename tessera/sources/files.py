@@ -1,5 +1,7 @@
 """Text sources: JSON lines with their ways of treating bad rows, CSV files, listings and fallbacks."""
 
+import posixpath
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +117,31 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return None
 
 
+def below(root: str, path: str) -> str:
+    """path, taken from root, as a path of its own; ValueError if it leaves root. A path that begins with root is taken as
+    one below it."""
+    own = posixpath.normpath(root)
+    inner = path[len(own) + 1 :] if path == own or path.startswith(f"{own}/") else path
+    found = posixpath.normpath(posixpath.join(own, inner))
+    if found != own and not found.startswith(f"{own}/"):
+        raise ValueError(f"path {path!r} leaves {root}")
+    return found
+
+
+def listing_below(spark: SparkSession, root: str, path: str = ".", most: int = 500) -> DataFrame:
+    """listing() of a folder that must lie below root."""
+    scheme, sep, rest = root.rpartition("://") if "://" in root else ("", "", root)
+    return listing(spark, f"{scheme}{sep}{below(rest, path)}", most)
+
+
+def existing(spark: SparkSession, paths: list[str], required: bool = False) -> list[str]:
+    """Those of paths that exist and aren't empty, in order; with required, FileNotFoundError if there is none."""
+    found = [p for p in paths if first_existing(spark, [p])]
+    if required and not found:
+        raise FileNotFoundError(f"none of {', '.join(paths)} holds anything")
+    return found
+
+
 def listing(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
     """(path, size) of the first files below path, in the order of their paths; contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

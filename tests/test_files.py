@@ -1,4 +1,7 @@
+import json
+
 import pytest
+from tessera.sinks import files as sinks
 from tessera.sources import files
 from tessera.streaming.append import append_unseen
 
@@ -71,3 +74,24 @@ def test_append_unseen(spark, tmp_path):
         stream = spark.readStream.schema("h string, n int").parquet(source)
         append_unseen(stream, "h", target, str(tmp_path / "state")).awaitTermination()
     assert sorted(r.h for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+
+
+def test_paths_stay_below_their_root(spark, tmp_path):
+    root = str(tmp_path / "repo")
+    (tmp_path / "repo" / "a").mkdir(parents=True)
+    (tmp_path / "repo" / "a" / "x.txt").write_text("x")
+    (tmp_path / "repository").mkdir()
+    assert files.below("/r", "a/../b") == "/r/b" and files.below("/r", "/r/b") == "/r/b" and files.below("/r", ".") == "/r"
+    for bad in ("..", "../repository", "a/../../x", "/etc/passwd"):
+        with pytest.raises(ValueError):
+            files.below(root, bad)
+    assert [r.path.rsplit("/", 1)[1] for r in files.listing_below(spark, f"file://{root}", "a").collect()] == ["x.txt"]
+    assert files.existing(spark, [f"{root}/none", f"{root}/a"]) == [f"{root}/a"]
+    with pytest.raises(FileNotFoundError):
+        files.existing(spark, [f"{root}/none"], required=True)
+
+
+def test_predictions(spark, tmp_path):
+    sinks.write_predictions(spark.createDataFrame([("i-1", "diff é"), ("i-2", None)], "id string, p string"), str(tmp_path / "p"), "id", "p", "m")
+    rows = sorted(json.loads(r.value)["model_patch"] for r in spark.read.text(str(tmp_path / "p")).collect())
+    assert rows == ["", "diff é"]

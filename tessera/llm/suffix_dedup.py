@@ -165,16 +165,14 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # A window's first start, how many starts follow it, and where its gram lies: three short columns in a file (they
     # have few values), but one number in a shuffled row.
     place = F.expr("shiftleft(cast(first as bigint), 16) | shiftleft(more, 8) | lead").alias("place")
-    places = grams.select("id", "print", "gram", place).join(often.hint("merge"), "gram").groupBy("id", "print").agg(F.collect_list(F.struct("gram", "place")).alias("places"))
+    places = grams.select("id", "print", "gram", place).join(often.hint("merge"), "gram").groupBy("id", "print").agg(F.collect_set(F.struct("gram", "place")).alias("places"))
 
     def cut(batches):
         for b in batches:
             listed, often = b["places"].flatten(), b["places"].value_lengths().to_numpy()
             gram, place = (listed.field(c).to_numpy() for c in ("gram", "place"))
-            # Repeated rows list each place more than once; a text's places differ in their first start.
-            key = np.repeat(np.arange(len(often)), often) << 32 | place >> 16
-            pick = np.unique(key, return_index=True)[1]
-            often = np.bincount(key[pick] >> 32, minlength=len(often))
+            # Repeated rows list each place once, as sets are collected; a text's places differ in their first start.
+            pick = np.lexsort((place >> 16, np.repeat(np.arange(len(often)), often)))
             gram, place = gram[pick], place[pick]
             first, lead = (place >> 16).astype(np.int32), (place & 0xFF).astype(np.int32)
             last = first + (place >> 8 & 0xFF)
@@ -234,7 +232,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = alike.where("n > 1").select("gram", "window", "lead", F.array(F.lit(0), (F.octet_length("text") - SPAN).cast("int")).alias("runs"))
     marks = whole.union(marked.union(hot).join(whole.select("gram", "window", "lead"), ["gram", "window", "lead"], "left_anti"))
     spans = found.select("id", "print", "gram", "first", "lead", "window").join(marks, ["gram", "window", "lead"])
-    spans = stored(spans.groupBy("id", "print").agg(F.flatten(F.collect_list(F.transform("runs", lambda r: r + F.col("first")))).alias("marks")), "spans")
+    spans = stored(spans.groupBy("id", "print").agg(F.flatten(F.collect_set(F.transform("runs", lambda r: r + F.col("first")))).alias("marks")), "spans")
     dropped(found, alike, groups, each)
 
     def remove(batches):

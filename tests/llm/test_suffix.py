@@ -72,3 +72,15 @@ def test_very_long_text(spark):
     long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
     rows = suffix_dedup.suffix_dedup(spark.createDataFrame([(1, long), (2, "!" + long[100_000:100_500] + "?")], "doc_id bigint, text string")).collect()
     assert {r.doc_id: [tuple(s) for s in r.removed] for r in rows} == {1: [(100_000, 100_500)], 2: [(1, 501)]}
+
+
+def test_rows_with_one_id_and_text_take_linear_space(spark, monkeypatch):
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    tables, stored = {}, suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: tables.setdefault(name, stored(df, name)))
+    monkeypatch.setattr(suffix_dedup, "dropped", lambda *t: None)
+    df = spark.createDataFrame([(None, text)] * 3000 + [(1, text[:500])], "doc_id bigint, text string").repartition(4)
+    out = suffix_dedup.suffix_dedup(df)
+    assert out.where("octet_length(kept) = 0").count() == 3001
+    assert max(r.n for r in tables["spans"].selectExpr("size(marks) AS n").collect()) < 200

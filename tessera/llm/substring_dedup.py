@@ -9,10 +9,14 @@ sentences are short, and a short stock line that many documents share stays. Wha
 the offsets of what went are kept.
 """
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh_name, let, stored, table
+from .common import fresh_name, small_batches, stored, table
 
 #: Units of fewer words repeat by chance ("Yes.") and stay.
 LEAST_WORDS = 5
@@ -23,7 +27,6 @@ GAP = r"[\x20\x09-\x0D]+"
 PIECE = r"(?s).*?(?:[.!?][\x20\x09-\x0D]+|\n|\z)"
 #: What of a unit lies between it and the next.
 END = r"([.!?])[\x20\x09-\x0D]+\z|\n\z"
-GONE = "array<int>"
 
 
 def pieces(text: Column) -> Column:
@@ -43,40 +46,36 @@ def units_of(rows: DataFrame, least_words: int) -> DataFrame:
     return rows.select("row", "id", unit.alias("u")).select("row", "id", "u.pos", "u.words", "u.digest")
 
 
-def long_runs(repeats: Column, least_run: int) -> Column:
+#: PIECE and END for Python, and without a step for each character.
+_PIECE = re.compile(r"(?:[^.!?\n]++|[.!?](?![\x20\x09-\x0D]))*+(?:[.!?][\x20\x09-\x0D]++|\n|\Z)")
+_END = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+\Z|\n\Z")
+
+
+def long_runs(repeats: list[tuple[int, int]], least_run: int) -> list[int]:
     """Places of the repeats (pos, words), in order, that lie in runs of neighbours with least_run words or more."""
-    none = F.lit(None).cast(GONE)
-    empty = F.expr(f"cast(array() as {GONE})")
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["words"] >= least_run, F.concat(acc["out"], acc["run"])).otherwise(acc["out"])
-
-    def step(acc: Column, u: Column) -> Column:
-        goes_on = u["pos"] == acc["last"] + 1
-        return F.struct(
-            u["pos"].alias("last"),
-            F.when(goes_on, acc["words"] + u["words"]).otherwise(u["words"]).alias("words"),
-            F.when(goes_on, F.concat(acc["run"], F.array(u["pos"]))).otherwise(F.array(u["pos"])).alias("run"),
-            F.when(goes_on, acc["out"]).otherwise(closed(acc)).alias("out"),
-        )
-
-    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("words"), empty.alias("run"), empty.alias("out"))
-    gone = F.aggregate(F.array_sort(repeats), start, step, closed)
-    return F.when(F.size(gone) > 0, gone).otherwise(none)
-
-
-def spans_of(parts: Column, gone: Column) -> Column:
-    """(start, end) of each unit in gone, in code points of the text, without the white space that ends it."""
-    ends = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(F.regexp_replace(x, END, "$1"))).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return let(ends, lambda e: F.transform(gone, lambda i: F.get(e, i)))
+    out, run, words = [], [], 0
+    for pos, n in [*sorted(repeats), (-1, 0)]:
+        if run and pos != run[-1] + 1:
+            out += run if words >= least_run else []
+            run, words = [], 0
+        run.append(pos)
+        words += n
+    return out
+
+
+def cut_out(text: str, gone: list[int]) -> tuple[str, list[dict]]:
+    """(what is left of a text without its units at the places in gone, which are in order; the spans of these in code
+    points, without the white space that ends them)."""
+    kept, spans, left, at = [], [], iter(gone), 0
+    going = next(left, None)
+    for i, piece in enumerate(x for x in _PIECE.findall(text) if x):
+        if i == going:
+            spans.append({"start": at, "end": at + len(_END.sub("", piece))})
+            going = next(left, None)
+        else:
+            kept.append(piece)
+        at += len(piece)
+    return "".join(kept), spans
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, least_run: int = LEAST_RUN) -> DataFrame:
@@ -85,8 +84,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The earliest unit is the one with the smallest id, then row, then place; a null id comes after all others. A null
     or empty text stays as it is. Each row loses what repeats in itself, whatever other rows have its id; of repeated
-    rows the first keeps its text. Columns of df named like those added are replaced; an empty df gives no rows.
+    rows the first keeps its text. Texts may have any number of units, as the
+    work grows with them. Columns of df named like those added are replaced; an empty df gives no rows.
     """
+    small_batches(df.sparkSession)
     mine = fresh_name(df, "row"), fresh_name(df, "gone")
     numbered = stored(df.drop("n_removed", "removed").withColumn(mine[0], F.monotonically_increasing_id()), "numbered")
     rows = numbered.select(F.col(mine[0]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
@@ -97,17 +98,26 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = stored(repeated.select("digest", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "repeated-units")
     lost = units.select("row", "pos", "words", "digest").join(repeated.hint("merge"), "digest").where("row <> first_row or pos <> first_pos")
-    gone = lost.groupBy("row").agg(long_runs(F.collect_list(F.struct("pos", "words")), least_run).alias("gone")).where("gone is not null")
-    gone = stored(gone.select(F.col("row").alias(mine[0]), F.col("gone").alias(mine[1])), "gone-units")
-    out = numbered.join(gone.hint("merge"), mine[0], "left")
-    text, places = F.col(text_col), F.col(mine[1])
-    kept = F.array_join(F.filter(pieces(text), lambda x, i: ~F.array_contains(places, i)), "")
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    return out.withColumns({
-        "removed": F.when(places.isNull(), nothing).otherwise(spans_of(pieces(text), places)),
-        "n_removed": F.coalesce(F.size(places), F.lit(0)).cast("bigint"),
-        text_col: F.when(places.isNull(), text).otherwise(kept),
-    }).drop(*mine)
+    lists = lost.groupBy("row").agg(F.collect_list(F.struct("pos", "words")).alias("gone"), F.sum("words").alias("n")).where(F.col("n") >= least_run)
+    gone = stored(lists.select(F.col("row").alias(mine[0]), F.col("gone").alias(mine[1])), "gone-units")
+    out = numbered.join(gone.hint("merge"), mine[0], "left").drop(mine[0])
+    kept = [f for f in out.schema.fields if f.name != mine[1]]
+    schema = T.StructType([*kept, T.StructField("removed", T.ArrayType(T.StructType.fromDDL("start int, end int"))), T.StructField("n_removed", T.LongType())])
+
+    def cut(batches):
+        for b in batches:
+            texts, removed = b[text_col].to_pylist(), []
+            for i, (text, repeats) in enumerate(zip(texts, b[mine[1]].to_pylist())):
+                places = long_runs([(r["pos"], r["words"]) for r in repeats], least_run) if repeats else []
+                spans = []
+                if places:
+                    texts[i], spans = cut_out(text, places)
+                removed.append(spans)
+            new = [pa.array(texts, b[text_col].type) if f.name == text_col else b[f.name] for f in kept]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*new, pa.array(removed, kind), pa.array([len(r) for r in removed], pa.int64())], schema.names)
+
+    return out.mapInArrow(cut, schema)
 
 
 def op5_substring_dedup(spark, sf_dir):

@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 from tessera.llm import substring_dedup
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -112,3 +114,21 @@ def test_repeated_rows_and_very_long_texts(spark):
     rows = [(1, long), (1, long), (2, "word " * 20000), (3, f"z\n{long}")]
     out = sorted((r.doc_id, len(r.text)) for r in run(spark, rows))
     assert out == [(1, 0), (1, len(long)), (2, 100000), (3, 2)]
+
+
+def test_pieces_are_the_same_for_spark_and_python(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab.!?\n\t \x0b\r\u00e9\u2028") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", substring_dedup.pieces(F.col("t")).alias("p"))
+    for r in df.collect():
+        assert [x for x in substring_dedup._PIECE.findall(r.t) if x] == list(r.p)
+
+
+def test_two_hundred_thousand_lines(spark):
+    rng = random.Random(13)
+    lines = [own_words(rng, 6) for _ in range(2000)]
+    text = "\n".join(f"{i} {lines[i % 2000]}" for i in range(200_000))
+    began = time.time()
+    out = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id bigint, text string")).collect()}
+    assert out[1].text == text and out[2].text == "end" and out[2].n_removed == 200_000
+    assert time.time() - began < 60

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 
 #: Vectors of the sample that centres are fitted on, and centres at most.
 SAMPLE, CENTRES = 20_000, 1024
+#: Vectors of a cell, and queries that visit it, that one task compares at once.
 CHUNK, BLOCK = 4096, 1024
 #: Scores count as equal if they round to the same nine digits; bounds are taken this much wider.
 DIGITS, SLACK = 9, 1e-8
@@ -45,15 +46,16 @@ def fit_centres(rows: DataFrame, n: int, centres: int, rounds: int = 6) -> np.nd
 class Cells:
     """An index of vectors: (cell, chunk, id, v, r), and (cell, n, radius) of each cell."""
 
-    def __init__(self, rows: DataFrame, centres: np.ndarray, members: DataFrame):
+    def __init__(self, rows: DataFrame, centres: np.ndarray, members: DataFrame, chunk: int | None = None, block: int | None = None):
         self.rows, self.centres, self.members = rows, centres, members
+        self.chunk, self.block = chunk or CHUNK, block or BLOCK
         found = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius")).collect()  # a row a cell: CENTRES at most
         self.size, self.radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
         for r in found:
             self.size[r["cell"]], self.radius[r["cell"]] = r["n"], r["radius"]
 
     @staticmethod
-    def build(df: DataFrame, key: str, vector: str, store, centres: int = CENTRES) -> "Cells":
+    def build(df: DataFrame, key: str, vector: str, store, centres: int = CENTRES, chunk: int | None = None, block: int | None = None) -> "Cells":
         """store: writes a table and reads it back. Rows without id or vector are left out."""
         rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
         rows = store(rows, "vectors")
@@ -69,7 +71,7 @@ class Cells:
                     yield pa.record_batch({"cell": pa.array(cell, pa.int32()), "id": b["id"], "v": b["v"], "r": pa.array(r)})
 
         members = rows.mapInArrow(deal, "cell int, id bigint, v array<double>, r double").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions("cell", "id")
-        return Cells(rows, c, store(members, "cells"))
+        return Cells(rows, c, store(members, "cells"), chunk, block)
 
     def _visits(self, asked: DataFrame, k: int, first: bool) -> DataFrame:
         """(query, qv, bar, cell): the cells to visit first, or those that reach the bar and were not visited then."""
@@ -100,10 +102,10 @@ class Cells:
         return asked.mapInArrow(choose, "query bigint, qv array<double>, cell int")
 
     def _scored(self, visits: DataFrame, k: int) -> DataFrame:
-        """(query, id, score, compared): of each chunk that a query visits, its k best and all that equal the last."""
-        chunks = np.maximum(1, -(-self.size // CHUNK)).tolist()
+        """(query, id, score, compared): of each chunk that a query visits, its k best."""
+        chunks = np.maximum(1, -(-self.size // self.chunk)).tolist()
         cut = F.element_at(F.array(*map(F.lit, chunks)), F.col("cell") + 1)
-        of = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row a cell
+        of = visits.groupBy("cell").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))  # a row a cell
         visits = visits.join(F.broadcast(of), "cell").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
         left = visits.withColumn("chunk", F.explode(F.sequence(F.lit(0), cut - 1)))
         right = self.members.join(F.broadcast(of), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), cut).cast("int"))

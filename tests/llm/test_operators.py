@@ -28,7 +28,8 @@ ODD = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "a"), (5, "a"), (None, "a b
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = registry.QUERIES[name](spark, SF)
     want = con.execute(registry.SQL[name])
     columns = [c[0] for c in want.description]

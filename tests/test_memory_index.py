@@ -64,7 +64,7 @@ def test_frequent_terms_of_sure_hits_are_passed_over(spark):
     index = Sparse.build(df, "id", "text", keep, buckets=4)
     asked = df.where("id < 3").select(F.col("id").alias("q"), "text")
     hits = index.search(asked, "q", "text", 1, lambda d, name, by=None: tables.append((name, stored(d, name))) or tables[-1][1])
-    assert sorted((r["q"], r["id"], round(r["score"], 2)) for r in hits.collect()) == [(0, 0, 0.99), (1, 1, 0.99), (2, 2, 0.99)] or all(r["q"] == r["id"] for r in hits.collect())
+    assert sorted((r["q"], r["id"]) for r in hits.collect()) == [(0, 0), (1, 1), (2, 2)]
     split = dict(tables)["split"]
     assert split.where("late and term in ('the', 'of', 'and')").count() == 9
     assert index.shares(asked, "q", "text").where("all > 2400").count() == 3

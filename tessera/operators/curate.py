@@ -5,13 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.registry import query
+from .containment import contained
 from .memory import keep_first
 from .sequence import global_index
 
-#: Words of the run that leads a passage to the texts that may contain it.
-RUN = 6
-
-
 def pool_order(pool: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """pool with _r, each row's place from 1 in the order of a seeded hash."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
@@ -19,14 +16,20 @@ def pool_order(pool: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return ranked.withColumn("_r", F.col("_r") + 1).drop("_h")
 
 
+def blends(base: DataFrame, ordered: DataFrame, shares: list[float]) -> DataFrame:
+    """For each share, base and as many rows of the ordered pool, from its first on, as make up share of the whole (all at
+    1); share says which. The pool is read once, whatever the number of shares."""
+    need = lambda s: F.lit(0) if s <= 0 else F.lit((1 << 63) - 1) if s >= 1 else F.ceil(F.lit(s) * F.count("*") / F.lit(1 - s))
+    wanted = F.array(*[F.struct(F.lit(s).alias("share"), need(s).cast("bigint").alias("n")) for s in shares])
+    limits = F.broadcast(base.agg(wanted.alias("_limits")))  # one row
+    picked = ordered.crossJoin(limits).withColumn("_x", F.explode(F.filter("_limits", lambda x: F.col("_r") <= x["n"])))
+    whole = base.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
+    return whole.unionByName(picked.withColumn("share", F.col("_x.share")).drop("_r", "_limits", "_x"))
+
+
 def blend(base: DataFrame, ordered: DataFrame, share: float) -> DataFrame:
-    """base and as many rows of the ordered pool, from its first on, as make up share of the whole (all at 1)."""
-    if share <= 0:
-        return base
-    if share >= 1:
-        return base.unionByName(ordered.drop("_r"))
-    n = F.broadcast(base.agg(F.ceil(F.lit(share) * F.count("*") / F.lit(1 - share)).alias("_n")))  # one row
-    return base.unionByName(ordered.join(n, F.col("_r") <= F.col("_n")).drop("_r", "_n"))
+    """base and as many rows of the ordered pool as make up share of the whole."""
+    return blends(base, ordered, [share]).drop("share")
 
 
 def mask_labels(prompt: Column, target: Column, limit: int) -> Column:
@@ -43,32 +46,10 @@ def dedup_keep_first(t):
     return keep_first(t.documents.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("h")), ["h"], ["source", "doc_id"]).select("doc_id", "h")
 
 
-def _run_hash(n: int):
-    return lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("w", i, n), " "))
-
-
 @query("contains_join", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def contains_join(t):
-    """Benchmark items that lie in a document. A shared run of words leads to the pair; containment settles it.
-
-    An item's words but its first and last lie whole in every text that contains it; the first RUN of them, or all, are
-    its key, of which documents send out hashes only. The text goes along once, for pairs that share a key. An item of
-    fewer than three words has no key: those are looked for in every document, as a stated set of short patterns.
-    """
-    text, words_of = F.col("text"), lambda c: F.split(c, r"[ \n]")
-    item = t.benchmark.select("item_id", text.alias("item"), words_of(text).alias("w")).withColumn("n", F.least(F.lit(RUN), F.size("w") - 2))
-    keyed = item.where("n > 0").select("item_id", "item", "n", F.xxhash64("n", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("key"))
-    lengths = [r["n"] for r in keyed.select("n").distinct().collect()]  # RUN numbers at most
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), _run_hash(n)) for n in lengths]
-    docs = t.documents.select("doc_id", words_of(text).alias("w"))
-    hashes = F.array_distinct(F.concat(*runs)) if runs else F.expr("cast(array() as array<bigint>)")
-    met = docs.select("doc_id", F.explode(hashes).alias("key")).join(keyed.select("item_id", "item", "key"), "key").select("doc_id", "item_id", "item").distinct()
-    a = t.documents.select("doc_id", "text").join(met, "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
-    short = item.where("n <= 0 and item <> ''").select("item_id", "item")
-    patterns = short.agg(F.collect_list(F.struct("item_id", "item")).alias("items"))  # items of one or two words
-    found = F.filter("items", lambda x: F.contains("text", x["item"]))
-    b = t.documents.select("doc_id", "text").crossJoin(F.broadcast(patterns)).select("doc_id", F.explode(found).alias("x")).select("x.item_id", "doc_id")
-    return a.union(b)
+    """Benchmark items that lie in a document."""
+    return contained(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
 
 
 @query("overlap_semi", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 1)")
@@ -114,11 +95,7 @@ _SHARES = (0.0, 0.1, 0.25, 0.5, 1.0)
 @query("blend_ratio", "WITH b AS (SELECT doc_id FROM documents WHERE lang = 'en'), p AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS r FROM documents WHERE lang <> 'en'), n AS (SELECT count(*) AS n FROM b) " + " UNION ALL ".join(f"SELECT {s}::DOUBLE AS share, doc_id FROM b UNION ALL SELECT {s}::DOUBLE, doc_id FROM p, n WHERE " + ("false" if s == 0 else "true" if s == 1 else f"r <= ceil({s}::DOUBLE * n / (1 - {s}::DOUBLE))") for s in _SHARES))
 def blend_ratio(t):
     base, pool = t.documents.where("lang = 'en'").select("doc_id"), t.documents.where("lang <> 'en'").select("doc_id")
-    ordered, out = pool_order(pool, "doc_id"), None
-    for s in _SHARES:
-        part = blend(base, ordered, s).select(F.lit(s).alias("share"), "doc_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return blends(base, pool_order(pool, "doc_id"), list(_SHARES)).select("share", "doc_id")
 
 
 @query("blend_share", "SELECT lang, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY 1")
@@ -142,10 +119,25 @@ def priority_limit(t):
     return t.documents.orderBy((F.col("lang") != "de").cast("int"), "source", "doc_id").limit(50).select("doc_id")
 
 
+def gates(pool: DataFrame, kind: str, least: float, most: float, count: int) -> DataFrame:
+    """(kind, share_ok, count_ok): whether a kind's share of the pool lies in bounds, and whether it has rows enough."""
+    n = F.broadcast(pool.agg(F.count("*").alias("all")))  # one row
+    share = F.col("n") / F.col("all")
+    return pool.groupBy(kind).agg(F.count("*").alias("n")).crossJoin(n).select(kind, share.between(least, most).alias("share_ok"), (F.col("n") >= count).alias("count_ok"))
+
+
+def gated_pool(pool: DataFrame, kind: str, least: float, most: float, count: int) -> DataFrame:
+    """pool, if every kind passes its gates and there is one; else ValueError, with up to ten kinds that don't."""
+    judged = gates(pool, kind, least, most, count)
+    bad = judged.where("not (share_ok and count_ok)").orderBy(kind).limit(10).collect()
+    if bad or judged.isEmpty():
+        raise ValueError("; ".join(f"{r[kind]}: {' and '.join(w for w, ok in (('share', r.share_ok), ('count', r.count_ok)) if not ok)} out of bounds" for r in bad) or "the pool is empty")
+    return pool
+
+
 @query("pool_gates", "SELECT lang, count(*) / (SELECT count(*) FROM documents) BETWEEN 0.05 AND 0.6 AS share_ok, count(*) >= 100 AS count_ok FROM documents GROUP BY 1")
 def pool_gates(t):
-    n = F.broadcast(t.documents.agg(F.count("*").alias("all")))
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n")).crossJoin(n).select("lang", (F.col("n") / F.col("all")).between(0.05, 0.6).alias("share_ok"), (F.col("n") >= 100).alias("count_ok"))
+    return gates(t.documents, "lang", 0.05, 0.6, 100)
 
 
 @query("query_text", "SELECT doc_id, 'doc_' || doc_id || ' ' || lang || ' ' || array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:20], ' ') AS query_text FROM documents")
@@ -289,14 +281,12 @@ def _overlap(docs: DataFrame) -> DataFrame:
     return c.join(r, "w", "left").groupBy("doc_id").agg(F.round(F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n"), 6).alias("p"))
 
 
-@query("ngram_overlap", r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\s+')) AS w FROM documents WHERE doc_id < 40), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT w, n FROM c WHERE doc_id = 0) SELECT c.doc_id, round(sum(least(c.n, coalesce(r.n, 0)))::DOUBLE / sum(c.n), 6) AS p FROM c LEFT JOIN r USING (w) GROUP BY 1")
-def ngram_overlap(t):
-    """Clipped unigram precision of the first documents against document 0."""
-    return _overlap(t.documents.where("doc_id < 40"))
+_OVERLAP = r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\s+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT w, n FROM c WHERE doc_id = 0) SELECT c.doc_id, round(sum(least(c.n, coalesce(r.n, 0)))::DOUBLE / sum(c.n), 6) AS p FROM c LEFT JOIN r USING (w) GROUP BY 1"
 
 
-@query("ngram_overlap_all", r"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\s+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT w, n FROM c WHERE doc_id = 0) SELECT c.doc_id, round(sum(least(c.n, coalesce(r.n, 0)))::DOUBLE / sum(c.n), 6) AS p FROM c LEFT JOIN r USING (w) GROUP BY 1")
-def ngram_overlap_all(t):
+@query("ngram_overlap", _OVERLAP)
+@query("ngram_overlap_all", _OVERLAP)
+def ngram_overlap(t):
     """Clipped unigram precision of all documents against document 0."""
     return _overlap(t.documents)
 

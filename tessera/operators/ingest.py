@@ -1,6 +1,7 @@
 """Queries on sources: gates of JSON lines, task lists, CSV text, built-in relations, templates, checks of task lists."""
 
 import operator
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import protocol as P
 from ..plans import transcripts as T
 from ..plans.registry import query
+from ..plans.storage import working_dir
 from ..sources import files
 
 _SCHEMA = "id string, task string, prompt string, n bigint"
@@ -20,11 +22,22 @@ def _rows(t) -> DataFrame:
     return files.parse_lines(T.rows_of(t, T.JSON_LINES), _SCHEMA)
 
 
-@query("jsonl_gate", f"WITH {_J} SELECT count_if(status <> 'OK')::BIGINT AS failed, count_if(status = 'OK')::BIGINT AS valid, CASE WHEN count_if(status <> 'OK') > 0 THEN 'ABORT: ' || count_if(status <> 'OK') || ' record(s) failed validation' WHEN count_if(status = 'OK') = 0 THEN 'ABORT: no valid records' ELSE 'OK' END AS verdict FROM p")
+_GATE = f"WITH {_J} SELECT count_if(status <> 'OK')::BIGINT AS failed, count_if(status = 'OK')::BIGINT AS valid, CASE WHEN count_if(status <> 'OK') > 0 THEN 'ABORT: ' || count_if(status <> 'OK') || ' record(s) failed validation' WHEN count_if(status = 'OK') = 0 THEN 'ABORT: no valid records' ELSE 'OK' END AS verdict FROM p"
+
+
+@query("jsonl_gate", _GATE)
 def jsonl_gate(t):
     return files.gate_verdict(_rows(t), _NEEDED)
 
 
+@query("jsonl_gate_files", _GATE)
+def jsonl_gate_files(t):
+    """The same of files: the lines are written as text, a folder for each file's name, and scanned."""
+    path = f"{working_dir(t.spark)}/lines-{uuid.uuid4().hex}"
+    T.rows_of(t, T.JSON_LINES).select("file", "line").write.partitionBy("file").text(path)
+    return files.gate_verdict(files.json_lines(t.spark, path, _SCHEMA), _NEEDED)
+
+
 @query("jsonl_dryrun_report", f"WITH {_J} SELECT file, number, status, json_extract_string(CASE WHEN json_valid(line) THEN line END, '$.id') AS id, sum(CASE WHEN status <> 'json_error' THEN 1 ELSE 0 END) OVER (PARTITION BY file)::BIGINT AS total, sum(CASE WHEN status <> 'OK' THEN 1 ELSE 0 END) OVER (PARTITION BY file)::BIGINT AS failed FROM p")
 def jsonl_dryrun_report(t):
     """Each line's status, with its file's counts: a line that isn't JSON is failed, but not in the total."""

@@ -138,15 +138,12 @@ def savgol_interior(t):
     return moving(_steps(t), "event_type", {"smooth": total}, 2, 2).select("event_type", "step", (F.round("smooth", 6) + 0.0).alias("smooth"))
 
 
-@query("multi_run", _STEPS + " SELECT event_type AS run, step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 4 PRECEDING), 6) AS loss FROM s WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2)")
-def multi_run(t):
-    runs = t.events.select("event_type").distinct().orderBy("event_type").limit(2)
-    steps = _steps(t).join(F.broadcast(runs), "event_type", "left_semi")
-    return rolling(steps, "event_type", "value", 5, "m").select(F.col("event_type").alias("run"), "step", F.round("m", 6).alias("loss"))
+_RUNS = _STEPS + " SELECT event_type AS run, step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 4 PRECEDING), 6) AS loss FROM s"
 
 
-@query("multi_run_all", _STEPS + " SELECT event_type AS run, step, round(avg(value) OVER (PARTITION BY event_type ORDER BY step ROWS 4 PRECEDING), 6) AS loss FROM s")
-def multi_run_all(t):
+@query("multi_run", _RUNS)
+@query("multi_run_all", _RUNS)
+def multi_run(t):
     return rolling(_steps(t), "event_type", "value", 5, "m").select(F.col("event_type").alias("run"), "step", F.round("m", 6).alias("loss"))
 
 

@@ -9,7 +9,7 @@ from ..plans.storage import stored, working_dir
 from ..store.cells import Cells
 from ..store.embedder import DIMS, GENTLE, SLOTS, forget, open_embedder, train
 from ..store.keyed import KeyedTable
-from ..store.memory_index import load_index, save_index
+from ..store.memory_index import load_index, merged, save_index
 from . import memory
 
 
@@ -62,7 +62,7 @@ def dense_index_topk(t):
     return load_index(t.spark, path, model).search(asked, "item_id", "asked", 4).select("item_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query("stored_index_topk", memory._TOPK_ALL + " SELECT item_id, rank, doc_id, round(score, 6) AS score FROM topk")
+@query("stored_index_topk", memory._TOPK + " SELECT item_id, rank, doc_id, round(score, 6) AS score FROM topk")
 def stored_index_topk(t):
     """The same by TF-IDF, as there is no model at the path that is asked for one."""
     path, nowhere = _place(t, "sparse-index"), _place(t, "no-embedder")
@@ -72,8 +72,17 @@ def stored_index_topk(t):
     return load_index(t.spark, path).search(asked, "item_id", "asked", 4).select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("cells_topk", memory._DENSE.replace("q.vec_id < 50", "q.vec_id % 100 = 0") + " SELECT query, rank, vec_id, round(score, 6) AS score FROM top")
+@query("cells_topk", memory._DENSE.replace("ON q.vec_id", "ON q.vec_id % 100 = 0 AND q.vec_id") + " SELECT query, rank, vec_id, round(score, 6) AS score FROM top")
 def cells_topk(t):
     """The vectors most similar to each one whose id is divisible by 100, of all."""
     hits, _ = Cells.build(t.embeddings, "vec_id", "embedding", stored).search(t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", 4, stored)
     return hits.select("query", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("index_merge_rebuild", "WITH m AS (SELECT 'base' AS file, doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'repair_base', doc_id FROM documents WHERE doc_id % 5 = 0) SELECT file, doc_id, row_number() OVER (ORDER BY file, doc_id) - 1 AS vec_index FROM m")
+def index_merge_rebuild(t):
+    """The records of an index made anew of two parts, the second's files renamed by a prefix; repeated records stay."""
+    part = lambda keep: t.documents.where(keep).select(F.lit("base").alias("file"), "doc_id", "text")
+    path = _place(t, "merged-index")
+    save_index(merged({"": part("doc_id % 2 = 0"), "repair": part("doc_id % 5 = 0")}), ["file", "doc_id"], "text", path)
+    return load_index(t.spark, path).records.select("file", "doc_id", "vec_index")

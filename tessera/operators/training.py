@@ -1,5 +1,7 @@
 """Queries that prepare training data: pads, masks, decoding, trace builders, mixtures, bug injection, patches."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -400,7 +402,8 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def clipped_precision(candidate: Column, reference: Column, n: int) -> Column:
-    """Share of the candidate's n-grams that the reference has, each as often as it has it; 0 without any."""
+    """Share of the candidate's n-grams that the reference has, each as often as it has it; 0 without any. For short
+    answers: the time grows with the product of the lengths."""
     low = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
     a, b = ngrams(low(candidate), n), ngrams(low(reference), n)
     often = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
@@ -408,6 +411,19 @@ def clipped_precision(candidate: Column, reference: Column, n: int) -> Column:
     return F.when(F.size(a) > 0, shared / F.size(a)).otherwise(0.0)
 
 
+def long_precision(df: DataFrame, key: str, candidate: Column, reference: Column, n: int) -> DataFrame:
+    """(key, p): the same of texts of any length, whose n-grams are counted by rows; key is unique."""
+    low = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    # Words are joined with those that follow by zips of shifted arrays: an array inside a lambda is made anew each time.
+    shifted = lambda xs, i: F.slice(xs, i + 1, F.greatest(F.size(xs) - i, F.lit(0)))
+    runs = lambda xs: reduce(lambda a, i: F.zip_with(a, shifted(xs, i), lambda x, y: F.concat(x, F.lit(" "), y)), range(1, n), xs)
+    told = lambda c, own: F.transform(F.filter(runs(low(F.coalesce(c, F.lit("")))), lambda x: x.isNotNull()), lambda x: F.struct(x.alias("gram"), F.lit(own).alias("own")))
+    grams = df.select(key, F.explode_outer(F.concat(told(candidate, True), told(reference, False))).alias("_x")).select(key, "_x.*")
+    each = grams.groupBy(key, "gram").agg(F.count_if("own").alias("a"), F.count_if(~F.col("own")).alias("b"))
+    shared = F.sum(F.least("a", "b")) / F.sum("a")
+    return each.groupBy(key).agg(F.when(F.sum("a") > 0, shared).otherwise(0.0).alias("p"))
+
+
 _IMAGES = "SELECT page_id, html FROM (SELECT page_id, html, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) AS r FROM pages) WHERE r <= 10"
 
 
@@ -427,11 +443,11 @@ def cross_score(t):
 _BIGRAMS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
 
 
-@query("bigram_precision", f"WITH d AS (SELECT a.doc_id, list_filter(string_split(regexp_replace(lower(left(a.text, 300)), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w, list_filter(string_split(regexp_replace(lower(left(a.text, 150)) || ' of the', '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS v FROM documents a), g AS (SELECT doc_id, unnest({_BIGRAMS}) AS x FROM d), h AS (SELECT doc_id, unnest({_BIGRAMS.replace('w[', 'v[').replace('(w)', '(v)')}) AS x FROM d), c AS (SELECT doc_id, x, count(*) AS n FROM g GROUP BY 1, 2), r AS (SELECT doc_id, x, count(*) AS m FROM h GROUP BY 1, 2) SELECT d.doc_id, coalesce(round(p, 6), 0) AS p FROM d LEFT JOIN (SELECT c.doc_id, sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n) AS p FROM c LEFT JOIN r USING (doc_id, x) GROUP BY 1) USING (doc_id)")
+@query("bigram_precision", f"WITH d AS (SELECT a.doc_id, list_filter(string_split(regexp_replace(lower(a.text), '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w, list_filter(string_split(regexp_replace(lower(left(a.text, length(a.text) // 2)) || ' of the', '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS v FROM documents a), g AS (SELECT doc_id, unnest({_BIGRAMS}) AS x FROM d), h AS (SELECT doc_id, unnest({_BIGRAMS.replace('w[', 'v[').replace('(w)', '(v)')}) AS x FROM d), c AS (SELECT doc_id, x, count(*) AS n FROM g GROUP BY 1, 2), r AS (SELECT doc_id, x, count(*) AS m FROM h GROUP BY 1, 2) SELECT d.doc_id, coalesce(round(p, 6), 0) AS p FROM d LEFT JOIN (SELECT c.doc_id, sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n) AS p FROM c LEFT JOIN r USING (doc_id, x) GROUP BY 1) USING (doc_id)")
 def bigram_precision(t):
-    """Clipped bigram precision of each text's start against a shorter start of it with two more words."""
-    candidate, reference = F.left("text", F.lit(300)), F.concat(F.left("text", F.lit(150)), F.lit(" of the"))
-    return t.documents.select("doc_id", F.round(clipped_precision(candidate, reference, 2), 6).alias("p"))
+    """Clipped bigram precision of each text against its first half with two more words."""
+    reference = F.concat(F.left("text", F.floor(F.length("text") / 2).cast("int")), F.lit(" of the"))
+    return long_precision(t.documents, "doc_id", F.col("text"), reference, 2).select("doc_id", F.round("p", 6).alias("p"))
 
 
 @query("sample_with_replacement", "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), d AS (SELECT k, cast('0x' || substr(md5('draw:' || k), 1, 8) AS BIGINT) AS h FROM range(500) AS r(k)) SELECT k AS draw, doc_id FROM d JOIN p ON h % n = i")

@@ -5,6 +5,7 @@ model. An index is read back by the tag in its manifest and searched by it; an i
 """
 
 import json
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,14 @@ class MemoryIndex:
         return hits.join(self.records, "vec_index")
 
 
-def save_index(records: DataFrame, key: str, text: str, path: str, embedder: Embedder | None = None) -> None:
+def merged(parts: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all parts for one index; each part's `file` gets the part's name as a prefix, which for one may be empty,
+    so files of one name stay apart. Records that two parts share are kept twice."""
+    named = [p.withColumn("file", F.concat(F.lit(f"{name}_"), F.col("file")) if name else F.col("file")) for name, p in parts.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def save_index(records: DataFrame, key: str | list[str], text: str, path: str, embedder: Embedder | None = None) -> None:
     """Stores records, numbered by vec_index in the order of key from 0, and their vectors or postings. A folder that holds
     an index is replaced: its manifest goes first and comes back last, so no reader takes parts of two for one."""
     from ..operators.sequence import global_index

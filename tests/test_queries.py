@@ -41,7 +41,7 @@ def test_what_has_no_sql_gives_rows(spark):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 80
+    assert entry.entry(spark).count() == 4 * spark.read.parquet(f"{SF}/benchmark.parquet").count()
 
 
 @pytest.mark.parametrize(("name", "key", "table", "id"), [("tfidf_topk_all", "item_id", "benchmark", "item_id"), ("memory_block_all", "item_id", "benchmark", "item_id"), ("dense_topk_all", "query", "embeddings", "vec_id"), ("hit_label_all", "query", "embeddings", "vec_id"), ("label_counts_all", "query", "embeddings", "vec_id")])

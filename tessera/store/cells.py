@@ -3,11 +3,12 @@
 Vectors are dealt to the nearest of C centres, which are fitted on a bounded sample; every vector is in a cell, with its
 distance r from the centre c. By the Cauchy-Schwarz inequality q.v <= q.c + |q| r for a vector v of the cell, so a cell
 whose centre and radius keep that below the k-th best score found so far can't matter. A query first visits the cells
-that promise most, until they hold k vectors; the k-th score found there is its bar, and it then visits every other cell
-whose promise reaches the bar. Results are those of a comparison with all vectors.
+that promise most, until they hold k vectors; the k-th score found there is its bar, and it is then compared with every
+cell whose promise reaches the bar. Results are those of a comparison with all vectors.
 
-Cells are cut into chunks of CHUNK vectors, and the queries that visit one into blocks of BLOCK, so that what a task
-holds at once is bounded however many vectors are alike; both meet by a join on their key.
+For that, queries are dealt to parts of about PART, one a task, and the cells' vectors stream by every part in packs of
+CHUNK at most; BLOCK queries are compared with a pack at once. So no query is sent once for each cell that it visits, and
+what a task holds is bounded. Vectors are sent n / PART times.
 """
 
 import numpy as np
@@ -23,6 +24,10 @@ SAMPLE, CENTRES = 20_000, 1024
 CHUNK, BLOCK = 4096, 1024
 #: Scores count as equal if they round to the same nine digits; bounds are taken this much wider.
 DIGITS, SLACK = 9, 1e-8
+#: Queries that one task holds at most, and at least if there are few, rows that are sent on at once, and queries whose scores a task of bars takes at once.
+PART, LEAST, VISITS, SLICE = 16_384, 1024, 4096, 256
+#: The id of no vector.
+NOBODY = np.iinfo(np.int64).max
 
 
 def fit_centres(rows: DataFrame, n: int, centres: int, rounds: int = 6) -> np.ndarray:
@@ -43,6 +48,68 @@ def fit_centres(rows: DataFrame, n: int, centres: int, rounds: int = 6) -> np.nd
     return c
 
 
+class Part:
+    """Queries of one task, and the k best that each has met so far."""
+
+    def __init__(self, number: int, k: int, centres: np.ndarray, radius: np.ndarray, block: int):
+        self.number, self.k, self.c, self.radius, self.block = number, k, centres, radius, block
+        self.rows, self.q = [], None
+
+    def add(self, query: int, v: np.ndarray, bar: float | None) -> None:
+        self.rows.append((query, v.copy(), -np.inf if bar is None else bar))
+
+    def ready(self) -> None:
+        n = len(self.rows)
+        self.ids, self.q = np.array([r[0] for r in self.rows], np.int64), np.array([r[1] for r in self.rows], float).reshape(n, self.c.shape[1])
+        self.bar, self.rows = np.array([r[2] for r in self.rows], float), []
+        self.length = np.sqrt((self.q * self.q).sum(1))
+        self.best, self.of, self.compared = np.full((n, self.k), -np.inf), np.full((n, self.k), NOBODY), np.zeros(n, np.int64)
+
+    def meet(self, cell: int, ids: np.ndarray, flat: np.ndarray) -> None:
+        """ids: in ascending order, so the first of the best scores is the one with the smallest id."""
+        if self.q is None:
+            self.ready()
+        if not len(self.q):
+            return
+        v = flat.reshape(len(ids), -1)
+        promise = self.q @ self.c[cell] + self.length * self.radius[cell]
+        near = np.flatnonzero(promise >= self.bar - SLACK)
+        for at in range(0, len(near), self.block):
+            rows = near[at : at + self.block]
+            score = self.q[rows] @ v.T
+            self.compared[rows] += len(ids)
+            own = np.searchsorted(ids, self.ids[rows])
+            same = np.flatnonzero(ids[np.minimum(own, len(ids) - 1)] == self.ids[rows])
+            for i in same:  # a row itself, or all rows of its id
+                score[i, own[i] : np.searchsorted(ids, self.ids[rows[i]], "right")] = -np.inf
+            some = np.flatnonzero((score.max(axis=1) >= self.bar[rows] - SLACK) & np.isfinite(score.max(axis=1)))
+            if len(some):
+                self.merge(rows[some], score[some], ids)
+
+    def merge(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        n, shown = np.arange(len(rows)), np.round(score, DIGITS)
+        new, who = np.full((len(rows), self.k), -np.inf), np.full((len(rows), self.k), NOBODY)
+        for j in range(min(self.k, len(ids))):
+            at = np.argmax(shown, axis=1)
+            there = np.isfinite(shown[n, at])
+            new[there, j], who[there, j] = score[n, at][there], ids[at][there]
+            shown[n, at] = -np.inf
+        both, whose = np.concatenate([self.best[rows], new], axis=1), np.concatenate([self.of[rows], who], axis=1)
+        order = np.lexsort((whose, -np.round(both, DIGITS)), axis=1)[:, : self.k]
+        self.best[rows], self.of[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(whose, order, 1)
+        self.bar[rows] = np.maximum(self.bar[rows], np.round(self.best[rows, -1], DIGITS))
+
+    def found(self) -> pa.RecordBatch:
+        if self.q is None:
+            self.ready()
+        row, col = np.nonzero(np.isfinite(self.best))
+        query, none = np.concatenate([self.ids[row], self.ids]), np.zeros(len(self.ids), bool)
+        is_hit = np.concatenate([np.ones(len(row), bool), none])
+        ids, score = np.concatenate([self.of[row, col], np.zeros(len(self.ids), np.int64)]), np.concatenate([self.best[row, col], np.zeros(len(self.ids))])
+        compared = np.concatenate([np.zeros(len(row), np.int64), self.compared])
+        return pa.record_batch({"query": query, "id": pa.array(ids, mask=~is_hit), "score": pa.array(score, mask=~is_hit), "compared": compared})
+
+
 class Cells:
     """An index of vectors: (cell, chunk, id, v, r), and (cell, n, radius) of each cell."""
 
@@ -73,72 +140,119 @@ class Cells:
         members = rows.mapInArrow(deal, "cell int, id bigint, v array<double>, r double").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions("cell", "id")
         return Cells(rows, c, store(members, "cells"), chunk, block)
 
-    def _visits(self, asked: DataFrame, k: int, first: bool) -> DataFrame:
-        """(query, qv, bar, cell): the cells to visit first, or those that reach the bar and were not visited then."""
+    def _first(self, asked: DataFrame, k: int) -> DataFrame:
+        """(query, qv, cell): the cells that promise a query most, until they hold k vectors besides the query itself."""
         c, size, radius = self.centres, self.size, self.radius
 
         def choose(batches):
             there = size > 0
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                q = np.stack(b["qv"].to_numpy(zero_copy_only=False))
-                promise = np.where(there, q @ c.T + np.sqrt((q * q).sum(1))[:, None] * radius, -np.inf)
-                # The cells that promise most, until they hold k vectors besides the query itself.
-                order = np.argsort(-promise, axis=1, kind="stable")
-                held = np.cumsum(size[order], axis=1) - size[order]
-                early = np.zeros(promise.shape, bool)
-                np.put_along_axis(early, order, (held < k + 1) & np.isfinite(np.take_along_axis(promise, order, 1)), axis=1)
-                if first:
-                    take = early
-                else:
-                    bar = b["bar"].to_numpy(zero_copy_only=False)[:, None]
-                    take = ~early & there & (np.isnan(bar) | (promise >= bar - SLACK))
-                row, cell = np.nonzero(take)
-                if len(row):
-                    picked = b.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([picked["query"], picked["qv"], pa.array(cell, pa.int32())], ["query", "qv", "cell"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, VISITS):
+                    b = whole.slice(at, VISITS)
+                    q = np.stack(b["qv"].to_numpy(zero_copy_only=False))
+                    promise = np.where(there, q @ c.T + np.sqrt((q * q).sum(1))[:, None] * radius, -np.inf)
+                    order = np.argsort(-promise, axis=1, kind="stable")
+                    held = np.cumsum(size[order], axis=1) - size[order]
+                    row, place = np.nonzero((held < k + 1) & np.isfinite(np.take_along_axis(promise, order, 1)))
+                    for i in range(0, len(row), VISITS):
+                        picked = b.take(pa.array(row[i : i + VISITS]))
+                        cell = pa.array(order[row[i : i + VISITS], place[i : i + VISITS]], pa.int32())
+                        yield pa.RecordBatch.from_arrays([picked["query"], picked["qv"], cell], ["query", "qv", "cell"])
 
         return asked.mapInArrow(choose, "query bigint, qv array<double>, cell int")
 
-    def _scored(self, visits: DataFrame, k: int) -> DataFrame:
-        """(query, id, score, compared): of each chunk that a query visits, its k best."""
+    def _bars(self, visits: DataFrame, k: int) -> DataFrame:
+        """(query, bar): the k-th best score in the first chunk of the cells that a query visits first; bounds its hits from
+        below, so which of the vectors are seen is free."""
+        of = visits.groupBy("cell").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))  # a row a cell
+        left = visits.join(F.broadcast(of), "cell").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
         chunks = np.maximum(1, -(-self.size // self.chunk)).tolist()
         cut = F.element_at(F.array(*map(F.lit, chunks)), F.col("cell") + 1)
-        of = visits.groupBy("cell").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))  # a row a cell
-        visits = visits.join(F.broadcast(of), "cell").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
-        left = visits.withColumn("chunk", F.explode(F.sequence(F.lit(0), cut - 1)))
-        right = self.members.join(F.broadcast(of), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), cut).cast("int"))
-        right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        right = self.members.where(F.pmod(F.xxhash64("id"), cut) == 0).join(F.broadcast(of), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
         def compare(asked: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-            out = {"query": [], "id": [], "score": [], "compared": []}
+            out = {"query": [], "score": []}
             if len(asked) and len(members):
-                ids, own = members["id"].to_numpy(), asked["query"].to_numpy()
-                score = np.stack(asked["qv"]) @ np.stack(members["v"]).T
-                shown = np.where(ids[None, :] == own[:, None], -np.inf, np.round(score, DIGITS))
-                at = max(0, shown.shape[1] - k)
-                least = np.partition(shown, at, axis=1)[:, at]
-                row, col = np.nonzero((shown >= least[:, None]) & np.isfinite(shown))
-                # Of rows that are equal by score the smaller ids come first, so no more than k of a query are sent on.
-                order = np.lexsort((ids[col], -shown[row, col], row))
-                row, col = row[order], col[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, col = row[place < k], col[place < k]
-                out = {"query": own[row], "id": ids[col], "score": score[row, col], "compared": np.where(np.diff(row, prepend=-1) != 0, len(ids), 0)}
+                ids, own, v = members["id"].to_numpy(), asked["query"].to_numpy(), np.stack(members["v"]).T
+                score = np.concatenate([np.stack(asked["qv"][i : i + SLICE]) @ v for i in range(0, len(asked), SLICE)])
+                score[ids[None, :] == own[:, None]] = -np.inf
+                best = -np.sort(-np.partition(score, max(0, len(ids) - k), axis=1)[:, -k:], axis=1)
+                row, col = np.nonzero(np.isfinite(best))
+                out = {"query": own[row], "score": best[row, col]}
             return pd.DataFrame(out)
 
-        grouped = left.groupBy("cell", "chunk", "block").cogroup(right.select("cell", "chunk", "block", "id", "v").groupBy("cell", "chunk", "block"))
-        return grouped.applyInPandas(compare, "query bigint, id bigint, score double, compared bigint")
+        grouped = left.groupBy("cell", "block").cogroup(right.select("cell", "block", "id", "v").groupBy("cell", "block"))
+        found = grouped.applyInPandas(compare, "query bigint, score double")
+        ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"))))
+        return ranked.where(F.col("rank") == k).select("query", F.col("score").alias("bar"))
+
+    def _packed(self) -> DataFrame:
+        """(cell, n, ids, vs): the members in packs of at most `chunk` vectors of one cell, as bytes."""
+        chunk = self.chunk
+
+        def pack(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                cell, ids = b["cell"].to_numpy(), b["id"].to_numpy()
+                v = np.stack(b["v"].to_numpy(zero_copy_only=False))
+                cuts = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)).tolist() + [len(cell)]
+                for i, j in zip(cuts, cuts[1:]):
+                    for at in range(i, j, chunk):
+                        to = min(j, at + chunk)
+                        order = at + np.argsort(ids[at:to])
+                        mine, short = v[order], v[order].astype(np.float32)
+                        mine = short if (short == mine).all() else mine  # half as long, if nothing is lost
+                        yield pa.record_batch({"cell": pa.array([cell[at]], pa.int32()), "ids": pa.array([ids[order].tobytes()]), "vs": pa.array([mine.tobytes()])})
+
+        kept = self.members.select("cell", "id", "v")
+        return kept.mapInArrow(pack, "cell int, ids binary, vs binary")
+
+    def _compared(self, asked: DataFrame, parts: int, packs: DataFrame, k: int) -> DataFrame:
+        """(query, id, score, compared) of asked (query, qv, bar, part): of each query its k best, or a few more; compared is
+        in one row a query.
+
+        A task holds one part's queries and lets all packs stream by: what it holds is bounded, and a pack is sent once for
+        each part, not for each query. Packs of cells that can't reach a query's bar aren't compared with it.
+        """
+        c, radius, block = self.centres, self.radius, self.block
+        of = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+        none = lambda t: F.lit(None).cast(t)
+        rows = asked.select("part", "query", "qv", "bar", none("int").alias("cell"), none("binary").alias("ids"), none("binary").alias("vs"))
+        rows = rows.unionByName(packs.select(of, none("bigint").alias("query"), none("array<double>").alias("qv"), none("double").alias("bar"), "cell", "ids", "vs"))
+        rows = rows.repartitionById(parts, "part").sortWithinPartitions("part", F.col("cell").asc_nulls_first())
+
+        def scan(batches):
+            part = None
+            for b in batches:
+                cells, of = b["cell"].to_numpy(zero_copy_only=False), b["part"].to_numpy()
+                for i in range(b.num_rows):
+                    if part is None or part.number != of[i]:
+                        if part is not None:
+                            yield part.found()
+                        part = Part(of[i], k, c, radius, block)
+                    if b["query"][i].is_valid:
+                        part.add(b["query"][i].as_py(), b["qv"][i].values.to_numpy(), b["bar"][i].as_py())
+                    else:
+                        ids, flat = np.frombuffer(b["ids"][i].as_buffer(), np.int64), b["vs"][i].as_buffer()
+                        kind = np.float32 if flat.size == 4 * len(ids) * c.shape[1] else np.float64
+                        part.meet(int(cells[i]), ids, np.frombuffer(flat, kind).astype(np.float64))
+            if part is not None:
+                yield part.found()
+
+        return rows.mapInArrow(scan, "query bigint, id bigint, score double, compared bigint")
 
     def search(self, queries: DataFrame, key: str, vector: str, k: int, store) -> tuple[DataFrame, DataFrame]:
         """((query, rank, id, score), (query, compared)): the k best of each query, a row itself left out, ties by id; and
         with how many vectors it was compared. Queries without id or vector have no rows."""
         asked = queries.select(F.col(key).cast("bigint").alias("query"), F.col(vector).cast("array<double>").alias("qv")).where("query is not null and qv is not null and size(qv) > 0")
         asked = store(asked, "asked")
-        first = store(self._scored(self._visits(asked, k, True), k), "first-visits")
-        rank = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.round("score", DIGITS).desc(), "id"))).where(F.col("rank") <= k)
-        bars = rank(first).where(F.col("rank") == k).select("query", F.round("score", DIGITS).alias("bar"))
-        more = store(self._scored(self._visits(asked.join(bars, "query", "left"), k, False), k), "more-visits")
-        found = first.unionByName(more)
-        return rank(found).select("query", "rank", "id", "score"), found.groupBy("query").agg(F.sum("compared").alias("compared"))
+        bars = store(self._bars(self._first(asked, k), k), "bars")
+        n = asked.count()
+        parts = max(1, -(-n // PART), min(2 * asked.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST)))
+        dealt = asked.join(bars, "query", "left").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
+        found = store(self._compared(dealt, parts, self._packed(), k), "found")
+        hits = found.where("id is not null").select("query", "id", "score")
+        rank = F.row_number().over(W.partitionBy("query").orderBy(F.round("score", DIGITS).desc(), "id"))
+        hits = hits.withColumn("rank", rank).where(F.col("rank") <= k)
+        return hits.select("query", "rank", "id", "score"), found.groupBy("query").agg(F.max("compared").alias("compared"))

@@ -99,3 +99,17 @@ def test_a_broken_artefact_means_tfidf(spark, tmp_path):
     Folder(spark, path).commit("embedder.json", '{"tag": "projection", "slots": 4, "dims": 2}')
     embedder.forget()
     assert embedder.open_embedder(spark, path) is None
+
+
+def test_a_query_is_sent_once_however_many_cells_it_visits(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PART", 100)
+    monkeypatch.setattr(cells, "LEAST", 100)
+    monkeypatch.setattr(cells, "VISITS", 16)
+    x = np.random.default_rng(6).normal(size=(500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, e array<double>")
+    tables = []
+    index = Cells.build(df, "vec_id", "e", stored, chunk=20, block=30)
+    hits, _ = index.search(df, "vec_id", "e", 3, lambda d, name: tables.append(stored(d, name)) or tables[-1])
+    got = sorted((r["query"], r["rank"], r["id"], round(r["score"], 9) + 0.0) for r in hits.collect())
+    assert got == sorted((q, r, i, float(s) + 0.0) for q, r, i, s in brute(range(500), x, range(500), 3))
+    assert all(t.count() <= (3 + 1) * 500 for t in tables)

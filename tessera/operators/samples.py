@@ -68,18 +68,30 @@ def mixture_sample(t):
     return mixture(t.spark, pools, MIXTURE, "fix_single", t.documents.count(), items)
 
 
-def padded_batches(rows: DataFrame, key: str, ids: str, labels: str, size: int) -> DataFrame:
+def padded_batches(rows: DataFrame, key: str, ids: str | dict[str, Column], labels: str | dict[str, Column], size: int, n: Column | None = None) -> DataFrame:
     """rows with batch, width and pad, and ids and labels filled up to width with 0 and IGNORED.
 
     Rows are put in order of how many ids they have, then of key, over all partitions, and every size of them are a batch
     that is as wide as its longest: so the rows of a batch are about as long as each other. Null ids are none.
+
+    Only keys and lengths are put in order; rows get their places by a join, as rows of like length side by side would be
+    the longest of all in one task. ids and labels may be {name: expression over rows}: these are made after the join, so
+    rows travel as short as they are; n then is how many ids a row has.
     """
-    n = F.coalesce(F.size(ids), F.lit(0))
-    placed = global_index(rows.withColumn("_n", F.greatest(n, F.lit(0))), ["_n", key], "_place").withColumn("batch", F.floor(F.col("_place") / size))
-    wide = placed.withColumn("width", F.max("_n").over(W.partitionBy("batch"))).withColumn("pad", F.col("width") - F.col("_n"))
+    made = {k: c for x in (ids, labels) if isinstance(x, dict) for k, c in x.items()}
+    ids, labels = [x if isinstance(x, str) else next(iter(x)) for x in (ids, labels)]
+    length = F.greatest(F.coalesce(F.size(made.get(ids, F.col(ids))) if n is None else n, F.lit(0)), F.lit(0))
+    # Rows of one key and length are told apart by a number, so each gets a place of its own.
+    each = F.row_number().over(W.partitionBy("_key", "_n").orderBy(F.lit(0)))
+    sized = rows.withColumn("_n", length).withColumn("_key", F.col(key))
+    placed = global_index(sized.select("_key", "_n"), ["_n", "_key"], "_place").withColumn("batch", F.floor(F.col("_place") / size))
+    wide = placed.withColumn("width", F.max("_n").over(W.partitionBy("batch"))).withColumn("_each", F.row_number().over(W.partitionBy("_key", "_n").orderBy("_place")))
+    wide = wide.select(F.col("_key").alias("_k"), F.col("_n").alias("_m"), "_each", "batch", "width")
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_n") == F.col("_m")) & (F.col("_same") == F.col("_each"))
+    found = sized.withColumn("_same", each).join(wide, same).withColumn("pad", F.col("width") - F.col("_n")).withColumns(made)
     none = F.expr("cast(array() as array<int>)")
     filled = {ids: F.concat(F.coalesce(ids, none), F.array_repeat(F.lit(0), F.col("pad"))), labels: F.concat(F.coalesce(labels, none), F.array_repeat(F.lit(IGNORED), F.col("pad")))}
-    return wide.withColumns(filled).drop("_n", "_place")
+    return found.withColumns(filled).drop("_n", "_key", "_k", "_m", "_each", "_same")
 
 
 _PADDED = """WITH r AS (SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY length(text), doc_id) - 1 AS place, list_transform(string_split(text, ''), lambda c: unicode(c) % 256) AS ids FROM documents WHERE length(text) > 0),
@@ -91,15 +103,17 @@ b AS (SELECT doc_id, n, (place // 32)::BIGINT AS batch, max(n) OVER (PARTITION B
 def batch_padding(t):
     """Batches of 32 documents; blanks have no label."""
     ids = char_tokens(F.col("text"), 256)
-    rows = t.documents.where("length(text) > 0").select("doc_id", ids.alias("ids")).withColumn("labels", F.transform("ids", lambda x: F.when(x == 32, IGNORED).otherwise(x)))
+    rows = t.documents.where("length(text) > 0").select("doc_id", "text")
+    labels = F.transform(ids, lambda x: F.when(x == 32, IGNORED).otherwise(x))
     md5 = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), " ").cast("binary")).alias(f"{c}_md5")
-    return padded_batches(rows, "doc_id", "ids", "labels", 32).select("doc_id", "batch", "width", "pad", md5("ids"), md5("labels"))
+    return padded_batches(rows, "doc_id", {"ids": ids}, {"labels": labels}, 32, F.length("text")).select("doc_id", "batch", "width", "pad", md5("ids"), md5("labels"))
 
 
 @query("padding_share", _PADDED + " SELECT sum(width)::BIGINT AS slots, sum(width - n)::BIGINT AS padding, round(sum(width - n) / sum(width), 6) AS share FROM b")
 def padding_share(t):
-    rows = t.documents.where("length(text) > 0").select("doc_id", F.array_repeat(F.lit(0), F.length("text")).alias("ids")).withColumn("labels", F.col("ids"))
-    out = padded_batches(rows, "doc_id", "ids", "labels", 32)
+    rows = t.documents.where("length(text) > 0").select("doc_id", F.length("text").alias("n"))
+    ids = F.array_repeat(F.lit(0), F.col("n"))
+    out = padded_batches(rows, "doc_id", {"ids": ids}, {"labels": ids}, 32, F.col("n"))
     return out.agg(F.sum(F.col("width").cast("bigint")).alias("slots"), F.sum(F.col("pad").cast("bigint")).alias("padding"), F.round(F.sum("pad") / F.sum("width"), 6).alias("share"))
 
 

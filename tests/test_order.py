@@ -68,3 +68,15 @@ def test_dense_search_with_ties_nulls_and_blocks(spark, monkeypatch):
         best = sorted((i for i in range(40) if i != q), key=lambda i: (-((i % 4) * (q % 4) + 1), i))[:3]
         assert sorted(got[q]) == list(zip((1, 2, 3), best))
     assert dense_topk(df, df.where("id < 0"), "id", "v", 3).count() == 0
+
+
+def test_batches_put_only_lengths_in_order(spark, monkeypatch):
+    from tessera.operators import sequence
+    from tessera.operators.samples import padded_batches
+
+    kinds, stored = [], sequence.stored
+    monkeypatch.setattr(sequence, "stored", lambda df, name: kinds.extend(f.dataType.typeName() for f in df.schema) or stored(df, name))
+    rows = spark.createDataFrame([(1, [5, 6]), (1, [7, 8]), (None, [9]), (2, None), (3, [1, 2, 3])], "k int, ids array<int>").withColumn("labels", F.col("ids"))
+    got = padded_batches(rows, "k", "ids", "labels", 2).select("k", "batch", "width", "pad", "ids", "labels").collect()
+    assert "array" not in kinds
+    assert sorted((r.k or 0, r.batch, r.width, r.pad, r.ids, r.labels[-1]) for r in got) == sorted([(0, 0, 1, 0, [9], 9), (2, 0, 1, 1, [0], -100), (3, 2, 3, 0, [1, 2, 3], 3), (1, 1, 2, 0, [5, 6], 6), (1, 1, 2, 0, [7, 8], 8)])

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import protocol as P
-from ..functions.text import char_tokens, words
+from ..functions.text import char_tokens
 from ..plans import transcripts as T
 from ..plans.registry import query
+from ..store.terms import sums
 from . import protocol
 
 IGNORED = -100
@@ -467,9 +468,6 @@ f AS (SELECT term, count(*) + 1 AS df FROM c GROUP BY 1), n AS (SELECT count(*)
 SELECT doc_id, round(max(x), 6) AS top, round(sum(x), 4) AS total, count(*) AS terms FROM v GROUP BY 1""")
 def tfidf_weights(t):
     """Weights of each text's words with the text itself as the query: N and df are one more than in the store."""
-    tf = t.documents.select("doc_id", F.explode(words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg((F.count("*") + 1).alias("df"))
-    n = F.broadcast(t.documents.agg((F.count("*") + 1).alias("n")))
-    x = F.col("tf") * (F.log((F.col("n") + 1) / F.col("df")) + 1)
-    v = tf.join(df, "term").crossJoin(n).select("doc_id", x.alias("x"))  # n is one row
-    return v.groupBy("doc_id").agg(F.round(F.max("x"), 6).alias("top"), F.round(F.sum("x"), 4).alias("total"), F.count("*").alias("terms"))
+    n = t.documents.count() + 1
+    w = sums(t.documents, "doc_id", "text", lambda df, log: log((n + 1.0) / (df + 1)) + 1, bigrams=False)
+    return w.select("doc_id", F.round("top", 6).alias("top"), F.round("total", 4).alias("total"), "terms")

@@ -1,8 +1,8 @@
 """A TF-IDF index that is built once and searched often, without reading what can't matter.
 
-Stored are each document's terms with their weights (forward), postings in buckets of terms, each sorted by term, and
-each term's document frequency and largest weight (terms). Weights are divided by their document's length already, so a
-score is the sum, over the terms of a query, of two numbers.
+Stored are each document's words and length (forward), postings in buckets of terms, each sorted by term, and each
+term's document frequency and largest weight (terms). Weights in postings are divided by their document's length already,
+so a score is the sum, over the terms of a query, of two numbers. Postings are shuffled once, to their buckets.
 
 A search adds up the postings of a query's rarest terms first; the k-th best sum is a bar that no final score of a hit
 falls below. Then terms go, the most frequent first, as long as the largest scores they could all add stay below the
@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import with_bigrams, words
+from .terms import counted, counted_rows, one_a_key, sums
 
 #: Documents for each bucket of terms, and buckets at most: few documents need few files.
-BUCKET_DOCS, BUCKETS = 5000, 1024
+BUCKET_DOCS, BUCKETS = 1250, 1024
 #: Postings that a query reads at most before it has a bar, and by which bounds are taken wider.
 SEED, SLACK = 4096, 1e-8
 GENTLE = 1e-8
@@ -30,14 +30,8 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def counted(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): how often each word and bigram occurs."""
-    terms = df.select(key, F.explode(with_bigrams(words(F.col(text)))).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
 class Sparse:
-    """terms (bucket, term, df, top), postings (bucket, term, id, u) and forward (id, list of (term, u)) of n documents."""
+    """terms (bucket, term, df, top), postings (bucket, term, id, u, and df, top, first) and forward (id, ws, size) of n documents."""
 
     NAMES = ("terms", "postings", "forward")
 
@@ -51,17 +45,18 @@ class Sparse:
         tokenised once. Those without a term aren't found by any search, but count."""
         n = docs.count()
         buckets = buckets or max(1, min(BUCKETS, n // BUCKET_DOCS))
-        tf = store(counted(docs.select(F.col(key).alias("id"), text), "id", text), "counts", None)
-        often = tf.groupBy("term").agg(F.count("*").alias("df"))
-        weighed = tf.join(often, "term").withColumn("w", F.col("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1))
-        size = F.sqrt(F.sum(F.col("w") * F.col("w")))
-        whole = weighed.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("ws"), size.alias("size"))
-        own = F.when(F.col("size") < GENTLE, 1.0).otherwise(F.col("size"))
-        forward = store(whole.select("id", F.transform("ws", lambda x: F.struct(x["term"].alias("term"), (x["w"] / own).alias("u"))).alias("us")), "forward", None)
-        flat = forward.select("id", F.inline("us")).withColumn("bucket", bucket(F.col("term"), buckets))
-        postings = store(flat.repartition("bucket", F.pmod(F.xxhash64("term", "id"), F.lit(4))).sortWithinPartitions("bucket", "term"), "postings", "bucket")
-        terms = store(postings.groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max("u").alias("top")), "terms", "bucket")
-        return Sparse(n, buckets, postings.count(), terms, postings, forward)
+        idf = lambda df, log: log((n + 1.0) / (df + 1)) + 1
+        length = F.sqrt("squares")
+        sizes = sums(docs, key, text, idf).select(F.col(key).alias("id"), F.when(length < GENTLE, 1.0).otherwise(length).alias("size"))
+        forward = store(one_a_key(docs, key, text).join(sizes, "id"), "forward", None)
+        flat = counted_rows(forward, "size").withColumn("bucket", bucket(F.col("term"), buckets))
+        # A task has all postings of its bucket, so frequencies need no second shuffle.
+        dealt, one = flat.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "term", "id"), W.partitionBy("bucket", "term")
+        weighed = dealt.withColumn("df", F.count("*").over(one)).withColumn("u", F.col("tf") * idf(F.col("df"), F.log) / F.col("size"))
+        marked = weighed.withColumn("top", F.max("u").over(one)).withColumn("first", F.row_number().over(one.orderBy("id")) == 1)
+        postings = store(marked.select("bucket", "term", "id", "u", "df", "top", "first"), "postings", "bucket")
+        terms = store(postings.where("first").select("bucket", "term", "df", "top"), "terms", "bucket")
+        return Sparse(n, buckets, postings.count(), terms, postings.select("bucket", "term", "id", "u"), forward)
 
     def search(self, queries: DataFrame, key: str, text: str, k: int, store: Callable) -> DataFrame:
         """(key, rank, id, score): the k most similar documents by cosine, with the query counted as one more document for
@@ -90,10 +85,13 @@ class Sparse:
         late = split.where("late").select(key, "bucket", "term", "wq", "df")
         held = reach.groupBy(key).agg((F.count("*") * (self.size / max(1, self.n))).alias("own"))
         way = late.groupBy(key).agg(F.sum("df").alias("lists")).join(held, key).select(key, (F.col("own") < F.col("lists")).alias("by_row"))
-        late = store(late.join(way, key).select(key, "bucket", "term", "wq", "by_row"), "late", None)
-        by_row = late.where("by_row").select(key, "term", "wq")
-        rows = reach.select(key, "id").join(by_row.select(key).distinct(), key, "left_semi").join(self.forward, "id").select(key, "id", F.inline("us"))
-        added = rows.join(by_row, [key, "term"]).groupBy(key, "id").agg(score.alias("added"))
+        late = store(late.join(way, key).select(key, "bucket", "term", "wq", "df", "by_row"), "late", None)
+        by_row = late.where("by_row").select(key, "term", "wq", "df")
+        rows = reach.select(key, "id").join(by_row.select(key).distinct(), key, "left_semi")
+        texts = self.forward.join(rows.select("id").distinct(), "id", "left_semi")
+        known = counted_rows(texts, "size").join(rows, "id").join(by_row, [key, "term"])
+        u = F.col("tf") * (F.log((F.lit(self.n) + 1) / (F.col("df") + 1)) + 1) / F.col("size")
+        added = known.withColumn("u", u).groupBy(key, "id").agg(score.alias("added"))
         added = added.unionByName(summed(late.where("not by_row").select(key, "bucket", "term", "wq")).withColumnRenamed("score", "added"))
         whole = reach.join(added, [key, "id"], "left").withColumn("score", F.col("score") + F.coalesce("added", F.lit(0.0)))
         return rank(whole).select(key, "rank", "id", "score")

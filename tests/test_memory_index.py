@@ -103,3 +103,13 @@ def test_missing_and_replaced(spark, tmp_path):
     memory_index.Folder(spark, path).delete(memory_index.MANIFEST)
     with pytest.raises(FileNotFoundError):
         load_index(spark, path)
+
+
+def test_an_index_keeps_postings_once(spark):
+    docs, _ = corpus(random.Random(7), 60)
+    df = spark.createDataFrame(list(docs.items()), "id int, text string")
+    names = []
+    index = Sparse.build(df, "id", "text", lambda d, name, by=None: names.append((name, d.columns)) or stored(d, name), buckets=3)
+    assert [name for name, columns in names if "term" in columns] == ["postings", "terms"] and dict(names)["forward"] == ["id", "ws", "size"]
+    assert {(r.term, r.df) for r in index.terms.collect()} == set(Counter(x for t in docs.values() for x in terms(t)).items())
+    assert index.size == sum(len(terms(t)) for t in docs.values())

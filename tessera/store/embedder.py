@@ -6,9 +6,11 @@ have unit length. It is trained and stored once; Spark loads it once a Python wo
 (predict_batch_udf). Nothing is ever fetched from elsewhere: a path without a readable artefact means TF-IDF.
 """
 
+import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import with_bigrams, words
 from .folder import Folder
+from .terms import slices, terms_of
 
 DIMS, SLOTS = 64, 1 << 16
 #: Below this length a vector counts as nought and stays as it is.
@@ -72,11 +75,24 @@ class Embedder:
 
 
 def train(docs: DataFrame, text: str, path: str, dims: int = DIMS, slots: int = SLOTS) -> None:
-    """Learns slot weights from all texts and stores the artefact: weights (a row a slot), then the manifest."""
+    """Learns slot weights from all texts and stores the artefact: weights (a row a slot), then the manifest. A task sends
+    how many of its texts have each slot, not the slots of each text."""
     spark, folder = docs.sparkSession, Folder(docs.sparkSession, path)
-    seen = docs.select(F.explode(F.array_distinct(F.transform(with_bigrams(words(F.col(text))), lambda t: slot(t, slots)))).alias("slot"))
+
+    def count(batches):
+        found = np.zeros(slots, np.int64)
+        for b in batches:
+            for _, lists in slices(b):
+                row, term = terms_of(lists, True)
+                coded = term.dictionary_encode()  # each distinct term is hashed once
+                of = np.array([int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % slots for x in coded.dictionary.to_pylist()], np.int64)
+                both = np.unique(row.astype(np.int64) * slots + of[coded.indices.to_numpy()])
+                found += np.bincount(both % slots, minlength=slots)
+        at = np.flatnonzero(found)
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(found[at])], ["slot", "n"])
+
     n = docs.count()
-    df = seen.groupBy("slot").agg(F.count("*").alias("df"))
+    df = docs.select(words(F.col(text)).alias("ws")).mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("df"))
     every = spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(df, "slot", "left")
     every.select("slot", (F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")).coalesce(1).write.parquet(f"{folder.path}/weights")
     folder.commit("embedder.json", json.dumps({"tag": DENSE, "dims": dims, "slots": slots, "documents": n}))

@@ -113,3 +113,12 @@ def test_a_query_is_sent_once_however_many_cells_it_visits(spark, monkeypatch):
     got = sorted((r["query"], r["rank"], r["id"], round(r["score"], 9) + 0.0) for r in hits.collect())
     assert got == sorted((q, r, i, float(s) + 0.0) for q, r, i, s in brute(range(500), x, range(500), 3))
     assert all(t.count() <= (3 + 1) * 500 for t in tables)
+
+
+def test_training_sends_a_number_a_slot(spark, tmp_path):
+    df = spark.createDataFrame([(f"a b c{i % 7}",) for i in range(300)] + [(None,), ("",)], "t string").repartition(2)
+    embedder.train(df, "t", f"file://{tmp_path}/model", dims=4, slots=32)
+    at = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % 32
+    want = Counter(s for i in range(300) for s in {at(x) for x in ("a", "b", f"c{i % 7}", "a_b", f"b_c{i % 7}")})
+    got = {r.slot: r.idf for r in spark.read.parquet(f"file://{tmp_path}/model/weights").collect()}
+    assert got == pytest.approx({s: math.log(303 / (want[s] + 1)) + 1 for s in range(32)})

@@ -4,9 +4,11 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessera.operators.containment import contained
 from tessera.operators.curate import blends, gated_pool, pool_order
 from tessera.operators.training import long_precision
@@ -76,3 +78,30 @@ def test_precision_of_long_texts(spark):
     want = {i: (sum((a & b).values()) / a.total() if a else 0.0) for i, (c, d) in enumerate(pairs) for a, b in [(grams(c), grams(d))]}
     got = {x.id: x.p for x in long_precision(df, "id", F.col("c"), F.col("r"), 2).collect()}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_precision_is_counted_in_the_tasks_that_read_the_texts(spark, n):
+    r = random.Random(n)
+    texts = lambda m: " ".join(r.choices(["a", "B", "ab", "b a", "é"], k=r.randint(0, m)))
+    long = ["a b " * 20000 + texts(9) for _ in range(30)]  # more words than are counted at once
+    pairs = [(texts(12), texts(12)) for _ in range(60)] + [(t, t[: len(t) // 2]) for t in long] + [("", "a"), ("a", None), (None, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, c string, r string")
+    grams = lambda t: Counter(zip(*((t or "").lower().split()[i:] for i in range(n))))
+    want = {i: (sum((a & b).values()) / a.total() if a else 0.0) for i, (c, d) in enumerate(pairs) for a, b in [(grams(c), grams(d))]}
+    told = lambda rows: long_precision(rows, "id", F.col("c"), F.col("r"), n)
+    assert "Exchange" not in told(df)._jdf.queryExecution().executedPlan().toString()
+    assert {x.id: x.p for x in told(df.coalesce(1)).collect()} == pytest.approx(want)
+
+
+def test_bigram_precision_of_odd_rows(spark, tmp_path):
+    texts = ["a b a b c of the a b", "of the of the", "a\x0bb c a\x0bb c", "a\x0bb c a b c a b c", " \t\n", "", None, "x", "a b c d a b c d"]
+    texts.append(" ".join(f"w{i:03}" for i in range(641)) + "-" * 36)  # 323 of its 640 bigrams, a tie at six places
+    rows = [(i, t) for i, t in enumerate(texts)] + [(20, "a b a b"), (20, "b a b c d"), (20, None), (21, "a b a b"), (21, "a b a b"), (None, "a b a b"), (None, "a b a b")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = entry.plans.QUERIES["bigram_precision"](spark, str(tmp_path)).select("doc_id", "p").collect()
+    want = con.execute(entry.plans.SQL["bigram_precision"]).fetchall()
+    assert (9, 0.504687) in want
+    assert Counter(map(tuple, got)) == Counter(want)

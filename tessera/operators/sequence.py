@@ -16,10 +16,14 @@ from ..plans.storage import stored
 _BITS = 33
 
 
+def in_order(df: DataFrame, order: list) -> DataFrame:
+    """df in the order of its columns `order`, with _m: a number for each row whose upper bits are its partition's. To be
+    stored, as a second evaluation may cut the ranges elsewhere: bounds are sampled, and small partitions merged."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+
+
 def _dealt(df: DataFrame, order: list, name: str) -> DataFrame:
-    """df stored in the order of its columns `order`, with _m: a number for each row whose upper bits are its partition's."""
-    # Stored, as a second evaluation may cut the ranges elsewhere: bounds are sampled, and small partitions merged.
-    return stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), name)
+    return stored(in_order(df, order), name)
 
 
 def global_index(df: DataFrame, key: str | list, name: str) -> DataFrame:
@@ -28,7 +32,11 @@ def global_index(df: DataFrame, key: str | list, name: str) -> DataFrame:
     Rows are range-partitioned, sorted and stored once; each partition numbers its own and adds the sizes of those
     before it. Rows with equal keys are placed one after another in any order.
     """
-    dealt = _dealt(df, [key] if isinstance(key, str) else key, name)
+    return placed(_dealt(df, [key] if isinstance(key, str) else key, name), name)
+
+
+def placed(dealt: DataFrame, name: str) -> DataFrame:
+    """The stored rows of in_order with name = the row's place, from 0, instead of _m."""
     part = F.expr(f"shiftright(_m, {_BITS})")
     sizes = dealt.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # a row for each partition
     before = sizes.select(F.col("_p").alias("_q"), (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))

@@ -69,7 +69,7 @@ def merged(parts: dict[str, DataFrame]) -> DataFrame:
 def save_index(records: DataFrame, key: str | list[str], text: str, path: str, embedder: Embedder | None = None) -> None:
     """Stores records, numbered by vec_index in the order of key from 0, and their vectors or postings. A folder that holds
     an index is replaced: its manifest goes first and comes back last, so no reader takes parts of two for one."""
-    from ..operators.sequence import global_index
+    from ..operators.sequence import in_order, placed
 
     folder = Folder(records.sparkSession, path)
     if folder.names():
@@ -77,7 +77,8 @@ def save_index(records: DataFrame, key: str | list[str], text: str, path: str, e
         folder.delete()
     schemas: dict = {}
     keep = _keeper(folder, schemas)
-    rows = keep(global_index(records, key, "vec_index"), "records")
+    # Texts are written once: a row's place follows from its part's place among the parts.
+    rows = placed(keep(in_order(records, [key] if isinstance(key, str) else key), "records"), "vec_index")
     said = {"backend": SPARSE, "records": rows.count()}
     if embedder is None:
         made = Sparse.build(rows, "vec_index", text, keep)
@@ -92,12 +93,14 @@ def save_index(records: DataFrame, key: str | list[str], text: str, path: str, e
 
 def load_index(spark: SparkSession, path: str, embedder: Embedder | None = None) -> MemoryIndex:
     """The index at path. A dense one needs the embedder that made it, of the same size, for its queries."""
+    from ..operators.sequence import placed
+
     folder = Folder(spark, path)
     if MANIFEST not in folder.names():
         raise FileNotFoundError(f"no memory index at {path}: save one first")
     said = json.loads(folder.read(MANIFEST))
     schemas = said["schemas"]
-    records = _open(folder, "records", schemas)
+    records = placed(_open(folder, "records", schemas), "vec_index")
     if said["backend"] == SPARSE:
         return MemoryIndex(SPARSE, records, Sparse(said["records"], said["buckets"], said["postings"], *[_open(folder, n, schemas) for n in Sparse.NAMES]), None)
     if said["backend"] != DENSE or embedder is None or embedder.dims != said["dims"]:

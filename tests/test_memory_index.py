@@ -113,3 +113,39 @@ def test_an_index_keeps_postings_once(spark):
     assert [name for name, columns in names if "term" in columns] == ["postings", "terms"] and dict(names)["forward"] == ["id", "ws", "size"]
     assert {(r.term, r.df) for r in index.terms.collect()} == set(Counter(x for t in docs.values() for x in terms(t)).items())
     assert index.size == sum(len(terms(t)) for t in docs.values())
+
+
+def test_postings_are_lists_sent_in_packs(spark, monkeypatch):
+    docs, _ = corpus(random.Random(8), 90)
+    df = spark.createDataFrame([(i * 70_001 - 9, t) for i, t in docs.items()], "id bigint, text string").repartition(3)
+    want = {x: {i * 70_001 - 9: c for i, t in docs.items() for y, c in terms(t).items() if y == x} for x in {x for t in docs.values() for x in terms(t)}}
+    index = Sparse.build(df, "id", "text", keep, buckets=3)
+    assert {r.term: dict(zip(r.ids, r.tfs)) for r in index.postings.collect()} == want and index.postings.count() == len(want)
+    sent = sparse.packs(sparse.one_a_key(df, "id", "text"), 3).toArrow()
+    assert len(sent) <= 3 * 3  # a slice and bucket
+    monkeypatch.setattr(sparse, "LONG", 4)
+    rows = sparse.lists_of_bucket(sent.filter(sparse.pc.equal(sent["bucket"], 1))).to_pylist()
+    assert max(len(r["ids"]) for r in rows) == 4 and rows == sorted(rows, key=lambda r: (r["term"], r["part"]))
+    whole = {}
+    for r in rows:
+        assert r["df"] == len(want[r["term"]]) and sparse.crc32(r["term"].encode()) % 3 == 1
+        whole.setdefault(r["term"], {}).update(zip(r["ids"], r["tfs"]))
+    assert whole == {x: d for x, d in want.items() if sparse.crc32(x.encode()) % 3 == 1}
+
+
+def test_texts_are_written_once(spark, tmp_path, monkeypatch):
+    """Beside the words of the index; before, a table in order was stored for the numbers, and then the records."""
+    from tessera.operators import sequence
+
+    monkeypatch.setattr(sequence, "stored", None)
+    df = spark.createDataFrame([(i * 7 % 50, f"t{i}") for i in range(50)], "id int, text string").repartition(5)
+    save_index(df, "id", "text", f"file://{tmp_path}/i")
+    assert [tuple(r) for r in load_index(spark, f"file://{tmp_path}/i").records.select("vec_index", "id").orderBy("id").collect()] == [(i, i) for i in range(50)]
+
+
+def test_long_tables_of_lengths_meet_by_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sparse, "SENT", 0)
+    docs, queries = corpus(random.Random(9), 120)
+    index = Sparse.build(spark.createDataFrame(list(docs.items()), "id int, text string"), "id", "text", keep, buckets=2)
+    got = index.search(spark.createDataFrame(list(queries.items()), "q int, text string"), "q", "text", 4, keep)
+    assert sorted((r.q, r.rank, r.id, round(r.score, 9)) for r in got.collect()) == plain(docs, queries, 4)

@@ -1,6 +1,7 @@
 """Terms counted in tasks, and what is built on them, against plain code."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -45,3 +46,15 @@ def test_topk_by_plain_code_without_stored_postings(spark, monkeypatch, often):
     assert got == sorted(want)
     assert {(r.term, r.df) for r in terms.seen(docs, "d", "t").collect()} == set(df.items())
     assert "postings" not in names
+
+
+@pytest.mark.parametrize("words", [["a", "b", "c"], ["a", "b", "a_b", "b_c", "_", ""]])
+def test_lists_of_terms(words):
+    rng = random.Random(1)
+    for _ in range(100):
+        rows = [[rng.choice(words) for _ in range(rng.randint(0, 6))] if rng.random() > 0.1 else None for _ in range(rng.randint(0, 6))]
+        lists = terms.pa.array([["x"], *rows, ["y", "z"]], terms.pa.list_(terms.pa.string())).slice(1, len(rows))
+        found, begin, row, tf = terms.lists_of(lists)
+        got = [(int(row[j]), t, int(tf[j])) for i, t in enumerate(found.to_pylist()) for j in range(begin[i], begin[i + 1])]
+        want = [(int(r), x, int(n)) for r, c, n, names in [terms.counts(lists, True)] for r, x, n in zip(r, names.take(terms.pa.array(c)).to_pylist(), n)]
+        assert sorted(got) == sorted(want) and len(set(found.to_pylist())) == len(found)

@@ -152,17 +152,19 @@ class Sparse:
         lists = self.postings.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
         each = lists.select("bucket", "term", "df", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select("bucket", "term", "df", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"))
         weights = store(each.join(_sent(self.sizes, self.n), "id").select("bucket", "term", "id", u.alias("u")), "weights", None)
-        asked = asked.join(weights.groupBy("bucket", "term").agg(F.max("u").alias("top")), ["bucket", "term"])
+        tops = weights.groupBy("bucket", "term").agg(F.max("u").alias("top"))
         score = F.sum(F.col("wq") * F.col("u"))
         rank = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.round("score", 9).desc(), "id"))).where(F.col("rank") <= k)
 
         def summed(terms: DataFrame) -> DataFrame:
-            return terms.select(key, "bucket", "term", "wq").join(weights, ["bucket", "term"]).groupBy(key, "id").agg(score.alias("score"))
+            # Weights go by document, once for all queries, so sums need no shuffle and ranks only one of the best.
+            own = weights.join(terms.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi").repartition("id")
+            return own.join(terms.select(key, "bucket", "term", "wq"), ["bucket", "term"]).groupBy(key, "id").agg(score.alias("score"))
 
         bars = rank(summed(asked.where(F.col("seen") <= SEED))).where(F.col("rank") == k).select(key, F.col("score").alias("bar"))
         # The most frequent terms go first; `more` is the most that they can add together.
         frequent = W.partitionBy(key).orderBy(F.desc("df"), "term")
-        split = asked.join(bars, key, "left").withColumn("more", F.sum(F.col("wq") * F.col("top")).over(frequent))
+        split = asked.join(tops, ["bucket", "term"]).join(bars, key, "left").withColumn("more", F.sum(F.col("wq") * F.col("top")).over(frequent))
         split = split.withColumn("late", F.coalesce(F.col("more") < F.col("bar") - SLACK, F.lit(False)))
         split = store(split.withColumn("rest", F.coalesce(F.max(F.when(F.col("late"), F.col("more"))).over(W.partitionBy(key)), F.lit(0.0))), "split", None)
         facts = split.groupBy(key).agg(F.first("bar").alias("bar"), F.first("rest").alias("rest"))
@@ -177,9 +179,9 @@ class Sparse:
         texts = self.forward.join(rows.select("id").distinct(), "id", "left_semi")
         known = counted_rows(texts, "size").join(rows, "id").join(by_row, [key, "term"])
         added = known.withColumn("u", u).groupBy(key, "id").agg(score.alias("added"))
-        added = added.unionByName(summed(late.where("not by_row")).withColumnRenamed("score", "added"))
-        whole = reach.join(added, [key, "id"], "left").withColumn("score", F.col("score") + F.coalesce("added", F.lit(0.0)))
-        return rank(whole).select(key, "rank", "id", "score")
+        by_list = late.where("not by_row").select(key).distinct()
+        near = reach.join(by_list, key, "left_anti").join(added, [key, "id"], "left").select(key, "id", (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score"))
+        return rank(near.unionByName(summed(split.join(by_list, key, "left_semi")))).select(key, "rank", "id", "score")
 
     def shares(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         """(key, all): the postings of each query's terms, which a search without bars would read."""
